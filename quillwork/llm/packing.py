@@ -168,18 +168,21 @@ def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_c
     bases = written(sums.withColumn("base", F.sum("sum").over(Window.partitionBy("queue").orderBy("block")) - F.col("sum")))
     totals = {r["queue"]: r["total"] for r in bases.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # at most QUEUES rows
     phases = plan(totals, targets)
-    joined = rows.join(bases.select("queue", "block", "base"), ["queue", "block"]).sortWithinPartitions("queue", "block", "doc_id", "n")
-    given = joined.select("doc_id", "queue", "block", "base", "n", "ids")
+    # a block's base travels as a row in front of its documents, so that one shuffle brings both together
+    first = bases.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "queue", "block", "base", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"))
+    both = first.unionByName(rows.select("doc_id", "queue", "block", F.lit(None).cast("long").alias("base"), "n", "ids"))
+    given = both.repartition("queue", "block").sortWithinPartitions("queue", "block", F.col("base").isNull(), "doc_id", "n")
     out = given.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], "ids").schema
     arrow = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = None, 0
+        at = 0
         for batch in batches:
             found = []
-            for doc, q, block, base, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group != (q, block):
-                    group, at = (q, block), base
+            for doc, q, _, base, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if base is not None:
+                    at = base
+                    continue
                 for a, b, place in pieces_of(phases, q, at, at + n):
                     cuts = _cuts(a, b, place)
                     for x, y in pairwise(cuts):
