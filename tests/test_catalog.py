@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillwork.plans import catalog
+from quillwork.plans import catalog, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
