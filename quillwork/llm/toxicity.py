@@ -31,6 +31,8 @@ SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
 #: Least log-odds of a form or stem that becomes an insult arc; lengths of stems; forms that a stem needs.
 LEAST_ODDS, STEMS, STEM_FORMS = 2.5, (4, 5, 6), 3
+#: Share of the toxic texts that an arc has to explain anew, unless it is a stem of so many forms.
+LEAST_NEW, VARIED_FORMS = 0.004, 5
 
 INSULTS = {"idiot": 3.0, "moron": 3.0, "scum": 3.0, "stupid": 2.5, "loser": 2.5, "pathetic": 2.0, "disgusting": 2.0, "worthless": 2.5, "trash": 2.0, "clown": 2.0, "imbecile": 3.0, "vermin": 3.0, "filth": 2.0}
 THREATS = {"kill": 2.0, "murder": 2.0, "hurt": 1.0, "destroy": 1.0, "shoot": 1.5}
@@ -99,37 +101,48 @@ class Grammar:
 
 
 def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Grammar:
-    """INSULT arcs from the words of labelled texts: smoothed log-odds of documents with the word."""
-    toxic, clean, forms = Counter(), Counter(), defaultdict(set)
-    n0 = n1 = 0
-    stem_toxic, stem_clean = Counter(), Counter()
+    """INSULT arcs from the distinct words of labelled texts.
+
+    Forms and stems of high smoothed log-odds are candidates. They are taken by falling support, and
+    only if they explain toxic texts that no arc taken before explains: words that copies of one
+    toxic passage merely share explain nothing new.
+    """
+    clean, stem_clean, n0 = Counter(), Counter(), 0
+    toxic: list[list[str]] = []
     for words, y in counts:
-        n1, n0 = n1 + (y == 1), n0 + (y != 1)
-        stems = {w[:n] for w in words for n in STEMS if len(w) > n}
-        (toxic if y == 1 else clean).update(words)
-        (stem_toxic if y == 1 else stem_clean).update(stems)
-    grammar = Grammar()
+        if y == 1:
+            toxic.append(words)
+        else:
+            n0 += 1
+            clean.update(words)
+            stem_clean.update({w[:n] for w in words for n in STEMS if len(w) > n})
+    grammar, n1 = Grammar(), len(toxic)
     if not n1 or not n0:
         return grammar
+    forms, stems, variety = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, words in enumerate(toxic):
+        for w in words:
+            forms[w].add(i)
+            for n in STEMS if w not in INSULTS else ():
+                if len(w) > n:
+                    stems[w[:n]].add(i)
+                    variety[w[:n]].add(w)
 
     def odds(a: int, b: int) -> float:
         return math.log((a + 0.1) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
 
-    for w, a in toxic.items():
-        for n in STEMS:
-            if len(w) > n:
-                forms[w[:n]].add(w)
-        b = clean[w]
-        # words of one copied passage look alike: an arc must be spread over more documents than copies are
-        if a >= 3 and a / n1 >= 0.01 and a >= 3 * b and odds(a, b) >= LEAST_ODDS:
-            grammar.forms[w] = min(3.0, odds(a, b))
-    for s, a in stem_toxic.items():
-        b = stem_clean[s]
-        if len(forms[s]) >= STEM_FORMS and a >= 3 and a / n1 >= 0.01 and a >= 4 * b and odds(a, b) >= LEAST_ODDS:
-            grammar.stems[s] = min(3.0, odds(a, b))
-    for s in sorted(grammar.stems, key=len):  # a longer stem whose beginning is one too adds nothing
-        if any(s[:n] in grammar.stems for n in STEMS if n < len(s)):
-            del grammar.stems[s]
+    def good(a: int, b: int) -> bool:
+        return a >= 3 and a / n1 >= 0.01 and a >= 4 * b and odds(a, b) >= LEAST_ODDS
+
+    found = [(-len(at), len(s), s, at, stem_clean[s], grammar.stems) for s, at in stems.items() if len(variety[s]) >= STEM_FORMS and good(len(at), stem_clean[s])]
+    found += [(-len(at), len(w), w, at, clean[w], grammar.forms) for w, at in forms.items() if w not in INSULTS and good(len(at), clean[w])]
+    open_texts = {i for i, words in enumerate(toxic) if not any(w in INSULTS for w in words)}
+    for _, _, key, at, b, arcs in sorted(found, key=lambda c: c[:3]):
+        varied = arcs is grammar.stems and len(variety[key]) >= VARIED_FORMS and len(at) >= 20 * b
+        known = any(key[:n] in grammar.stems for n in STEMS if n < len(key))
+        if len(at & open_texts) >= max(2, LEAST_NEW * n1) or (varied and not known):
+            arcs[key] = min(3.0, odds(len(at), b))
+            open_texts -= at
     return grammar
 
 
