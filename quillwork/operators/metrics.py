@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +58,7 @@ def coupling(edges: DataFrame) -> DataFrame:
 def license_class(name: Column) -> Column:
     """Category of a license name: the first that applies, strongest first."""
     u = F.upper(F.trim(name))
-    has = lambda *words: F.lit(False) if not words else [u.contains(w) for w in words]
-    any_of = lambda *words: __import__("functools").reduce(lambda a, b: a | b, has(*words))
+    any_of = lambda *words: reduce(or_, [u.contains(w) for w in words])
     return (
         F.when(any_of("AGPL"), "copyleft-strong").when(any_of("LGPL"), "copyleft-weak")
         .when(any_of("GPL-3", "GPL-2", "GPL-1") | (u == "GPL"), "copyleft-strong")
