@@ -168,11 +168,16 @@ def fingerprints(df: DataFrame, text_col: str, id_col: str, shingle: int, distin
     return map_rows(given, ["doc_id"], "text", "fp long", start)
 
 
-def classes(rows: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of rows (doc_id, fp)."""
+def _named(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root) for the distinct fingerprints of rows (doc_id, fp): least id, and component."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    named = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) for the distinct fingerprints of rows (doc_id, fp)."""
+    named = _named(rows, distance)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(ids, "root").select("fp", "component_id")
 
@@ -189,7 +194,8 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shin
     Defaults: fingerprints of the set of words at a distance of 5, which catch nine in ten pairs whose
     five-word shingles have a Jaccard similarity of 0.8 or more (fingerprints of five-word shingles
     themselves differ by 8 bits on average at that similarity, beyond any index that scales). Of rows
-    that repeat the id that stays, one whose text is the least stays; without any id, likewise.
+    that repeat the id that stays, one of the least fingerprint, then text, stays; without any id,
+    likewise.
     """
     names = df.columns
     renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
@@ -197,10 +203,9 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shin
     start = lambda: lambda texts: [np.array([fingerprint(t, shingle, distinct) for t in texts], np.uint64).view(np.int64)]
     twice = renamed.withColumn("scan", F.col(text))
     rows = written(map_rows(twice, renamed.columns, "scan", "fp long", start))
-    named = classes(rows.select(F.col(key).alias("doc_id"), "fp"), distance)
-    stays = named.groupBy("component_id").agg(F.min("fp").alias("any"))
-    with_id = rows.join(named.filter("component_id is not null"), "fp").filter(F.col(key) == F.col("component_id"))
-    without = rows.join(stays.filter("component_id is null").select(F.col("any").alias("fp")), "fp").withColumn("component_id", F.lit(None).cast(df.schema[id_col].dataType))
-    both = with_id.unionByName(without, allowMissingColumns=True).withColumn("order", F.xxhash64(*renamed.columns))
-    one = both.groupBy("component_id").agg(F.min_by(F.struct(*renamed.columns), F.struct(F.col(text), F.col("order"))).alias("r"))
+    named = _named(rows.select(F.col(key).alias("doc_id"), "fp"), distance)
+    winners = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("w")).select("w.fp", "w.least")
+    # the join deals texts out by fingerprint; the choice among repeated ids needs no further exchange
+    held = rows.join(winners, "fp").filter(F.col(key).eqNullSafe(F.col("least"))).withColumn("order", F.xxhash64(*renamed.columns))
+    one = held.groupBy("fp").agg(F.min_by(F.struct(*renamed.columns), F.struct(F.col(text), F.col("order"))).alias("r"))
     return one.select("r.*").toDF(*names)
