@@ -7,7 +7,7 @@ import pytest
 
 from quillwork.plans import catalog, catalog_flows, catalog_more  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
