@@ -134,3 +134,6 @@ def rank_table(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def bounded(part: str) -> bool:
+    """Neither empty nor with white space at an end."""
+    return bool(part) and not part[0].isspace() and not part[-1].isspace()
