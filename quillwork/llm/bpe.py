@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, pretoken_pattern, rank_table, tokenizer_path
+from .common import bounded, map_rows, pretoken_pattern, rank_table, tokenizer_path
 
 #: Pre-tokens that a worker remembers; the cache is emptied when it is full.
 CACHE = 400_000
@@ -82,6 +82,7 @@ class Encoder:
         self.pairs = PairTable(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _matrix(self, words: list[bytes], length: int) -> list[np.ndarray]:
         """Ids of words of at most this many bytes, all of them merged in step."""
@@ -176,14 +177,26 @@ class Encoder:
                     self.cache[word] = ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A blank between two characters that aren't white space always begins a pre-token: what lies
+        between such blanks is cut into pre-tokens once and remembered; other texts are cut whole.
+        """
+        if len(self.cache) > CACHE or len(self.parts) > CACHE:
             self.cache.clear()
-        found = [self.find(t) for t in texts]
-        new = set().union(*found).difference(self.cache) if found else ()
-        self.learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, f)) for f in found]
+            self.parts.clear()
+        cut = [t.split(" ") for t in texts]
+        fresh = set().union(*(c[1:] for c in cut)).difference(self.parts)
+        good = {w for w in fresh if bounded(w)}
+        bad = fresh - good
+        whole = [not bounded(c[0]) or (bool(bad) and not bad.isdisjoint(c[1:])) for c in cut]
+        found = [self.find(t) if w else self.find(c[0]) for t, c, w in zip(texts, cut, whole, strict=True)]
+        inside = {w: self.find(" " + w) for w in good}
+        self.learn(set().union(*found, *inside.values()).difference(self.cache))
+        get, part = self.cache.__getitem__, self.parts.__getitem__
+        for w, f in inside.items():
+            self.parts[w] = b"".join(map(get, f))
+        return [b"".join(map(get, f)) if w else b"".join((*map(get, f), *map(part, c[1:]))) for f, c, w in zip(found, cut, whole, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         get = self.tokens.__getitem__
