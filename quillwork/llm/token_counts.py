@@ -42,7 +42,12 @@ class TrieCounter:
     """children[node]: character -> node; best[node]: (score, pieces) of the path's string."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        # every string that ends a piece, with the log-probability of those that are pieces themselves
+        self.endings: dict[str, float | None] = {}
+        for piece in pieces:
+            for at in range(1, len(piece)):
+                self.endings.setdefault(piece[at:])
+            self.endings[piece] = pieces[piece]
         self.clear()
 
     def clear(self) -> None:
@@ -51,7 +56,7 @@ class TrieCounter:
         self.terminal: dict[str, int] = {"": 0}
 
     def insert(self, word: str) -> int:
-        node, path, text = 0, [0], MARK + word
+        node, path, text, ending = 0, [0], MARK + word, self.endings.get
         for depth, c in enumerate(text, 1):
             nxt = self.children[node].get(c)
             if nxt is None:
@@ -60,10 +65,12 @@ class TrieCounter:
                 self.children.append({})
                 n = len(c.encode("utf-8", "surrogatepass"))
                 best, pieces = self.score[node] + BYTE_SCORE * n, self.count[node] + n
-                for size in range(1, min(depth, self.longest) + 1):
-                    p = self.pieces.get(text[depth - size : depth])
+                for begin in range(depth - 1, -1, -1):
+                    p = ending(text[begin:depth], 0)
+                    if p == 0:
+                        break  # no piece ends in this string, nor in a longer one
                     if p is not None:
-                        back = path[depth - size]
+                        back = path[begin]
                         s, k = self.score[back] + p, self.count[back] + 1
                         if s > best or (s == best and k < pieces):
                             best, pieces = s, k
