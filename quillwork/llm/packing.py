@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -63,6 +64,12 @@ class WordCoder:
         return self.single(first) + b"".join(map(self.cache.__getitem__, rest))
 
 
+@lru_cache(1)
+def word_coder(path: str, pattern: str) -> WordCoder:
+    """One a worker process, kept over its tasks."""
+    return WordCoder(path, pattern)
+
+
 class Phase:
     """Windows over which the queues served stay the same.
 
@@ -155,7 +162,7 @@ def tokenized(df: DataFrame, text_col: str, id_col: str, source_col: str, ranks_
     pattern = pretoken_pattern()
 
     def start():
-        coder, end = WordCoder(ranks_path, pattern), END_ID.to_bytes(4, "little")
+        coder, end = word_coder(ranks_path, pattern), END_ID.to_bytes(4, "little")
 
         def make(texts):
             ids = [coder.encode(t) + end for t in texts]
