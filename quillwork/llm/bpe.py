@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -203,6 +204,12 @@ class Encoder:
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One a worker process, kept over its tasks."""
+    return Encoder(rank_table(path), pattern)
+
+
 def encode_bpe(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """(id, n_tokens long, ids_sha256 string, decoded_sha256 string[, ids binary: 32-bit little-endian]).
 
@@ -214,7 +221,7 @@ def encode_bpe(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ra
     pattern = pattern or pretoken_pattern()
 
     def start():
-        coder = Encoder(rank_table(path), pattern)
+        coder = encoder(path, pattern)
 
         def make(texts):
             coded = coder.encode(texts)
