@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -92,6 +93,12 @@ class TrieCounter:
         return [len(w) for w in words], [sum(map(get, w)) for w in words]
 
 
+@lru_cache(1)
+def trie_counter(path: str) -> TrieCounter:
+    """One a worker process, kept over its tasks."""
+    return TrieCounter(zipf_pieces(path))
+
+
 def brute_count(text: str, pieces: dict[str, float]) -> int:
     """Each pre-token by itself, over all piece boundaries; for tests."""
     total = 0
@@ -116,7 +123,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     path = model_path or tokenizer_path("piece_bpe_32k.model")
 
     def start():
-        counter = TrieCounter(zipf_pieces(path))
+        counter = trie_counter(path)
         return lambda texts: list(counter.counts(texts))
 
     return map_rows(df, [id_col], text_col, "n_pretokens long, n_tokens long", start)
