@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillwork.llm import common, packing, secrets, simhash, template_lines, toxicity
 
@@ -53,11 +55,12 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert got == want and lines.columns == docs.columns
 
     prints = {i: simhash.fingerprint(t or "", 1, True) for i, t in want.items()}
+    mark = lambda t: np.frombuffer(simhash.sketch(t or ""), np.uint8)
     order = sorted((i for i in want if i is not None)) + [None]
     root = {i: i for i in order}
     for n, a in enumerate(order):
         for b in order[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 5:
+            if (prints[a] ^ prints[b]).bit_count() <= 5 and simhash.alike(mark(want[a]), mark(want[b])[None])[0]:
                 x, y = root[a], root[b]
                 low = x if order.index(x) < order.index(y) else y
                 root = {k: low if v in (x, y) else v for k, v in root.items()}
