@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import arrow_schema, map_rows, text_of, written
 from .components import components
@@ -32,6 +33,8 @@ from .components import components
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Verification of near duplicates: words of a shingle, least similarity, bins of a sketch, leaders a round.
 VERIFIED_SHINGLE, SIMILARITY, BINS, LEADERS = 5, 0.8, 256, 16
+#: A shingle is common from so many texts of the sample on; so many at most are kept apart.
+COMMON, MOST_COMMON = 8, 2**17
 #: Buckets of more distinct fingerprints are split by further segments before they are searched.
 LARGE = 2_048
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -190,17 +193,137 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return rows.join(classes(rows, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: str) -> bytes:
-    """One-permutation MinHash of the set of five-word shingles, a byte for each of BINS bins: 0 where no
-    shingle falls in it, else a digest of the bin's least hash. Texts without words are alike."""
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the set of five-word shingles, in order. Texts without words are alike."""
     digest = xxhash.xxh64_intdigest
     found = features(text, VERIFIED_SHINGLE, True) or [b""]
-    hashes = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
+    return np.unique(np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found)))
+
+
+def sketch(text: str) -> bytes:
+    return sketched(shingles(text))
+
+
+def sketched(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash of a set of shingles, a byte for each of BINS bins: 0 where no shingle
+    falls in it, else a digest of the bin's least hash."""
     least = np.full(BINS, np.uint64(2**64 - 1))
     np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.intp), hashes >> np.uint64(8))
     return np.where(least == np.uint64(2**64 - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles in an order that puts the common ones last: sets with a Jaccard similarity of
+    SIMILARITY or more share one of them at least, whatever the order."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = common[at] == hashes
+        hashes = np.concatenate([hashes[~often], hashes[often]])
+    return hashes[: len(hashes) - -(-4 * len(hashes) // 5) + 1]
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles (in order) that several of a sixteenth of the texts hold. They only order prefixes, so that
+    few texts meet in one; which pairs are found doesn't depend on them."""
+
+    def count(batches):
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(0).to_pylist()]
+            if found:
+                names, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).mapInArrow(count, "h long, n long")
+    often = some.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n")).limit(MOST_COMMON)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(a long, b long): all pairs of sets (t long, size long, prefix binary) that can reach SIMILARITY, and
+    some that can't, by a shingle that both prefixes hold, their sizes and its places in the sets."""
+
+    def index(batches):
+        for batch in batches:
+            t, size, held = (batch.column(i) for i in range(3))
+            keys = [np.frombuffer(x, np.int64) for x in held.to_pylist()]
+            counts = np.array([len(k) for k in keys], np.int64)
+            if not len(keys):
+                continue
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [np.concatenate(keys), np.repeat(t.to_numpy(), counts), np.repeat(size.to_numpy(), counts), at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "t", "size", "at"])
+
+    def found(key, t, size, at):
+        i, step = np.arange(len(key)), 1
+        while len(i):
+            i = i[i + step < len(key)]
+            j = i + step
+            within = (key[i] == key[j]) & (5 * size[i] >= 4 * size[j])
+            i, j = i[within], j[within]
+            bound = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
+            hit = (9 * bound >= 4 * (size[i] + size[j])) & (t[i] != t[j])
+            if hit.any():
+                x, y = t[i[hit]], t[j[hit]]
+                yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+            step += 1
+
+    def join(batches):
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [r[cut:] for r in rows]
+            for pairs in found(*[r[:cut] for r in rows]):
+                pairs = np.unique(pairs, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        for pairs in found(*held):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    entries = sets.select("t", "size", "prefix").mapInArrow(index, "key long, t long, size long, at long")
+    return entries.repartition("key").sortWithinPartitions("key", "size").mapInArrow(join, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a long, b long) whose texts (t long, text) have a Jaccard similarity of SIMILARITY
+    or more of their sets of five-word shingles."""
+
+    def judge(batches):
+        for batch in batches:
+            one, two = (batch.column(i).to_pylist() for i in (2, 3))
+            good = []
+            for x, y in zip(one, two, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(9 * both >= 4 * (len(x) + len(y)))
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    once = texts.join(named, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    sets = written(map_rows(once, ["t"], "text", "held binary", lambda: lambda found: [[shingles(x).tobytes() for x in found]]))
+    of = lambda c: sets.select(F.col("t").alias(c), F.col("held").alias(f"held_{c}"))
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(judge, "a long, b long"))
+
+
+def _yield(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(t) of the ends of similar pairs that go: taken by rank (t, rank), a text stays unless it resembles
+    one that stays. Each round settles all texts that no open one precedes."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ranked = both.join(ranks.select(F.col("t").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("t").alias("b"), F.col("rank").alias("rb")), "b")
+    left = written(ranked.select("a", "b", (F.col("rb") < F.col("ra")).alias("before")))
+    gone = pairs.select(F.col("a").alias("t")).limit(0)
+    while not left.isEmpty():
+        stay = left.groupBy("a").agg(F.max("before").alias("before")).filter("not before").select("a")
+        out = written(left.join(stay, "a", "left_semi").select(F.col("b").alias("t")).distinct())
+        gone = gone.unionByName(out)
+        settled = out.unionByName(stay.withColumnRenamed("a", "t"))
+        left = left.join(settled.withColumnRenamed("t", "a"), "a", "left_anti").join(settled.withColumnRenamed("t", "b"), "b", "left_anti")
+        left = written(left.select("a", "b", "before"))
+    return gone
+
+
 def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which of the others' sketches have an estimated Jaccard similarity of SIMILARITY or more to one's."""
     both = ((others == one) & (others > 0)).sum(axis=1)
@@ -208,7 +331,7 @@ def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _dropped(texts: DataFrame) -> DataFrame:
-    """(same) of the distinct texts (root, same, none, id, order, sketch) that resemble one that stays.
+    """(same, by) of the distinct texts (root, same, none, id, order, sketch) that resemble one that stays (by).
 
     In each round the first text of each of LEADERS hash classes of a component leads. Leaders are taken
     in order and stay unless they resemble one before; all others go if they resemble a leader that
@@ -217,9 +340,10 @@ def _dropped(texts: DataFrame) -> DataFrame:
     joins on components can be split; rounds end when no text waits.
     """
     first = F.struct("none", "id", "order", "same", "sketch")
-    left, gone = texts, texts.select("same").limit(0)
+    left, gone = texts, texts.select("same", F.col("same").alias("by")).limit(0)
     schema = texts.schema
-    arrow = arrow_schema(texts.withColumn("gone", F.lit(True)).schema)
+    out = texts.withColumn("by", F.col("same")).schema
+    arrow = arrow_schema(out)
 
     def judge(batches):
         for batch in batches:
@@ -232,47 +356,78 @@ def _dropped(texts: DataFrame) -> DataFrame:
                     for i, mark in enumerate(marks):
                         if not stay or not alike(mark, marks[stay]).any():
                             stay.append(i)
-                    known[root] = marks[stay], {names[i] for i in stay}, set(names)
-                marks, staying, leading = known[root]
+                    known[root] = marks[stay], [names[i] for i in stay]
+                marks, staying = known[root]
                 if same not in staying:
+                    near = np.flatnonzero(alike(np.frombuffer(mine, np.uint8), marks))
                     take.append(k)
-                    gone.append(same in leading or bool(alike(np.frombuffer(mine, np.uint8), marks).any()))
+                    gone.append(staying[near[0]] if len(near) else None)
             picked = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column(i).cast(f.type) for i, f in enumerate(arrow) if f.name != "gone"] + [pa.array(gone, pa.bool_())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([picked.column(i).cast(f.type) for i, f in enumerate(arrow) if f.name != "by"] + [pa.array(gone, pa.binary())], schema=arrow)
 
     while True:
         leaders = left.groupBy("root", F.pmod(F.xxhash64("same"), F.lit(LEADERS)).alias("class")).agg(F.min(first).alias("f"))
         led = leaders.groupBy("root").agg(F.array_sort(F.collect_list("f")).alias("f")).select("root", F.col("f.same").alias("names"), F.col("f.sketch").alias("leads"))
-        judged = written(left.join(led, "root").select(*schema.names, "names", "leads").mapInArrow(judge, texts.withColumn("gone", F.lit(True)).schema))
-        gone = gone.unionByName(judged.filter("gone").select("same"))
-        left = judged.filter("not gone").select(*schema.names)
+        judged = written(left.join(led, "root").select(*schema.names, "names", "leads").mapInArrow(judge, StructType([StructField(f.name, f.dataType, True) for f in out])))
+        gone = gone.unionByName(judged.filter("by is not null").select("same", "by"))
+        left = judged.filter("by is null").select(*schema.names)
         if left.isEmpty():
             return gone
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 1, distance: int = 5, distinct: bool = True) -> DataFrame:
-    """One row of each group of near duplicates, columns unchanged.
+    """One row of each group of near duplicates, columns unchanged: each text that goes has a Jaccard
+    similarity of its five-word shingles of 0.8 or more to one that stays, and no two that stay have.
 
-    Candidates are components of fingerprints of the set of words at a distance of 5, which catch nine in
-    ten pairs whose five-word shingles have a Jaccard similarity of 0.8 or more (fingerprints of
-    five-word shingles themselves differ by 8 bits on average at that similarity, beyond any index that
-    scales). They are verified by the similarity of their five-word shingles, as sketches estimate it:
-    near exact up to some hundred words, with a standard error of 2.5 % in long texts.
+    Copies and most near copies meet as components of fingerprints of the set of words at a distance of
+    5 and go by sketches of their shingles, a leader for each, which needs no pairs within a group; the
+    similarity to the leader is then computed. All texts that are left, whatever their fingerprints, are
+    compared by the shingles in the prefixes of their sets, which miss no pair; of similar ones those that
+    more texts have gone for stay, then those of least id. Texts whose leader goes so are compared anew
+    with all that stay.
 
-    Of equal texts (null is empty) the row of least id stays, null ids last, ties by a hash of the row; the
-    least of a component always stays.
+    Of equal texts (null is empty) the row of least id stays, null ids last, ties by a hash of the row.
     """
     names = df.columns
     renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
     text, key = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
-    start = lambda: lambda texts: [np.array([fingerprint(t, shingle, distinct) for t in texts], np.uint64).view(np.int64), [sketch(t) for t in texts]]
+    common = common_shingles(renamed.select(text_of(text).alias("text")))
+
+    def start():
+        def make(found):
+            sets = [shingles(t) for t in found]
+            prints = np.array([fingerprint(t, shingle, distinct) for t in found], np.uint64).view(np.int64)
+            return [prints, [sketched(x) for x in sets], [len(x) for x in sets], [prefix(x, common).tobytes() for x in sets]]
+
+        return make
+
     twice = renamed.withColumn("scan", F.col(text)).withColumn("same", F.unhex(F.md5(text_of(text).cast("binary")))).withColumn("order", F.xxhash64(*renamed.columns))
-    rows = written(map_rows(twice, [*renamed.columns, "same", "order"], "scan", "fp long, sketch binary", start))
+    rows = written(map_rows(twice, [*renamed.columns, "same", "order"], "scan", "fp long, sketch binary, size long, prefix binary", start))
     named = _named(rows.select(F.col(key).alias("doc_id"), "fp"), distance).select("fp", "root")
     texts = rows.groupBy("fp", "same").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "order", "sketch")).alias("w"))
     texts = written(texts.join(named, "fp").select("root", "same", "w.*"))
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
-    winners = texts.select("same", "order").join(_dropped(texts.join(several, "root", "left_semi")), "same", "left_anti")
+    t = F.xxhash64("same").alias("t")
+    held = rows.select(t, text_of(text).alias("text"))
+    sets = rows.select(t, "size", "prefix")
+    led = _dropped(texts.join(several, "root", "left_semi")).select(F.xxhash64("by").alias("a"), F.xxhash64("same").alias("b"))
+    led = similar(written(led), held)  # (a leader, b that goes for it)
+    ranks = texts.select(t, "none", "id", "order").join(led.groupBy(F.col("a").alias("t")).agg(F.count(F.lit(1)).alias("n")), "t", "left")
+    ranks = written(ranks.select("t", F.struct(-F.coalesce("n", F.lit(0)), "none", "id", "order").alias("rank")))
+
+    def settled(among: DataFrame, by: DataFrame) -> DataFrame:
+        found = sets.join(among, "t", "left_semi").groupBy("t").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        return written(_yield(similar(written(candidates(found)), held), by))
+
+    left = ranks.select("t").join(led.select(F.col("b").alias("t")), "t", "left_anti")
+    gone = settled(left, ranks)
+    lost = written(led.join(gone.select(F.col("t").alias("a")), "a", "left_semi").select(F.col("b").alias("t")))
+    out = led.select(F.col("b").alias("t")).join(lost, "t", "left_anti").unionByName(gone)
+    if not lost.isEmpty():
+        stay = left.join(gone, "t", "left_anti")
+        late = ranks.join(lost.withColumn("late", F.lit(1)), "t", "left").select("t", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "rank").alias("rank"))
+        out = out.unionByName(settled(stay.unionByName(lost), late))
+    winners = texts.select("same", "order", t).join(out, "t", "left_anti").select("same", "order")
     # copies of one text differ in order unless they are wholly alike, so that none of them meet in the join
     held = rows.select(*renamed.columns, "same", "order").join(winners, ["same", "order"])
     return held.groupBy("same", "order").agg(F.first(F.struct(*renamed.columns)).alias("r")).select("r.*").toDF(*names)
