@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +14,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def transitive_callers(calls: DataFrame, changed: DataFrame, most_rounds: int = 50) -> DataFrame:
+def transitive_callers(calls: DataFrame, changed: DataFrame) -> DataFrame:
     """(name, depth): changed functions (name) at 0, and all that call them directly or not. calls may
-    hold cycles: each round keeps only callers that are new."""
+    hold cycles: each round keeps only callers that are new, and rounds end when there are none."""
     found = changed.select("name").distinct().withColumn("depth", F.lit(0))
     front = found
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         up = calls.join(front, calls["callee"] == front["name"]).select(calls["caller"].alias("name")).distinct()
         front = _cut(up.join(found, "name", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
-        found = _cut(found.unionByName(front))
-    return found
+            return found
+        found = _cut(found.unionByName(front).coalesce(calls.sparkSession.sparkContext.defaultParallelism))
 
 
 def lcom4(fields: DataFrame) -> DataFrame:
