@@ -81,12 +81,32 @@ def secret_assignments(lines: DataFrame) -> DataFrame:
 
 
 def error_handling(lines: DataFrame) -> DataFrame:
-    """Rust patterns; what follows a test module in a file is skipped."""
+    """Patterns by language; what follows a test module in a file is skipped. Empty handlers show on the
+    line after, which the last line of a file has as empty."""
     rust = in_extensions(lines, ("rs",))
     flag = F.max(F.when(F.col("trimmed").startswith("#[cfg(test)]"), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("line"))
     live = rust.withColumn("test", flag).filter((F.col("test") == 0) & ~F.col("trimmed").startswith("//"))
     rules = (*tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", ""))
-    return findings(live, rules)
+    return findings(live, rules).unionByName(_other_errors(lines))
+
+
+def _other_errors(lines: DataFrame) -> DataFrame:
+    """Python, JavaScript, TypeScript and Go."""
+    t, after, ext = F.col("trimmed"), F.col("after"), F.col("ext")
+    by_line = Window.partitionBy("path").orderBy("line")
+    flag = F.max(F.when(t.contains("#[cfg(test)]") | t.contains("mod tests"), 1).otherwise(0)).over(by_line)
+    seen = in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path")))
+    live = seen.withColumn("test", flag).withColumn("after", F.lead("trimmed", 1, "").over(by_line)).filter((F.col("test") == 0) & ~t.rlike("^(//|#)"))
+    script = ext.isin("js", "ts", "tsx")
+    kinds = (
+        ("bare_except", "high", (ext == "py") & t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", "")),
+        ("empty_catch", "medium", script & t.contains(".catch(") & (t.contains("{}") | t.endswith(".catch()"))),
+        ("empty_catch", "high", script & (t == "} catch (e) {") & (after == "}")),
+        ("discard", "medium", (ext == "go") & (t.startswith("_ =") | t.startswith("_, _ ="))),
+        ("empty_error_handler", "high", (ext == "go") & t.startswith("if err != nil {") & (after == "}")),
+    )
+    hit = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))) for name, severity, when in kinds]))
+    return live.select(F.col("path").alias("file"), "line", F.explode(hit).alias("h")).select("file", "line", "h.*")
 
 
 def debt_markers(lines: DataFrame) -> DataFrame:
