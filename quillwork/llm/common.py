@@ -95,6 +95,26 @@ def map_rows(df: DataFrame, keep: list[str], text_col: str, schema: str, start:
     return spread(given).mapInArrow(run, out_type)
 
 
+def map_kept(df: DataFrame, text_col: str, schema: str, start: Callable[[], Callable], then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """map_rows over all columns of df, of which the text goes to Python once; then() works on columns c0,
+    c1 and so on beside the new ones, and df's columns are given back."""
+    names = df.columns
+    renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    made = then(map_rows(renamed, renamed.columns, f"c{names.index(text_col)}", schema, start))
+    return made.select(*renamed.columns).toDF(*names)
+
+
+def sampled(df: DataFrame, order: Column, ties: list[str], rows: int) -> DataFrame:
+    """rows of df at most, by the least hashes order (a long) of a table that is larger. A bound on the hash
+    leaves only about as many as are asked for, so that no task gets more than them from all others."""
+    total = df.count()
+    ranked = df.withColumn("__order", order)
+    if total > rows:
+        share = min(1.0, (rows + 4 * rows**0.5) / total)
+        ranked = ranked.filter(F.col("__order") <= int(-(2**63) + share * (2**64 - 1)))
+    return ranked.orderBy("__order", *ties).limit(rows).drop("__order")
+
+
 def _ddl(schema: str):
     from pyspark.sql.types import _parse_datatype_string
 
