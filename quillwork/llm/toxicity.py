@@ -45,8 +45,9 @@ SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
 #: Least log-odds of a form or stem that becomes an insult arc; lengths of stems; distinct forms that a stem needs.
 LEAST_ODDS, STEMS, STEM_FORMS = 2.5, (3, 4, 5, 6, 7), 4
-#: Texts with an arc that no arc before explains: that many at least, and that share of the toxic ones.
-LEAST_NEW, LEAST_SHARE = 2, 0.004
+#: Texts with an arc that no arc before explains: that many at least, and that share of the toxic ones; the
+#: share if copies count.
+LEAST_NEW, LEAST_SHARE, COPIED_SHARE = 2, 0.004, 0.02
 
 # Symbols of the grammar; insults are digits, from "1" to the top grade.
 OTHER, NEGATED, REPORTED, PERSON, MODAL, THREATENS, HIT = "o", "n", "r", "p", "m", "t", "x"
@@ -236,19 +237,23 @@ def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Lexicon:
 
     A form counts in a text that holds it, a stem in one that holds two forms of it: by chance a stem comes
     once. Candidates are of high smoothed log-odds, and are taken in order of the toxic texts that no arc
-    taken before explains, less the clean ones they would add; near copies of one text count once.
+    taken before explains, less the clean ones they would add. Near copies of one text count once at first,
+    since they share words that have nothing to do with it; what they are left with is learned from then.
     """
     lexicon = Lexicon()
     texts = [(frozenset(map(sys.intern, words)), y) for words, y in counts]
-    toxic, seen = [], set()
-    for words, y in texts:
-        if y == 1 and (key := _passage(words)) not in seen:
-            seen.add(key)
-            toxic.append(words)
-    clean = [words for words, y in texts if y != 1]
+    toxic, clean = [words for words, y in texts if y == 1], [words for words, y in texts if y != 1]
+    once = list({_passage(words): words for words in toxic}.values())
+    _take_arcs(lexicon, once, clean, max(LEAST_NEW, LEAST_SHARE * len(once)))
+    left = [words for words in toxic if not any(lexicon.symbol(w) in GRADES for w in words)]
+    _take_arcs(lexicon, left, clean, max(LEAST_NEW, COPIED_SHARE * len(toxic)))
+    return lexicon
+
+
+def _take_arcs(lexicon: Lexicon, toxic: list[frozenset[str]], clean: list[frozenset[str]], least: float) -> None:
     n1, n0 = len(toxic), len(clean)
-    if not n1 or not n0:
-        return lexicon
+    if n1 < least or not n0:
+        return
 
     def stems_of(words: Iterable[str], wanted=None) -> Counter:
         """Stem -> forms of it among the words."""
@@ -280,7 +285,6 @@ def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Lexicon:
             if n > 1:
                 at[True, s].add(i)
     open_texts = {i for i, words in enumerate(toxic) if words.isdisjoint(INSULTS)}
-    least = max(LEAST_NEW, LEAST_SHARE * n1)
 
     def gain(arc: tuple[bool, str]) -> float:
         stem, key = arc
@@ -295,7 +299,6 @@ def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Lexicon:
         seldom = odds(once[key], clean_once[key]) if stem else odds(len(at[best]), clean_forms[key])
         (lexicon.stems if stem else lexicon.forms)[key] = max(1, min(TOP, round(seldom)))
         open_texts -= at[best]
-    return lexicon
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
