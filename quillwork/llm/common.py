@@ -154,6 +154,27 @@ def rank_table(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class ByteBound:
+    """A cache of strings and their ids, emptied when it holds more bytes than LIMIT."""
+
+    LIMIT = 24 << 20
+    #: What an entry takes beside its characters: two objects and a place in the table, about.
+    ENTRY = 200
+
+    def __init__(self):
+        self.held: dict[str, bytes] = {}
+        self.size = 0
+
+    def put(self, key: str, value: bytes) -> None:
+        self.held[key] = value
+        self.size += self.ENTRY + len(key) + len(value)
+
+    def fit(self) -> None:
+        if self.size > self.LIMIT:
+            self.held.clear()
+            self.size = 0
+
+
 def bounded(part: str) -> bool:
     """Neither empty nor with white space at an end."""
     return bool(part) and not part[0].isspace() and not part[-1].isspace()

@@ -1,23 +1,28 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Documents are token streams, queued by source. Every window of WINDOW tokens gives each queue its
-target share; what rounding leaves a queue short or over is its deficit and is carried on, so that
-after k windows of a phase a queue has been served exactly the k-fold share, rounded. The deficit
-recurrence has a closed form (differences of floors of cumulative shares), hence any window can be
-served anywhere: a partition needs its documents' positions in their queue, not the windows before.
-When a queue runs dry a new phase begins, with the targets of the others scaled up.
+target share; what rounding leaves a queue short is its deficit and is carried on, so that after k
+windows of a phase a queue has been served exactly the k-fold share, rounded down. The deficit
+recurrence has a closed form (floors of cumulative shares), hence any window can be served anywhere:
+a partition needs its documents' positions in their queue, not the windows before. When a queue runs dry a new phase begins, with the targets of the others scaled up.
+
+Without targets a queue's target is its part of all tokens. A source that would be due less than a
+sequence a window then, and has no target of its own, joins the queue of all such sources, where their
+documents are mixed evenly by a hash: its deficit would otherwise be paid out in pieces of a token or
+so. There are at most WINDOW / SEQUENCE other queues beside those with targets, however many sources.
 
 Windows are laid end to end and cut into sequences of 2048, all full but the last. Documents are cut
 where a queue's share or a sequence ends, so each token lies in exactly one piece.
 
-Positions in a queue come from sums by (source, block), blocks of bounded rows, and a running sum
-within a block: no source is ever in one task. Null text is the empty text (one token: the end id),
-null source is a queue named by the empty string, null or repeated ids keep a row each.
+Positions in a queue come from sums by (queue, block), blocks of bounded rows, running sums over blocks
+in two levels, and a running sum within a block: no source is ever in one task. Null text is the empty
+text (one token: the end id), null source is a source named by the empty string, null or repeated ids
+keep a row each, further columns don't matter; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
-from array import array
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -27,87 +32,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded, crc, map_rows, pretoken_pattern, rank_table, tokenizer_path, written
+from .common import ByteBound, arrow_schema, bounded, crc, map_rows, tokenizer_path, written
 
 SEQUENCE, WINDOW, END_ID = 2048, 1 << 17, 1
-#: Documents in a block of a queue, about; queues at most (sources beyond share queues by hash).
-BLOCK_ROWS, QUEUES = 5_000, 4_096
-CACHE = 400_000
+#: Documents in a block of a queue, about, and blocks that one running sum covers.
+BLOCK_ROWS, SUM_BLOCKS = 5_000, 4_096
+#: Bytes of ids in one batch of pieces, about; the name of the queue that small sources share.
+OUT_BYTES, SHARED = 1 << 23, "+"
 
 
 class WordCoder:
-    """Ids of whole texts through a bounded cache of what stands between single blanks.
+    """Ids of whole texts, as the tokenizers library gives them with add_special_tokens=False: the string of
+    an added token inside a text is that token. What stands between single blanks is remembered.
 
     A blank between two characters that aren't white space always begins a pre-token, so that what
     lies between such blanks is encoded on its own; other texts are encoded in one piece.
     """
 
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.dtype = "<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4"
+        self.cache = ByteBound()
 
-        coding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_table(path), special_tokens={})
-        self.single = lambda w: array("I", coding.encode_ordinary(w)).tobytes()
-        self.cache: dict[str, bytes] = {}
+    def many(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        """Ids in the type dtype."""
+        self.cache.fit()
         first, *rest = text.split(" ")
-        if not rest:
-            return self.single(text)
-        for w in set(rest).difference(self.cache):
-            if not bounded(w):
-                return self.single(text)
-            self.cache[w] = self.single(" " + w)
-        if not bounded(first):
-            return self.single(text)
-        return self.single(first) + b"".join(map(self.cache.__getitem__, rest))
+        words = set(rest)
+        if not rest or not bounded(first) or not all(map(bounded, words)):
+            return self.many([text])[0]
+        fresh = [w for w in words if w not in self.cache.held]
+        for w, ids in zip(fresh, self.many([" " + w for w in fresh]) if fresh else (), strict=True):
+            self.cache.put(w, ids)
+        return self.many([first])[0] + b"".join(map(self.cache.held.__getitem__, rest))
 
 
 @lru_cache(1)
-def word_coder(path: str, pattern: str) -> WordCoder:
+def word_coder(path: str) -> WordCoder:
     """One a worker process, kept over its tasks."""
-    return WordCoder(path, pattern)
+    return WordCoder(path)
 
 
 class Phase:
     """Windows over which the queues served stay the same.
 
     first: place of the phase's first token; shares: tokens of each queue in this phase; begun: tokens
-    of each queue served before.
+    of each queue served before. After k windows a queue has been served its k-fold share, rounded down:
+    what a window lacks of WINDOW tokens by that, one a queue at most, the next ones make up for.
     """
 
-    def __init__(self, first: int, begun: dict[str, int], shares: dict[str, int]):
-        self.first, self.begun, self.total = first, begun, sum(shares.values())
-        edges, at = {}, 0
-        for q in sorted(shares):
-            edges[q] = (at, at + shares[q])
-            at += shares[q]
-        self.edges, self.shares = edges, shares
-        self.windows = -(-self.total // WINDOW)
+    def __init__(self, first: int, begun: dict[str, int], shares: dict[str, int], window: int = WINDOW):
+        self.first, self.begun, self.total, self.window = first, begun, sum(shares.values()), window
+        self.shares, self.order = shares, sorted(shares)
+        self.windows = -(-self.total // window)
+        self.places: dict[int, dict[str, int]] = {}
 
     def served(self, q: str, k: int) -> int:
         """Tokens of queue q in the phase's first k windows."""
-        lo, hi = self.edges[q]
-        x = min(k * WINDOW, self.total)
-        return x * hi // self.total - x * lo // self.total
+        return min(k * self.window, self.total) * self.shares[q] // self.total
 
     def place(self, q: str, k: int) -> int:
         """Where queue q's tokens of window k begin."""
-        lo = self.edges[q][0]
-        x, y = min(k * WINDOW, self.total), min((k + 1) * WINDOW, self.total)
-        return self.first + x + (y * lo // self.total - x * lo // self.total)
-
-
-def plan(totals: dict[str, int], targets: dict[str, float] | None = None) -> list[Phase]:
+        if k not in self.places:
+            if len(self.places) > 256:
+                self.places.clear()
+            at, found = self.first + sum(self.served(p, k) for p in self.order), {}
+            for p in self.order:
+                found[p] = at
+                at += self.served(p, k + 1) - self.served(p, k)
+            self.places[k] = found
+        return self.places[k][q]
+
+
+def plan(totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW) -> list[Phase]:
     """Phases that serve all tokens. Without targets a queue's share is its part of all tokens, and all
-    queues end together. Queues that are due less than a token a window are served whole at first."""
+    queues end together; queues without a target come by that rule when those with one are empty."""
     left = {q: n for q, n in totals.items() if n}
     at, begun, phases = 0, dict.fromkeys(totals, 0), []
 
     def serve(shares: dict[str, int]) -> None:
         nonlocal at
-        phase = Phase(at, dict(begun), shares)
+        phase = Phase(at, dict(begun), shares, window)
         phases.append(phase)
         at += phase.total
         for q, n in shares.items():
@@ -116,9 +127,6 @@ def plan(totals: dict[str, int], targets: dict[str, float] | None = None) -> lis
             if not left[q]:
                 del left[q]
 
-    windows = sum(left.values()) // WINDOW + 1
-    if tiny := {q: n for q, n in left.items() if n < windows}:
-        serve(tiny)
     while left:
         if targets is None:
             serve(dict(left))
@@ -142,7 +150,7 @@ def pieces_of(phases: list[Phase], q: str, start: int, end: int) -> Iterator[tup
         lo, hi = max(start - p.begun[q], 0), min(end - p.begun[q], p.shares[q])
         if lo >= hi:
             continue
-        k = min(p.windows - 1, lo * p.total // (p.shares[q] * WINDOW))
+        k = min(p.windows - 1, lo * p.total // (p.shares[q] * p.window))
         while k and p.served(q, k) > lo:
             k -= 1
         while p.served(q, k + 1) <= lo:
@@ -156,61 +164,100 @@ def pieces_of(phases: list[Phase], q: str, start: int, end: int) -> Iterator[tup
             k += 1
 
 
-def tokenized(df: DataFrame, text_col: str, id_col: str, source_col: str, ranks_path: str) -> DataFrame:
-    """(doc_id, queue, n, ids binary): ids with the end id, as 32-bit little-endian."""
+def tokenized(df: DataFrame, text_col: str, id_col: str, source_col: str, path: str) -> DataFrame:
+    """(doc_id, queue, n, ids binary): ids with the end id, in the coder's type."""
     given = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"), F.col(text_col).alias("text"))
-    pattern = pretoken_pattern()
 
     def start():
-        coder, end = word_coder(ranks_path, pattern), END_ID.to_bytes(4, "little")
+        coder = word_coder(path)
+        end = np.array([END_ID], coder.dtype).tobytes()
 
         def make(texts):
             ids = [coder.encode(t) + end for t in texts]
-            return [[len(x) // 4 for x in ids], ids]
+            return [[len(x) // len(end) for x in ids], ids]
 
         return make
 
     return map_rows(given, ["doc_id", "queue"], "text", "n long, ids binary", start)
 
 
-def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", ranks_path: str | None = None, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: long; ids binary), a row a piece."""
-    coded = written(tokenized(df, text_col, id_col, source_col, ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")))
-    few = coded.select("queue").distinct().limit(QUEUES + 1).count() <= QUEUES
-    queue = F.col("queue") if few else F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string")
+def queues(coded: DataFrame, targets: dict[str, float] | None, window: int) -> DataFrame:
+    """coded with the names of queues, null for the one that the small sources share."""
+    totals = coded.groupBy("queue").agg(F.sum("n").alias("n"))
+    share = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * SEQUENCE // window
+    wanted = [q for q, w in (targets or {}).items() if w > 0]
+    own = [r["queue"] for r in totals.filter((F.col("n") >= max(share, 1)) | F.col("queue").isin(wanted)).collect()]  # WINDOW / SEQUENCE and len(targets) rows at most
+    missing = set(wanted).difference(own)
+    if missing and len(missing) == len(wanted):
+        raise ValueError(f"no documents of the sources with targets: {sorted(missing)}")
+    return coded.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")))
+
+
+def block_bases(rows: DataFrame) -> DataFrame:
+    """(queue, block, sum, base) of rows (queue, block, n): base is the sum of the queue's blocks before."""
+    sums = written(rows.groupBy("queue", "block").agg(F.sum("n").alias("sum")).withColumn("part", F.expr(f"block div {SUM_BLOCKS}")))
+    parts = sums.groupBy("queue", "part").agg(F.sum("sum").alias("all"))
+    parts = parts.withColumn("before", F.sum("all").over(Window.partitionBy("queue").orderBy("part")) - F.col("all"))
+    inside = sums.withColumn("base", F.sum("sum").over(Window.partitionBy("queue", "part").orderBy("block")) - F.col("sum"))
+    joined = inside.alias("i").join(parts.alias("p"), F.col("i.queue").eqNullSafe(F.col("p.queue")) & (F.col("i.part") == F.col("p.part")))
+    return written(joined.select("i.queue", "block", "sum", (F.col("base") + F.col("before")).alias("base")))
+
+
+def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", path: str | None = None, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: long; ids binary), a row a piece;
+    ids are little-endian unsigned 32-bit. path: a tokenizer file that every executor can open. targets:
+    weights of sources; sources without one come when those with one are empty. window: tokens of a window,
+    a multiple of a sequence."""
+    path = path or tokenizer_path("byte_bpe_50k.json")
+    dtype = word_coder(path).dtype
+    # a number for each row, fixed once it is written: blocks are even whatever ids are null or repeated
+    coded = written(tokenized(df, text_col, id_col, source_col, path).withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, -(-coded.count() // BLOCK_ROWS))
-    rows = coded.withColumn("queue", queue).withColumn("block", F.pmod(F.xxhash64("doc_id", "n"), F.lit(blocks)))
-    sums = rows.groupBy("queue", "block").agg(F.sum("n").alias("sum"))
-    bases = written(sums.withColumn("base", F.sum("sum").over(Window.partitionBy("queue").orderBy("block")) - F.col("sum")))
-    totals = {r["queue"]: r["total"] for r in bases.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # at most QUEUES rows
-    phases = plan(totals, targets)
+    rows = queues(coded, targets, window).withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)))
+    bases = block_bases(rows)
+    totals = {r["queue"]: r["total"] for r in bases.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # one row a queue
+    phases = plan({_name(q): n for q, n in totals.items()}, targets and {_name(q): w for q, w in targets.items()}, window)
     # a block's base travels as a row in front of its documents, so that one shuffle brings both together
-    first = bases.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "queue", "block", "base", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"))
-    both = first.unionByName(rows.select("doc_id", "queue", "block", F.lit(None).cast("long").alias("base"), "n", "ids"))
-    given = both.repartition("queue", "block").sortWithinPartitions("queue", "block", F.col("base").isNull(), "doc_id", "n")
+    first = bases.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "queue", "block", "base", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("row"), F.lit(None).cast("binary").alias("ids"))
+    both = first.unionByName(rows.select("doc_id", "queue", "block", F.lit(None).cast("long").alias("base"), "n", "row", "ids"))
+    given = both.repartition("queue", "block").sortWithinPartitions("queue", "block", F.col("base").isNull(), "doc_id", "row")
+    given = given.select("doc_id", "queue", "base", "n", "ids")
     out = given.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], "ids").schema
     arrow = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in batches:
-            found = []
-            for doc, q, _, base, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, size = [], 0
+            for doc, q, base, n, ids in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if base is not None:
                     at = base
                     continue
+                q, ids = _name(q), np.frombuffer(ids.as_buffer(), dtype)
                 for a, b, place in pieces_of(phases, q, at, at + n):
-                    cuts = _cuts(a, b, place)
-                    for x, y in pairwise(cuts):
-                        part = ids[4 * (x - at) : 4 * (y - at)]
+                    for x, y in pairwise(_cuts(a, b, place)):
+                        part = ids[x - at : y - at].astype("<u4").tobytes()
                         found.append((doc, x - at, y - x, crc(part), n, (place + x - a) // SEQUENCE, (place + x - a) % SEQUENCE, part))
+                        size += len(part)
                 at += n
-            columns = list(zip(*found, strict=True)) if found else [[]] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                if size > OUT_BYTES:
+                    yield _batch(found, arrow)
+                    found, size = [], 0
+            if found:
+                yield _batch(found, arrow)
 
     return given.mapInArrow(run, out)
 
 
+def _name(queue: str | None) -> str:
+    """Names in a plan: sources behind a mark, so that the shared queue's name is no source's."""
+    return SHARED if queue is None else f"={queue}"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _cuts(a: int, b: int, place: int) -> list[int]:
     """a, b and what lies between where a sequence ends, for tokens laid from place on."""
     first = a + SEQUENCE - place % SEQUENCE
