@@ -1 +1 @@
-"""Corpus analytics on Spark."""
+"""Scalar functions over columns: text, arrays and names."""

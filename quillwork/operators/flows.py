@@ -1,24 +1,62 @@
-"""Checks that look at several lines of a file: taint, dead imports, documentation, type annotations,
-literals of high entropy, and mutants."""
+"""Checks that look at several lines of a file: taint, dead code, documentation, and mutants.
+
+Taint and dead code work on a file's lines as one array, without a shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from ..sources import line_state
+from ..sources.corpus import extension
 
-# Words that make a variable sensitive, and sinks in order of precedence.
+# Words that make a variable sensitive; sinks by language and in order of precedence.
 SENSITIVE = ("password", "secret", "token", "api_key", "apikey", "private_key", "credential", "auth_key", "access_key")
-SINKS = (
-    ("LOG_LEAK", ("log::info!", "log::warn!", "log::error!", "log::debug!", "log::trace!")),
-    ("PRINT_LEAK", ("println!", "print!", "eprintln!", "eprint!")),
-    ("FILE_WRITE", ("std::fs::write", "File::create")),
-    ("UNFILTERED_RETURN", ()),
-    ("DEBUG_LEAK", ("dbg!", "debug!", "trace!")),
-)
-#: Swaps of the standard mutation strategy: what is replaced, and by what.
-SWAPS = ((" == ", " != "), (" != ", " == "), (" < ", " >= "), (" > ", " <= "), (" && ", " || "), (" || ", " && "), (" + ", " - "), (" - ", " + "), ("true", "false"), ("false", "true"))
+SINKS = {
+    "rust": (
+        ("LOG_LEAK", ("log::info!", "log::warn!", "log::error!", "log::debug!", "log::trace!")),
+        ("PRINT_LEAK", ("println!", "print!", "eprintln!", "eprint!")),
+        ("FILE_WRITE", ("std::fs::write", "File::create", "fs::File::create", "std::fs::OpenOptions")),
+        ("UNFILTERED_RETURN", ()),
+        ("DEBUG_LEAK", ("dbg!", "debug!", "trace!")),
+    ),
+    "python": (("LOG_LEAK", ("logging.", "logger.", "log.")), ("PRINT_LEAK", ("print(",)), ("DEBUG_LEAK", ("pprint", "repr("))),
+    "script": (
+        ("LOG_LEAK", ("console.log", "console.warn", "console.error", "logger.", "log.info", "winston.", "bunyan.")),
+        ("PRINT_LEAK", ("process.stdout", "process.stderr")),
+        ("DEBUG_LEAK", ("console.debug", "console.trace")),
+    ),
+    "go": (
+        ("LOG_LEAK", ("log.Print", "log.Fatal", "log.Panic", "fmt.Fprintf", "logrus.", "zap.")),
+        ("PRINT_LEAK", ("fmt.Print", "fmt.Sprintf")),
+        ("DEBUG_LEAK", ("fmt.Printf", "log.Printf")),
+    ),
+}
+TAINT_SEVERITY = {"LOG_LEAK": "high", "PRINT_LEAK": "high", "FILE_WRITE": "medium", "UNFILTERED_RETURN": "medium", "DEBUG_LEAK": "low"}
+#: Extensions of the languages that taint knows, and the variable that a line assigns to.
+TAINT_EXTENSIONS = {"rust": ("rs",), "python": ("py", "pyi"), "script": ("js", "mjs", "cjs", "ts", "tsx", "mts"), "go": ("go",)}
+WORD = r"[\p{L}\p{N}_]"
+ASSIGNED = {
+    "rust": (rf"^(?:let|const|static)\s+(?:mut )?({WORD}+)(?:[^\p{{L}}\p{{N}}_])",),
+    "python": (rf"^({WORD}+)\s*=",),
+    "script": ("^(?:const|let|var) ([^=:; ]+)",),
+    "go": (r"^var \s*(\S+)", r"^([^,]*[^,\s])\s*:="),
+}
+
+# Textual swaps of the mutation strategies; what a boundary swap must not meet as well.
+SWAPS = {
+    "standard": (
+        ("+", "-"), ("-", "+"), ("*", "/"), ("/", "*"), ("==", "!="), ("!=", "=="), (">", "<"), ("<", ">"), (">=", "<="), ("<=", ">="), ("&&", "||"), ("||", "&&"),
+        ("true", "false"), ("false", "true"),
+    ),
+    "boundary": ((" < ", " <= "), (" <= ", " < "), (" >= ", " > "), (" > ", " >= ")),
+    "bitwise": ((" ^ ", " | "), (" | ", " ^ "), (" << ", " >> "), (" >> ", " << "), (" & ", " | "), (" | ", " & ")),
+}
+UNLESS = {("standard", "true"): "// true", ("standard", "false"): "// false", ("boundary", " < "): " <= ", ("boundary", " > "): " >= "}
+CALLS = tuple(f"{kind}_{op}" for kind in ("wrapping", "saturating", "checked") for op in ("add", "sub", "mul"))
 
 
 def any_of(text: Column, words) -> Column:
@@ -28,56 +66,126 @@ def any_of(text: Column, words) -> Column:
     return hit
 
 
-def sink(trimmed: Column) -> Column:
+def sink(trimmed: Column, language: str = "rust") -> Column:
     chain = F
-    for kind, words in SINKS:
+    for kind, words in SINKS[language]:
         chain = chain.when(any_of(trimmed, words) if words else trimmed.startswith("pub fn"), kind)
     return chain
 
 
-def taint(lines: DataFrame) -> DataFrame:
-    """(file, line, kind) of Rust lines: a sink after, and naming, a variable that its name, a marker on
-    the line before or a ``Secret::`` value made sensitive. Lines that define one are never sinks."""
-    w = Window.partitionBy("path").orderBy("line")
-    name = F.regexp_extract("trimmed", r"^(?:let|const|static) +(?:mut +)?([A-Za-z0-9_]+)", 1)
-    marked = F.coalesce(F.lag("trimmed").over(w).contains("// @sensitive"), F.lit(False))
-    known = lines.withColumn("name", name).withColumn("marked", marked)
-    defines = (F.col("name") != "") & (any_of(F.lower("name"), SENSITIVE) | F.col("marked") | F.col("trimmed").contains("Secret::"))
-    flagged = known.withColumn("defines", defines)
-    sources = flagged.filter("defines").groupBy("path", "name").agg(F.min("line").alias("since"))
-    uses = flagged.filter("not defines").withColumn("kind", sink(F.col("trimmed"))).filter("kind is not null").select("path", "line", "text", "kind")
-    met = uses.join(sources, "path").filter((F.col("line") > F.col("since")) & F.expr("contains(text, name)"))
-    return met.select(F.col("path").alias("file"), "line", "kind").distinct()
-
-
-def dead_imports(files: DataFrame) -> DataFrame:
-    """(file, name): Python and JavaScript imports of a name that occurs once in its file."""
-    imported = F.regexp_extract_all("content", F.lit(r"(?m)^(?:import|from +[A-Za-z0-9_.]+ +import) +([A-Za-z0-9_]+)"), 1)
-    each = files.select("path", "content", F.explode(F.array_distinct(imported)).alias("name"))
-    times = (F.length("content") - F.length(F.expr("replace(content, name, '')"))) / F.length("name")
-    return each.filter(times <= 1).select(F.col("path").alias("file"), "name")
-
-
-def documented(lines: DataFrame) -> DataFrame:
-    """(file, line, documented): public functions with a documentation comment in the four lines before."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(-4, -1)
-    doc = F.when(F.col("trimmed").rlike(r"^(///|//!|/\*\*)"), 1).otherwise(0)
-    marked = lines.withColumn("doc", F.coalesce(F.max(doc).over(w), F.lit(0)))
-    return marked.filter(F.col("trimmed").rlike(r"^pub (async )?fn ")).select(F.col("path").alias("file"), "line", (F.col("doc") == 1).alias("documented"))
-
-
-def high_entropy(lines: DataFrame, least: float = 4.5, length: int = 12) -> DataFrame:
-    """(file, line, entropy, severity) of double-quoted literals of at least so many characters."""
-    each = lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit('"([^"]*)"'), 1)).alias("literal")).filter(F.length("literal") >= length)
-    scored = each.withColumn("entropy", F.round(metrics.entropy(F.col("literal")), 6)).filter(F.col("entropy") >= least)
-    return scored.select(F.col("path").alias("file"), "line", "entropy", F.when(F.col("entropy") >= 5.5, "high").otherwise("medium").alias("severity"))
-
-
-def mutants(lines: DataFrame) -> DataFrame:
-    """(file, line, original, mutated): every swap that applies to a line that is no comment."""
-    swaps = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("mutated")) for a, b in SWAPS])
-    each = lines.filter(~F.col("trimmed").startswith("//")).select("path", "line", "text", F.explode(swaps).alias("s"))
-    return each.filter(F.expr("contains(text, s.original)")).select(F.col("path").alias("file"), "line", "s.original", "s.mutated")
+def by_language(ext: Column, make: Callable[[str], Column]) -> Column:
+    chain = F
+    for language, extensions in TAINT_EXTENSIONS.items():
+        chain = chain.when(ext.isin(*extensions), make(language))
+    return chain
+
+
+def assigned(trimmed: Column, language: str) -> Column:
+    """The variable that the line assigns to, "" if none."""
+    first, *more = (F.regexp_extract(trimmed, p, 1) for p in ASSIGNED[language])
+    for m in more:
+        first = F.when(first == "", m).otherwise(first)
+    return first
+
+
+def taint(files: DataFrame) -> DataFrame:
+    """(file, line, variable, kind, severity): lines that name a variable made sensitive before, and are a sink.
+
+    A variable is sensitive by its name, by a marker on the last line before its own that isn't blank, or by
+    a ``Secret::`` value. Lines that make one sensitive, marker lines and test functions (Rust) are no sinks.
+    """
+    known = files.select("path", "content", extension(F.col("path")).alias("ext")).filter(F.col("ext").isin(*(e for es in TAINT_EXTENSIONS.values() for e in es)))
+    rust, ext = F.col("path").endswith(".rs"), extension(F.col("path"))
+
+    def judged(x: Column, i: Column) -> Column:
+        t = x["trimmed"]
+        skipped = x["in_test"] | line_state.begins_test(t, rust) | line_state.is_marker(t, rust)
+        name = F.when(skipped, "").otherwise(by_language(ext, lambda lang: assigned(t, lang)))
+        return F.struct((i + 1).alias("line"), x["text"].alias("text"), name.alias("name"), x["marked"].alias("marked"), t.contains("Secret::").alias("secret"), F.when(~skipped, by_language(ext, lambda lang: sink(t, lang))).alias("kind"))
+
+    def makes(s: Column) -> Column:
+        return (s["name"] != "") & (any_of(F.lower(s["name"]), SENSITIVE) | s["marked"] | s["secret"])
+
+    judged_lines = line_state.arrays(known, "in_test", "marked").select("path", F.explode(F.array(F.transform("lines", judged))).alias("ls"))
+    both = judged_lines.select("path", F.explode(F.array(F.struct(F.filter("ls", makes).alias("made"), F.filter("ls", lambda s: ~makes(s) & s["kind"].isNotNull()).alias("sinks")))).alias("b"))
+    leaks = F.transform("b.sinks", lambda u: F.transform(F.filter("b.made", lambda d: (d["line"] < u["line"]) & u["text"].contains(d["name"])), lambda d: F.struct(u["line"].alias("line"), d["name"].alias("variable"), u["kind"].alias("kind"))))
+    each = both.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.flatten(leaks))).alias("l")).select("file", "l.*")
+    severity = F.create_map(*[F.lit(x) for kv in TAINT_SEVERITY.items() for x in kv])
+    return each.withColumn("severity", severity[F.col("kind")])
+
+
+def python_import(trimmed: Column) -> Column:
+    """The first name that a Python import brings in, "" if none."""
+    taken = F.regexp_extract(trimmed, r"^(?:from .*? import|import)\s+([^\s,]+)", 1)
+    return F.regexp_replace(taken, rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", "")
+
+
+def script_imports(trimmed: Column) -> Column:
+    """The names that a JavaScript or TypeScript import brings in."""
+    inner = F.regexp_extract(trimmed, r"\{([^}]*)\}", 1)
+    named = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(F.regexp_replace(F.trim(p), " as .*$", ""))), lambda n: n.rlike(r"^\p{L}"))
+    default = F.regexp_replace(F.regexp_extract(trimmed, r"^import\s+(\S+)", 1), r"^\*+|\*+$", "")
+    return F.when(trimmed.contains("{"), named).otherwise(F.filter(F.array(default), lambda n: (n != "") & (n != "type")))
+
+
+def dead_code(files: DataFrame) -> DataFrame:
+    """(file, line, kind, severity): allowed dead code, imports of a name that occurs once in its file, branches
+    on a constant, discarded values, and empty blocks."""
+    ext, script = extension(F.col("path")), ("js", "ts", "mjs", "tsx")
+
+    def kinds(x: Column) -> Column:
+        t, previous = x["trimmed"], x["previous"]
+        mark = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit("").alias("name"))
+        opens = any_of(previous, ("fn ", "def ", "function ")) | previous.endswith("else") | previous.endswith("else {")
+        found = F.array_compact(F.array(
+            F.when(t.contains("#[allow(dead_code)]") | t.contains("# noqa: F401"), mark("allow_dead_code", "medium")),
+            F.when(t.isin("if false {", "if (false) {"), mark("unreachable_branch", "high")),
+            F.when(t.isin("if true {", "if (true) {"), mark("unreachable_branch", "medium")),
+            F.when((ext == "rs") & (t.startswith("let _ =") | t.startswith("let _x =")), mark("dead_assignment", "low")),
+            F.when(t.isin("{}", "{ }") & opens, mark("empty_block", "low")),
+        ))
+        names = F.when((ext == "py") & (t.startswith("import ") | t.startswith("from ")), F.filter(F.array(python_import(t)), lambda n: n != ""))
+        names = names.when(ext.isin(*script) & t.startswith("import ") & t.contains("from "), script_imports(t)).otherwise(F.array().cast("array<string>"))
+        return F.concat(found, F.transform(names, lambda n: F.struct(F.lit("unused_import").alias("kind"), F.lit("low").alias("severity"), n.alias("name"))))
+
+    each = line_state.arrays(files, "previous").select("path", F.explode(F.array(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).alias("whole"), "lines")
+    found = each.select("path", "whole", F.explode(F.flatten(F.transform("lines", lambda x, i: F.transform(kinds(x), lambda k: F.struct((i + 1).alias("line"), k.alias("k")))))).alias("f"))
+    times = (F.length("whole") - F.length(F.replace("whole", F.col("f.k.name"), F.lit("")))) / F.length("f.k.name")
+    return found.filter((F.col("f.k.name") == "") | (times <= 1)).select(F.col("path").alias("file"), "f.line", "f.k.kind", "f.k.severity")
+
+
+def mutants(lines: DataFrame, *strategies: str) -> DataFrame:
+    """(file, line, category, original, mutated): every swap of the strategies (all if none is named) that applies
+    to a line that is no comment; mutated is the new line."""
+    kinds = strategies or (*SWAPS, "arithmetic")
+    text, rows = F.col("text"), []
+    put = lambda hit, kind, old, new: F.when(hit, F.struct(F.lit(kind).alias("category"), F.lit(old).alias("original"), new.alias("mutated")))
+    for kind in kinds:
+        for old, new in SWAPS.get(kind, ()):
+            hit = text.contains(old)
+            if (kind, old) in UNLESS:
+                hit = hit & ~text.contains(UNLESS[kind, old])
+            swapped = F.replace(text, F.lit(old), F.lit(new)) if kind != "boundary" else _first_replaced(text, old, new)
+            rows.append(put(hit, kind, old, swapped))
+        if kind == "arithmetic":
+            rows += [put(text.contains(c), kind, c, F.replace(F.replace(text, F.lit(f".{c}("), F.lit(".")), F.lit(f"{c}("), F.lit("( "))) for c in CALLS]
+    each = lines.filter(~F.col("trimmed").startswith("//")).select(F.col("path").alias("file"), "line", F.explode(F.array_compact(F.array(*rows))).alias("m"))
+    return each.select("file", "line", "m.*")
+
+
+def _first_replaced(text: Column, old: str, new: str) -> Column:
+    at = F.instr(text, F.lit(old))
+    return F.concat(F.left(text, at - 1), F.lit(new), F.substr(text, at + len(old)))
+
+
+def limited(found: DataFrame, most: int, file_order: str = "file") -> DataFrame:
+    """At most so many mutants, over all files in order: a rank within a file after the running total of the files
+    before it. The first files that hold one each suffice, so that the running total is over as many rows."""
+    counts = found.groupBy(file_order).agg(F.count(F.lit(1)).alias("n")).orderBy(file_order).limit(most)
+    spread = F.sum("n").over(Window.orderBy(file_order).rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("before", F.coalesce(spread, F.lit(0))).filter(F.col("before") < most)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(file_order).orderBy("category", "original", "line")))
+    return ranked.join(before.select(file_order, "before"), file_order).filter(F.col("before") + F.col("rank") <= most).drop("before", "rank")
 
 
 def mutation_score(results: DataFrame) -> DataFrame:

@@ -11,15 +11,15 @@ KEYWORDS = (
     "mut", "pub", "use", "import", "from", "class", "struct", "enum", "impl", "trait", "type", "interface", "new", "delete", "await", "async", "yield", "try",
     "catch", "finally", "throw", "raise", "with", "in", "as", "is", "not", "and", "or", "true", "false", "nil", "null", "None", "True", "False",
 )
-TOKEN = r"""("[^"]*"|'[^']*'|[A-Za-z0-9_]+|[-+*/%=<>!&|^~?:;,.()\[\]{}@][=>]?)"""
+TOKEN = r"""("[^"]*"?|'[^']*'?|[\p{L}\p{N}_]+|[-+*/%=<>!&|^~?:;,.()\[\]{}@][=>]?)"""
 
 
 def halstead(lines: DataFrame) -> DataFrame:
-    """(file, n1, n2, total1, total2, volume, difficulty, bugs, time): a comment ends a line, a string is
-    one operand, a symbol takes a following = or > along."""
-    code = F.regexp_replace(F.regexp_replace("text", "//.*$", ""), "#.*$", "")
+    """(file, n1, n2, total1, total2, volume, difficulty, bugs, time): a comment ends a line (# only does where
+    there is no //), a string is one operand, a symbol takes a following = or > along."""
+    code = F.when(F.col("text").contains("//"), F.substring_index("text", "//", 1)).otherwise(F.substring_index("text", "#", 1))
     tokens = lines.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all(code, F.lit(TOKEN), 1)).alias("t"))
-    word = F.col("t").rlike("^[A-Za-z0-9_]")
+    word = F.col("t").rlike(r"^[\p{L}\p{N}_]")
     kind = F.when(F.col("t").rlike("^[\"']"), "operand").when(word & ~F.col("t").isin(*KEYWORDS), "operand").otherwise("operator")
     name = F.when(F.col("t").rlike("^[\"']"), "__literal__").otherwise(F.col("t"))
     by = tokens.select("file", kind.alias("kind"), name.alias("name")).groupBy("file", "kind", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -54,3 +54,17 @@ def supply_chain(packages: DataFrame) -> DataFrame:
         F.when(F.col("version").isNull() | F.col("version").rlike(r"[*^~<>]"), "unpinned"),
     ))
     return packages.select("path", "name", F.explode(issues).alias("issue"))
+
+
+def lost_tools(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """(..., tool) of tools that succeeded in the baseline and don't now."""
+    return baseline.select(*by, "tool").distinct().join(current.select(*by, "tool").distinct(), [*by, "tool"], "left_anti")
+
+
+def policy_errors(controls: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, error) of controls (id, name, tool): no id, no name, or a tool that isn't known (tool)."""
+    tools = known.select("tool").distinct().withColumn("known", F.lit(True))
+    each = F.array_compact(F.array(
+        F.when(F.col("id") == "", "missing id"), F.when(F.col("name") == "", "missing name"), F.when(F.col("known").isNull(), F.concat(F.lit("unknown tool "), "tool")),
+    ))
+    return controls.join(tools, "tool", "left").select("id", F.explode(each).alias("error"))

@@ -8,23 +8,69 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.corpus import extension
 
-def comment_ratio(lines: DataFrame) -> DataFrame:
-    """(file, code, comment, blank, ratio): documentation comments count as code."""
-    t = F.col("trimmed")
-    kind = F.when(t == "", "blank").when(t.rlike("^(//|#|/\\*|\\*)") & ~t.rlike("^(///|//!|/\\*\\*)"), "comment").otherwise("code")
+
+# Extensions by how their comments begin, and documentation comments by extension.
+C_LIKE = ("rs", "c", "cpp", "cc", "cxx", "h", "hpp", "cs", "java", "js", "ts", "tsx", "mjs", "go", "swift")
+HASH_ONLY = ("py", "pyi", "rb")
+DOC_COMMENTS = {("rs",): r"^(///|//!|/\*\*)", ("js", "ts", "tsx", "java", "cs"): r"^(/\*\*|\* |\*/)", ("py", "pyi"): "^(\"\"\"|''')"}
+
+
+def comment_ratio(lines: DataFrame, least: float | None = None) -> DataFrame:
+    """(file, code, comment, blank, ratio[, below]): what begins a comment depends on the extension; documentation
+    comments count as code. A file without code or comment has the ratio 1. below: a ratio under least in a file
+    of more than ten lines that aren't blank."""
+    t, ext = F.col("trimmed"), extension(F.col("path"))
+    plain = F.when(ext.isin(*C_LIKE), t.rlike(r"^(//|/\*|\*)")).when(ext.isin(*HASH_ONLY), t.startswith("#")).when(ext == "php", t.rlike(r"^(//|#|/\*|\*)")).otherwise(t.rlike("^(//|#)"))
+    doc = F
+    for extensions, pattern in DOC_COMMENTS.items():
+        doc = doc.when(ext.isin(*extensions), t.rlike(pattern))
+    kind = F.when(t == "", "blank").when(plain & ~doc.otherwise(False), "comment").otherwise("code")
     n = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k)
     counts = lines.select(F.col("path").alias("file"), kind.alias("kind")).groupBy("file").agg(n("code"), n("comment"), n("blank"))
     total = F.col("code") + F.col("comment")
-    return counts.withColumn("ratio", F.round(F.when(total > 0, F.col("comment") / total).otherwise(0.0), 6))
+    full = counts.withColumn("ratio", F.round(F.when(total > 0, F.col("comment") / total).otherwise(1.0), 6))
+    return full if least is None else full.withColumn("below", (F.col("ratio") < least) & (total > 10))
+
+
+def long_functions(functions: DataFrame, most: int = 40) -> DataFrame:
+    """Functions (file, name, line, end_line) of more lines than that, with n_lines."""
+    return functions.withColumn("n_lines", F.col("end_line") - F.col("line") + 1).filter(F.col("n_lines") > most)
 
 
 def long_files(lines: DataFrame, most: int = 500) -> DataFrame:
     return lines.groupBy(F.col("path").alias("file")).agg(F.count(F.lit(1)).alias("n_lines")).filter(F.col("n_lines") > most)
 
 
-def crap(functions: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(file, name, complexity, crap, band) of functions left-joined with hits by name."""
+# Functions that aren't unit-testable, left out by the tool.
+ENTRY_POINTS = ("main", "output_table", "output_json", "output_ndjson", "run_self_test")
+
+
+def crap_gate(scores: DataFrame, most: float = 30.0) -> DataFrame:
+    """One row (average, passed): the mean score decides, 0 without functions."""
+    return average(scores, "crap", 0.0).withColumn("passed", F.col("average") <= most)
+
+
+def complexity_gate(functions: DataFrame, limit: int = 10, most: int = 0) -> DataFrame:
+    """One row (violations, passed): functions of that complexity or more."""
+    return functions.agg(F.count(F.when(F.col("complexity") >= limit, 1)).alias("violations")).withColumn("passed", F.col("violations") <= most)
+
+
+def unsafe_blocks(lines: DataFrame) -> DataFrame:
+    """(file, unsafe) of Rust files (lines: path, text) that hold unsafe blocks."""
+    n = F.regexp_count("text", F.lit(r"\bunsafe\s*\{"))
+    return lines.filter(F.col("path").endswith(".rs")).groupBy(F.col("path").alias("file")).agg(F.sum(n).cast("long").alias("unsafe")).filter("unsafe > 0")
+
+
+def danger_zone(risks: DataFrame) -> DataFrame:
+    """(file): complex files that change often."""
+    return risks.filter((F.col("commits") > 5) & (F.col("complexity") > 20)).select("file")
+
+
+def crap(functions: DataFrame, coverage: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """(file, name, complexity, crap, band) of functions left-joined with hits by name; skipped names are left out."""
+    functions = functions.filter(~F.col("name").isin(*skipped)) if skipped else functions
     hits = coverage.groupBy(F.col("function").alias("name")).agg(F.max("hits").alias("hits"))
     c = F.col("complexity").cast("double")
     covered = F.when(F.coalesce("hits", F.lit(0)) > 0, 1.0).otherwise(0.0)
@@ -33,10 +79,14 @@ def crap(functions: DataFrame, coverage: DataFrame) -> DataFrame:
     return functions.join(hits, "name", "left").select("file", "name", "complexity", score.alias("crap")).withColumn("band", band)
 
 
-def risk(churn: DataFrame, functions: DataFrame) -> DataFrame:
-    """(file, commits, complexity, risk, level): the square root of churn times complexity, over 20, to 100."""
+def risk(churn: DataFrame, functions: DataFrame, unsafe: DataFrame | None = None) -> DataFrame:
+    """(file, commits, complexity, risk, level): the square root of churn times complexity, over 20, to 100. An
+    unsafe block (unsafe: file, unsafe) counts as two more of complexity for the score."""
     cx = functions.groupBy("file").agg(F.sum("complexity").alias("complexity"))
-    score = F.least(F.lit(100), F.floor(F.sqrt(F.col("commits").cast("double")) * F.col("complexity") / 20)).cast("int")
+    more = F.lit(0)
+    if unsafe is not None:
+        cx, more = cx.join(unsafe, "file", "left"), 2 * F.coalesce("unsafe", F.lit(0))
+    score = F.least(F.lit(100), F.floor(F.sqrt(F.col("commits").cast("double")) * (F.col("complexity") + more) / 20)).cast("int")
     level = F.when(F.col("risk") >= 70, "DANGER").when(F.col("risk") >= 40, "HIGH").when(F.col("risk") >= 20, "MEDIUM").otherwise("LOW")
     return churn.join(cx, "file").select("file", "commits", "complexity", score.alias("risk")).withColumn("level", level)
 
@@ -55,6 +105,30 @@ def coupling(edges: DataFrame) -> DataFrame:
     return both.withColumn("instability", F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 6))
 
 
+def workspace_import(module: Column, rust: Column) -> Column:
+    """Imports that likely name a module of the same workspace: no wildcards, and in Rust no foreign paths."""
+    own = module.startswith("crate::") | module.startswith("self::") | module.startswith("super::") | ~module.contains("::")
+    return ~module.endswith("::*") & (~rust | own)
+
+
+def average_fan_out(modules: DataFrame) -> DataFrame:
+    return average(modules, "fan_out", 0.0)
+
+
+# Licenses that a project denies unless it says otherwise.
+DENIED = ("AGPL-3.0", "AGPL-1.0", "GPL-3.0", "GPL-2.0", "GPL-1.0")
+
+
+def license_findings(packages: DataFrame, denied: tuple[str, ...] = DENIED, deny_unknown: bool = False) -> DataFrame:
+    """(package, version, license, category, violation) of packages (name, version, license): copyleft ones, and
+    those whose license holds a denied one, or is unknown where that is denied too."""
+    category = license_class(F.col("license"))
+    upper = F.upper(F.trim(F.coalesce("license", F.lit(""))))
+    violation = reduce(or_, [upper.contains(d.upper()) for d in denied], F.lit(False)) | (F.lit(deny_unknown) & (category == "unknown"))
+    each = packages.select(F.col("name").alias("package"), "version", "license", category.alias("category"), violation.alias("violation"))
+    return each.filter(F.col("violation") | F.col("category").startswith("copyleft"))
+
+
 def license_class(name: Column) -> Column:
     """Category of a license name: the first that applies, strongest first."""
     u = F.upper(F.trim(name))
@@ -69,18 +143,32 @@ def license_class(name: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of an ASCII text's characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    """Shannon entropy of a text's UTF-8 bytes, in bits: sorted, equal bytes are runs, which one pass counts."""
+    octets = F.array_sort(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), 0))
+    n = F.octet_length(text).cast("double")
+    weight = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+    zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("done"))
+
+    def step(at: Column, x: Column) -> Column:
+        same = at["last"] == x
+        return F.struct(x.alias("last"), F.when(same, at["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, at["done"]).otherwise(at["done"] + weight(at["run"])).alias("done"))
+
+    total = F.aggregate(octets, zero, step, lambda at: at["done"] + weight(at["run"]))
+    return F.when(n == 0, 0.0).otherwise(F.log2(n) - total / n)
+
+
+def one_off(name: Column) -> Column:
+    """The name and what is left of it without one of its characters: names an edit apart share one of these."""
+    each = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.left(name, i - 1), F.substr(name, i + 1)))
+    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, each).otherwise(F.array().cast("array<string>"))))
 
 
 def typosquats(packages: DataFrame, popular: DataFrame) -> DataFrame:
-    """(name, like): names one edit away from a popular one of over three characters. popular is a short
-    list that ships with the scanner; it is broadcast."""
-    p = popular.filter(F.length("popular") > 3)
-    near = packages.crossJoin(F.broadcast(p)).filter(F.levenshtein(F.lower("name"), "popular") == 1)
+    """(name, like): names one edit away from a popular one (ord, popular) of over three characters; the first in
+    order. Candidates meet by an equi-join on names less one character, whatever the size of either table."""
+    known = popular.filter(F.length("popular") > 3).select("ord", "popular", F.explode(one_off(F.col("popular"))).alias("part"))
+    asked = packages.select("name").distinct().select("name", F.explode(one_off(F.lower("name"))).alias("part"))
+    near = asked.join(known, "part").filter(F.levenshtein(F.lower("name"), "popular") == 1)
     return near.groupBy("name").agg(F.min_by("popular", "ord").alias("like"))
 
 
@@ -92,9 +180,30 @@ def bill_of_materials(packages: DataFrame) -> DataFrame:
 
 
 def overlapping(hunks: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions that a changed range touches: an equi-join on the file with an interval test."""
-    h, f = hunks.alias("h"), functions.alias("f")
-    return h.join(f, (F.col("h.file") == F.col("f.file")) & (F.col("h.start_line") <= F.col("f.end_line")) & (F.col("h.end_line") >= F.col("f.line"))).select("f.file", "f.name").distinct()
+    """Functions that a changed range touches: an equi-join on the file with an interval test. A function's path
+    may have folders before a hunk's: the join is on the file name, then on the end of the path."""
+    base = lambda c: F.substring_index(c, "/", -1)
+    h, f = hunks.withColumn("base", base("file")).alias("h"), functions.withColumn("base", base("file")).alias("f")
+    meets = (F.col("h.base") == F.col("f.base")) & (F.col("h.start_line") <= F.col("f.end_line")) & (F.col("h.end_line") >= F.col("f.line"))
+    return h.join(f, meets & F.col("f.file").endswith(F.col("h.file"))).select("f.file", "f.name").distinct()
+
+
+def lines_within(rows: DataFrame, functions: DataFrame, affected: DataFrame) -> DataFrame:
+    """The rows (file, line, ...) that lie in a function (file, name, line, end_line) that is affected (file, name)."""
+    ranges = functions.join(affected.select("file", "name").distinct(), ["file", "name"], "left_semi").select("file", F.col("line").alias("first"), "end_line")
+    return rows.join(ranges, (rows["file"] == ranges["file"]) & (rows["line"] >= ranges["first"]) & (rows["line"] <= ranges["end_line"]), "left_semi")
+
+
+def reduction(functions: DataFrame, affected: DataFrame) -> DataFrame:
+    """One row (total, affected, pct): the share of functions that a delta run leaves out."""
+    total, hit = functions.agg(F.count(F.lit(1)).alias("total")), affected.agg(F.count(F.lit(1)).alias("affected"))
+    pct = F.when(F.col("total") > 0, F.greatest(F.lit(0.0), F.round((F.col("total") - F.col("affected")) * 100.0 / F.col("total"), 6))).otherwise(0.0)
+    return total.crossJoin(hit).withColumn("pct", pct)  # one row each
+
+
+def average(rows: DataFrame, value: str, empty: float) -> DataFrame:
+    """One row (average): empty for a table without rows."""
+    return rows.agg(F.round(F.coalesce(F.avg(value), F.lit(empty)), 6).alias("average"))
 
 
 def islands(lines: DataFrame) -> DataFrame:

@@ -78,3 +78,109 @@ def functions(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return known.mapInArrow(run, SCHEMA)
+
+
+# Control-flow tokens that a function's shape is compared by, with the words that make them.
+_WORDS = {
+    "if": "IF", "else": "ELSE", "elif": "ELSE", "while": "WHILE", "for": "FOR", "loop": "LOOP", "match": "MATCH", "switch": "MATCH", "case": "ARM", "default": "ARM",
+    "let": "LET", "var": "LET", "const": "LET", "return": "RET", "try": "TRY", "catch": "TRY", "finally": "TRY",
+}
+_SHAPE = re.compile(r"\b(" + "|".join(_WORDS) + r")\b|(=>)|(:=)|(\|[^|\n]*\|)|(\w+\s*\()|(\{)")
+_NODES = (
+    (ast.If, "IF"), (ast.While, "WHILE"), ((ast.For, ast.AsyncFor), "FOR"), (ast.Match, "MATCH"), (ast.match_case, "ARM"), ((ast.Assign, ast.AnnAssign, ast.AugAssign), "LET"),
+    (ast.Return, "RET"), (ast.Call, "CALL"), (ast.Lambda, "LAMBDA"), ((ast.Try, ast.ExceptHandler), "TRY"),
+)
+_DEEP = 20
+
+
+def python_shape(source: str) -> list[tuple[str, int, list[str]]]:
+    """(name, line, tokens) of each function, its nodes from the outside in, down to a bounded depth."""
+
+    def walk(node: ast.AST, depth: int) -> Iterator[str]:
+        if depth <= _DEEP:
+            yield from (token for kind, token in _NODES if isinstance(node, kind))
+            for child in ast.iter_child_nodes(node):
+                yield from walk(child, depth + 1)
+
+    return [(n.name, n.lineno, list(walk(n, 0))) for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+
+
+def brace_shape(source: str, lang: str) -> list[tuple[str, int, list[str]]]:
+    plain = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    found = []
+    for head in _HEADS[lang].finditer(plain):
+        tokens = []
+        for m in _SHAPE.finditer(plain[head.end() : _closing(plain, head.end())]):
+            word, arm, short, closure, call, _ = m.groups()
+            tokens.append(_WORDS[word] if word else "ARM" if arm else "LET" if short else "LAMBDA" if closure else "CALL" if call else "BLOCK")
+        found.append((head[1], plain.count("\n", 0, head.start()) + 1, tokens))
+    return found
+
+
+def _closing(plain: str, at: int) -> int:
+    """Where the bracket that is open at a place closes."""
+    depth = 1
+    while depth and at < len(plain):
+        depth += {"{": 1, "}": -1}.get(plain[at], 0)
+        at += 1
+    return at
+
+
+def _parsed(files: DataFrame, schema: str, rows) -> DataFrame:
+    """rows(path, content, lang) gives tuples of the schema for a file; files that don't parse give none."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    out += rows(*file)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return files.mapInArrow(run, schema)
+
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, name, line, tokens array<string>): the control flow of each function of files (path, content, lang)."""
+
+    def rows(path, content, lang):
+        found = python_shape(content or "") if lang == "python" else brace_shape(content or "", lang)
+        return [(path, *f) for f in found]
+
+    known = files.filter(F.col("lang").isin("python", *_HEADS)).select("path", "content", "lang")
+    return _parsed(known, "path string, name string, line int, tokens array<string>", rows)
+
+
+_STRUCT = re.compile(r"\bstruct\s+(\w+)[^;{(]*\{")
+_FIELD = re.compile(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:")
+_METHOD = re.compile(r"\bfn\s+(\w+)\s*[(<]")
+
+
+def rust_structs(source: str) -> list[tuple[str, str, str | None]]:
+    """(type, method, field or None) of types with two methods or more: each field that a method names."""
+    plain = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    out = []
+    for s in _STRUCT.finditer(plain):
+        fields = _FIELD.findall(plain[s.end() : _closing(plain, s.end()) - 1])
+        methods: list[tuple[str, str]] = []
+        for block in re.finditer(rf"\bimpl\b[^{{;]*\b{re.escape(s[1])}\b[^{{;]*\{{", plain):
+            body = plain[block.end() : _closing(plain, block.end()) - 1]
+            heads = list(_METHOD.finditer(body))
+            methods += [(m[1], body[m.end() : nxt.start() if nxt else len(body)]) for m, nxt in zip(heads, [*heads[1:], None], strict=True)]
+        if len(methods) > 1:
+            for name, body in methods:
+                used = [f for f in dict.fromkeys(fields) if re.search(rf"\bself\.{re.escape(f)}", body)]
+                out += [(s[1], name, f) for f in used or [None]]
+    return out
+
+
+def struct_methods(files: DataFrame) -> DataFrame:
+    """(path, type, method, field) of Rust files (path, content): what cohesion is computed from."""
+    known = files.filter(F.col("path").endswith(".rs")).select("path", "content")
+    return _parsed(known, "path string, type string, method string, field string", lambda path, content: [(path, *r) for r in rust_structs(content or "")])

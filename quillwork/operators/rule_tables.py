@@ -159,3 +159,24 @@ ERRORS = (
 )
 DEBT_TOOL = ("TODO", "FIXME", "HACK", "XXX", "WARN", "BUG", "OPTIMIZE")
 DEBT_CHECK = ("TODO", "FIXME", "HACK", "XXX", "BUG")
+# What registers authentication middleware, words of public routes (lower case), route calls.
+AUTH_MIDDLEWARE = (
+    ".layer(Auth", ".layer(auth", ".layer(require_auth", ".layer(RequireAuth", ".layer(Jwt", ".layer(jwt", ".layer(Token", ".layer(token", ".with_state(Auth",
+    ".with_state(auth", "AuthLayer", "AuthMiddleware", "AuthenticationLayer", "AuthorizationLayer", "RequireAuthLayer", "JwtAuthLayer", "TokenAuthLayer",
+    "RouteLayer::new(Auth", "route_layer(Auth", "route_layer(auth", "route_layer(RequireAuth",
+    "@login_required", "@authenticate", "@permission_required", "@auth.", "login_required", "flask_login", "flask_security", "flask_principal", "flask_httpauth",
+    "flask_jwt", "flask_jwt_extended", "LoginRequiredMixin", "PermissionRequiredMixin", "UserPassesTestMixin", "permission_required", "django.contrib.auth",
+    "rest_framework.permissions", "IsAuthenticated", "IsAdminUser", "TokenAuthentication",
+    "passport.authenticate", "passport.session", "express-jwt", "express-jwt-auth", "express-openid-connect", "authMiddleware", "auth_middleware",
+    "authenticateToken", "verifyToken", "requireAuth", "isAuthenticated", "checkAuth", "@AuthGuard", "@RolesGuard", "@ThrottlerGuard", "@UseGuards(Auth", "@UseGuards(Jwt",
+    "router.Use(auth", "router.Use(Auth", "r.Use(auth", "r.Use(Auth", "gin.BasicAuth", "gin.Auth", "middleware.BasicAuth", "middleware.JWT",
+    "@EnableWebSecurity", "@EnableMethodSecurity", "SecurityFilterChain", ".authenticated()", ".permitAll()", ".hasRole(", ".hasAuthority(", "@PreAuthorize", "@Secured", "@RolesAllowed",
+    "[Authorize]", "AddAuthentication(", "AddJwtBearer(", "UseAuthentication(", "UseAuthorization(",
+)
+PUBLIC_ROUTES = ("health", "ping", "status", "metrics", "favicon", "robots.txt", "openapi", "swagger", "docs", ".well-known")
+ROUTE_METHODS = ("get(", "post(", "put(", "delete(", "patch(", "head(", "options(")
+# Imports of structured logging.
+LOG_IMPORTS = (
+    "use tracing", "use log", "use slog", "use env_logger", "use log4rs", "import winston", "import pino", "import bunyan", "import structlog",
+    '"go.uber.org/zap"', '"github.com/sirupsen/logrus"', "import logging", "org.slf4j", "org.apache.logging",
+)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ SAST_EXTENSIONS = ("rs", "py", "js", "ts", "tsx", "go", "java", "cs", "php", "rb
 CRYPTO_EXTENSIONS = SAST_EXTENSIONS[:-1]
 ACCESS_EXTENSIONS = (*CRYPTO_EXTENSIONS, "sh", "yaml", "yml", "json", "toml")
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
+#: Brackets within brackets that arguments of a route call may hold.
+NESTED = 8
 
 # Literal patterns of the observability and test quality checks.
 RAW_LOGS = ("println!(", "eprintln!(", "console.log(", "console.error(", "console.warn(", "fmt.Println(", "fmt.Printf(", "fmt.Fprintf(", "System.out.println(", "print(", "puts(")
@@ -42,13 +47,36 @@ def findings(lines: DataFrame, rules: Sequence[Rule], text: Column | None = None
     return hits.select(F.col("path").alias("file"), "line", attribute(n, rules, "id").alias("rule_id"), attribute(n, rules, "category").alias("category"), attribute(n, rules, "severity").alias("severity"))
 
 
+def _windowed(lines: DataFrame, state: str) -> Column:
+    """The same states of lines that don't have them: by a window over each file."""
+    before, t = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1), F.col("trimmed")
+    by_line = Window.partitionBy("path").orderBy("line")
+    switched = lambda on, off=None: F.coalesce(F.last(F.when(on, True) if off is None else F.when(on, True).when(off, False), ignorenulls=True).over(before), F.lit(False))
+    return {
+        "block": lambda: switched(t.startswith("/*") & ~t.contains("*/"), t.contains("*/")),
+        "tests": lambda: switched(t.startswith("#[cfg(test)]")),
+        "mentions": lambda: switched(t.contains("#[cfg(test)]") | t.contains("mod tests")),
+        "after": lambda: F.lead("trimmed", 1, "").over(by_line),
+        "before": lambda: F.lag("text", 1, "").over(by_line),
+    }[state]()
+
+
+def knowing(lines: DataFrame, *states: str) -> DataFrame:
+    """lines with states of their files: those that ``corpus.lines`` was asked for, or else by a window."""
+    for s in states:
+        if s not in lines.columns:
+            lines = lines.withColumn(s, _windowed(lines, s))
+    return lines
+
+
 def outside_block_comments(lines: DataFrame) -> DataFrame:
-    """Lines that neither open nor stand in a block comment: the last opening or closing line before
-    decides, so a window finds the state."""
+    """Lines that neither open nor stand in a block comment."""
+    return knowing(lines, "block").filter(~F.col("block") & ~F.col("trimmed").startswith("/*")).drop("block")
+
+
+def opens_docstring() -> Column:
     t = F.col("trimmed")
-    event = F.when(t.startswith("/*") & ~t.contains("*/"), 1).when(t.contains("*/"), 0)
-    before = F.last(event, ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("open", F.coalesce(before, F.lit(0))).filter((F.col("open") == 0) & ~t.startswith("/*")).drop("open")
+    return (extension(F.col("path")) == "py") & (t.startswith("'''") | t.startswith('"""'))
 
 
 def in_extensions(lines: DataFrame, extensions: Sequence[str]) -> DataFrame:
@@ -57,22 +85,84 @@ def in_extensions(lines: DataFrame, extensions: Sequence[str]) -> DataFrame:
 
 def sast(lines: DataFrame, min_confidence: str = "low") -> DataFrame:
     rules = [r for r in tables.SAST if CONFIDENCE.get(r.confidence, 1) >= CONFIDENCE.get(min_confidence, 1)]
-    live = outside_block_comments(in_extensions(lines, SAST_EXTENSIONS)).filter(~F.col("trimmed").rlike("^(//|#|--|<!--|;|%)"))
+    live = outside_block_comments(in_extensions(lines, SAST_EXTENSIONS)).filter(~F.col("trimmed").rlike("^(//|#|--|<!--|;|%)") & ~opens_docstring())
     return findings(live, rules)
 
 
+SEVERITY_ORDER = ("critical", "high", "medium")
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """Findings in the order of a report: most severe first, then by file and line."""
+    chain = F
+    for i, name in enumerate(SEVERITY_ORDER):
+        chain = chain.when(F.col("severity") == name, i)
+    return found.orderBy(chain.otherwise(len(SEVERITY_ORDER)), "file", "line")
+
+
+def at_least(found: DataFrame, severity: str) -> DataFrame:
+    """Findings of that severity or above: low holds all, medium leaves low out, high only itself and critical."""
+    rank = {"critical": 3, "high": 2, "medium": 1}
+    mine = F.coalesce(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col("severity")], F.lit(0))
+    return found.filter(mine >= min(rank.get(severity, 0), 2))
+
+
 def crypto(lines: DataFrame) -> DataFrame:
     return findings(in_extensions(lines, CRYPTO_EXTENSIONS).filter(~F.col("trimmed").rlike(r"^(//|#|\*)")), tables.CRYPTO)
 
 
 LITERAL_ACCESS = tuple(r for r in tables.ACCESS_CONTROL if r.category != "missing_auth")
+#: Lines that define a rule rather than break it.
+RULE_TEXT = "^(pattern|description|remediation|rule_id|severity|also):"
 
 
-def access_control(lines: DataFrame) -> DataFrame:
-    """The literal rules; comment lines other than attributes are skipped."""
-    t = F.col("trimmed")
-    comment = t.rlike("^(//|--|<!--|;|%)") | (t.startswith("#") & ~t.rlike(r"^#[\[!#]"))
-    return findings(lines.filter(~comment), LITERAL_ACCESS)
+def app_wide_auth(lines: DataFrame) -> DataFrame:
+    """One row (auth boolean): whether any line of the project registers authentication middleware."""
+    t = F.col("text")
+    hit = reduce(or_, [t.contains(p) for p in tables.AUTH_MIDDLEWARE]) & ~F.col("trimmed").startswith("//")
+    return lines.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("auth"))
+
+
+def is_public_route(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [low.contains(k) for k in tables.PUBLIC_ROUTES])
+
+
+def has_inline_auth(text: Column) -> Column:
+    """A guard on the line, or a route call with three arguments or more: what stands in brackets and in quotes
+    is taken out from the inside, and two commas are left before the call's own bracket."""
+    low = F.lower(text)
+    hit = text.contains("@UseGuards(") | (text.contains("route_layer(") & low.contains("auth"))
+    for method in tables.ROUTE_METHODS:
+        call = F.regexp_extract(low, rf"^.*?{re.escape(method)}(.*)$", 1)
+        plain = F.regexp_replace(call, "\"[^\"]*(\"|$)|'[^']*('|$)", "")
+        for _ in range(NESTED):
+            plain = F.regexp_replace(plain, r"\([^()]*\)", "")
+        # a bracket that nothing closes hides what follows it
+        own = F.regexp_replace(F.regexp_extract(plain, r"^([^)]*)", 1), r"\(.*$", "")
+        hit = hit | (F.length(own) - F.length(F.replace(own, F.lit(","), F.lit(""))) >= 2)
+    return hit
+
+
+def access_control(lines: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(file, line, rule_id, category, severity) outside comments, attributes not counted as such; the first rule
+    that applies wins. A route without authentication isn't reported if the project registers middleware
+    (context, from app_wide_auth), if the line guards it, or if it is public. Without context the rules for
+    routes are left out."""
+    t, text = F.col("trimmed"), F.col("text")
+    comment = t.rlike("^(//|--|<!--|;|%)") | (t.startswith("#") & ~t.rlike(r"^#[\[!#]")) | opens_docstring()
+    live = outside_block_comments(lines).filter(~comment & ~t.rlike(RULE_TEXT))
+    if context is None:
+        return findings(live, LITERAL_ACCESS)
+    auth_rules = [r for r in tables.ACCESS_CONTROL if r.category == "missing_auth"]
+    # middleware clears every route but the public ones, and those are exempt: with it no route is left
+    live = live.crossJoin(F.broadcast(context))  # context: one row
+    route = first_match(text, auth_rules)
+    open_route = F.when(route.isNotNull() & ~F.col("auth") & ~is_public_route(text) & ~has_inline_auth(text), route)
+    literal = first_match(text, LITERAL_ACCESS) + len(auth_rules)
+    hits = live.withColumn("rule", F.coalesce(open_route, literal)).filter("rule is not null")
+    rules = [*auth_rules, *LITERAL_ACCESS]
+    return hits.select(F.col("path").alias("file"), "line", *[attribute(F.col("rule"), rules, a).alias(b) for a, b in (("id", "rule_id"), ("category", "category"), ("severity", "severity"))])
 
 
 def secret_assignments(lines: DataFrame) -> DataFrame:
@@ -83,9 +173,8 @@ def secret_assignments(lines: DataFrame) -> DataFrame:
 def error_handling(lines: DataFrame) -> DataFrame:
     """Patterns by language; what follows a test module in a file is skipped. Empty handlers show on the
     line after, which the last line of a file has as empty."""
-    rust = in_extensions(lines, ("rs",))
-    flag = F.max(F.when(F.col("trimmed").startswith("#[cfg(test)]"), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("line"))
-    live = rust.withColumn("test", flag).filter((F.col("test") == 0) & ~F.col("trimmed").startswith("//"))
+    rust, t = knowing(in_extensions(lines, ("rs",)), "tests"), F.col("trimmed")
+    live = rust.filter(~F.col("tests") & ~t.startswith("#[cfg(test)]") & ~t.startswith("//"))
     rules = (*tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", ""))
     return findings(live, rules).unionByName(_other_errors(lines))
 
@@ -93,10 +182,8 @@ def error_handling(lines: DataFrame) -> DataFrame:
 def _other_errors(lines: DataFrame) -> DataFrame:
     """Python, JavaScript, TypeScript and Go."""
     t, after, ext = F.col("trimmed"), F.col("after"), F.col("ext")
-    by_line = Window.partitionBy("path").orderBy("line")
-    flag = F.max(F.when(t.contains("#[cfg(test)]") | t.contains("mod tests"), 1).otherwise(0)).over(by_line)
-    seen = in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path")))
-    live = seen.withColumn("test", flag).withColumn("after", F.lead("trimmed", 1, "").over(by_line)).filter((F.col("test") == 0) & ~t.rlike("^(//|#)"))
+    seen = knowing(in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path"))), "mentions", "after")
+    live = seen.filter(~F.col("mentions") & ~t.contains("#[cfg(test)]") & ~t.contains("mod tests") & ~t.rlike("^(//|#)"))
     script = ext.isin("js", "ts", "tsx")
     kinds = (
         ("bare_except", "high", (ext == "py") & t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", "")),
@@ -125,6 +212,25 @@ def debt_first(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("path").alias("file"), "line", chain.alias("marker")).filter(F.col("marker").isNotNull())
 
 
+def in_string(text: Column, word: str) -> Column:
+    """Whether word begins within double quotes; a quote after a backslash neither opens nor closes. What stands
+    between quotes is every other piece of the text cut at them."""
+    pieces = F.split(F.regexp_replace(text, r'\\"', r"\\'"), '"')
+    inner = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["i"] % 2 == 1)
+    return F.exists(inner, lambda s: s["p"].contains(word))
+
+
+def debt_items(lines: DataFrame) -> DataFrame:
+    """(file, line, type, text): the first marker in table order outside strings that colon, bracket or blank
+    follows, with the comment's text after it."""
+    t, kind, rest = F.col("trimmed"), F, F
+    for m in tables.DEBT_TOOL:
+        hit = t.rlike(f"{m}[:( ]") & ~in_string(t, m)
+        after = F.regexp_replace(F.substr("text", F.instr("text", F.lit(m)) + len(m)), r"^:*\(*", "")
+        kind, rest = kind.when(hit, m.lower()), rest.when(hit, F.trim(F.regexp_replace(F.regexp_replace(F.trim(after), r"(\*/)+$", ""), r"\)+$", "")))
+    return lines.select(F.col("path").alias("file"), "line", kind.alias("type"), rest.alias("text")).filter("type is not null")
+
+
 def first_of(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     rules = [Rule(p, "", "", "", p, "") for p in patterns]
     return lines.withColumn("n", first_match(F.col("text"), rules)).filter(F.col("n").isNotNull()).select(F.col("path").alias("file"), "line", attribute(F.col("n"), rules, "id").alias("pattern"))
@@ -135,7 +241,8 @@ def is_test(path: Column) -> Column:
 
 
 def raw_logs(lines: DataFrame) -> DataFrame:
-    return first_of(lines.filter(~is_test(F.col("path"))), RAW_LOGS)
+    """Outside tests and comments."""
+    return first_of(lines.filter(~is_test(F.col("path")) & ~F.col("trimmed").rlike("^(//|#)")), RAW_LOGS)
 
 
 def nondeterminism(lines: DataFrame) -> DataFrame:
@@ -144,7 +251,12 @@ def nondeterminism(lines: DataFrame) -> DataFrame:
 
 def unguarded_unwraps(lines: DataFrame) -> DataFrame:
     """Rust unwrap and expect without SAFETY on the line before or a context on the line."""
-    before = F.lag("text", 1, "").over(Window.partitionBy("path").orderBy("line"))
     t = F.col("text")
     hit = (t.contains(".unwrap()") | t.contains(".expect(")) & ~F.col("before").contains("SAFETY") & ~t.contains(".context(")
-    return in_extensions(lines, ("rs",)).withColumn("before", before).filter(hit).select(F.col("path").alias("file"), "line")
+    return knowing(in_extensions(lines, ("rs",)), "before").filter(hit).select(F.col("path").alias("file"), "line")
+
+
+def structured_logging(files: DataFrame) -> DataFrame:
+    """One row (files, structured): files (path, content) that aren't tests, and those that import a logging library."""
+    hit = reduce(or_, [F.col("content").contains(p) for p in tables.LOG_IMPORTS])
+    return files.filter(~is_test(F.col("path"))).agg(F.count(F.lit(1)).alias("files"), F.count(F.when(hit, 1)).alias("structured"))

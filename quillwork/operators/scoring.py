@@ -82,3 +82,10 @@ def finding_id() -> Column:
 
 def latest(runs: DataFrame, count: int) -> DataFrame:
     return runs.orderBy(F.desc("ts"), F.desc("run_id")).limit(count)
+
+
+def with_skipped(checks: DataFrame) -> DataFrame:
+    """(..., available, passed, score, message) of checks with an error text: one whose tool isn't there passes,
+    without a score, and says so."""
+    skipped = F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit("Skipped: "), "error")).otherwise("Skipped: tool unavailable or produced no JSON output")
+    return checks.withColumn("passed", ~F.col("available") | F.col("passed")).withColumn("score", F.when(F.col("available"), F.col("score"))).withColumn("message", F.when(F.col("available"), F.col("message")).otherwise(skipped)).drop("error")

@@ -60,10 +60,16 @@ whole AS (SELECT path, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM pie
 lines AS (SELECT path, line, text, regexp_replace(text, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS trimmed, regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) AS ext
           FROM (SELECT path, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS text FROM whole))"""
 CODE, DOCS = f"WITH {CODE_FILES}, {LINES}", f"WITH {DOC_FILES}, {LINES}"
-ACCESS_LIVE = r"NOT regexp_matches(trimmed, '^(//|--|<!--|;|%)') AND NOT (starts_with(trimmed, '#') AND NOT regexp_matches(trimmed, '^#[\[!#]'))"
+DOCSTRING = "(ext = 'py' AND (starts_with(trimmed, '\'\'\'\'\'\'') OR starts_with(trimmed, '\"\"\"')))"
+ACCESS_LIVE = rf"NOT regexp_matches(trimmed, '^(//|--|<!--|;|%)') AND NOT (starts_with(trimmed, '#') AND NOT regexp_matches(trimmed, '^#[\[!#]')) AND NOT {DOCSTRING} AND NOT regexp_matches(trimmed, '^(pattern|description|remediation|rule_id|severity|also):')"
 WEIGHT = "CASE WHEN severity = 'critical' THEN 4 WHEN severity IN ('high', 'error') THEN 3 WHEN severity IN ('medium', 'warning') THEN 2 WHEN severity = 'low' THEN 1 ELSE 0 END"
 
 
+LIVE = """, events AS (SELECT *, CASE WHEN starts_with(trimmed, '/*') AND NOT contains(trimmed, '*/') THEN 1 WHEN contains(trimmed, '*/') THEN 0 END AS event FROM lines),
+live AS (SELECT * FROM (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM events)
+         WHERE open = 0 AND NOT starts_with(trimmed, '/*'))"""
+
+
 def rollup(found: str, head: str) -> str:
     return f"""{head}, found AS ({found})
     SELECT file, count(*) AS n_findings, sum({WEIGHT})::BIGINT AS score, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
@@ -75,8 +81,8 @@ def of(found: str, head: str = CODE) -> str:
     return f"{head}, found AS ({found}) SELECT * FROM found WHERE rule_id IS NOT NULL"
 
 
-def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.lines(corpus.code(spark, sf_dir))
+def code_lines(spark: SparkSession, sf_dir: str, *states: str) -> DataFrame:
+    return corpus.lines(corpus.code(spark, sf_dir), *states)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +91,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- sources and scanners -----------------------------------------------------------------------
 
-ACCESS = f"{cases(scans.LITERAL_ACCESS)} FROM lines WHERE {ACCESS_LIVE}"
+ACCESS = f"{cases(scans.LITERAL_ACCESS)} FROM live WHERE {ACCESS_LIVE}"
+SAST = f"{cases(rule_tables.SAST)} FROM live WHERE ext IN {among(scans.SAST_EXTENSIONS)} AND NOT regexp_matches(trimmed, '^(//|#|--|<!--|;|%)') AND NOT {DOCSTRING}"
 
 
-@register("access_control_rollup", rollup(ACCESS, DOCS))
+@register("access_control_rollup", rollup(ACCESS, DOCS + LIVE))
 def access_control_rollup(spark, sf_dir):
-    return scoring.file_rollup(scans.access_control(corpus.lines(corpus.documents(spark, sf_dir))))
+    return scoring.file_rollup(scans.access_control(corpus.lines(corpus.documents(spark, sf_dir), "block")))
 
 
 @register("document_lines", f"{DOCS} SELECT path, count(*) AS n_lines, count(*) FILTER (trimmed = '') AS n_blank, sum(length(trimmed))::BIGINT AS n_chars FROM lines GROUP BY path")
@@ -107,14 +114,11 @@ def languages(spark, sf_dir):
     return corpus.with_language(corpus.code(spark, sf_dir)).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-OPEN = """, events AS (SELECT *, CASE WHEN starts_with(trimmed, '/*') AND NOT contains(trimmed, '*/') THEN 1 WHEN contains(trimmed, '*/') THEN 0 END AS event FROM lines WHERE ext IN {ext}),
-live AS (SELECT * FROM (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM events)
-         WHERE open = 0 AND NOT starts_with(trimmed, '/*'))""".format(ext=among(scans.SAST_EXTENSIONS))
 
 
-@register("sast_findings", of(f"{cases(rule_tables.SAST)} FROM live WHERE NOT regexp_matches(trimmed, '^(//|#|--|<!--|;|%)')", CODE + OPEN))
+@register("sast_findings", of(SAST, CODE + LIVE))
 def sast_findings(spark, sf_dir):
-    return scans.sast(code_lines(spark, sf_dir))
+    return scans.sast(code_lines(spark, sf_dir, "block"))
 
 
 @register("crypto_findings", of(f"{cases(rule_tables.CRYPTO)} FROM lines WHERE ext IN {among(scans.CRYPTO_EXTENSIONS)} AND NOT regexp_matches(trimmed, '^(//|#|\\*)')"))
@@ -122,9 +126,9 @@ def crypto_findings(spark, sf_dir):
     return scans.crypto(code_lines(spark, sf_dir))
 
 
-@register("access_control_findings", of(ACCESS))
+@register("access_control_findings", of(ACCESS, CODE + LIVE))
 def access_control_findings(spark, sf_dir):
-    return scans.access_control(code_lines(spark, sf_dir))
+    return scans.access_control(code_lines(spark, sf_dir, "block"))
 
 
 @register("secret_assignments", of(f"{cases(rule_tables.SECRETS, 'lower(text)')} FROM lines WHERE contains(text, '=') OR contains(text, ':')"))
@@ -137,7 +141,7 @@ ERRORS = (*rule_tables.ERRORS, Rule("discard", "error_handling", "high", "low",
 
 @register("error_handling", of(f"{cases(ERRORS)} FROM lines WHERE ext = 'rs' AND NOT starts_with(trimmed, '//')"))
 def error_handling(spark, sf_dir):
-    return scans.error_handling(code_lines(spark, sf_dir))
+    return scans.error_handling(code_lines(spark, sf_dir, "tests", "mentions", "after"))
 
 
 @register("debt_markers", f"{CODE} SELECT path AS file, line, marker FROM lines, (SELECT unnest({list(rule_tables.DEBT_CHECK)!r}) AS marker) WHERE regexp_matches(trimmed, '^(//|/\\*|\\*)') AND contains(text, marker)")
@@ -160,7 +164,7 @@ def pattern_case(patterns: Sequence[str]) -> str:
 TEST_FILE = "(contains(path, 'test') OR contains(path, 'spec'))"
 
 
-@register("raw_logs", f"{CODE} SELECT * FROM (SELECT path AS file, line, {pattern_case(scans.RAW_LOGS)} AS pattern FROM lines WHERE NOT {TEST_FILE}) WHERE pattern IS NOT NULL")
+@register("raw_logs", f"{CODE} SELECT * FROM (SELECT path AS file, line, {pattern_case(scans.RAW_LOGS)} AS pattern FROM lines WHERE NOT {TEST_FILE} AND NOT regexp_matches(trimmed, '^(//|#)')) WHERE pattern IS NOT NULL")
 def raw_logs(spark, sf_dir):
     return scans.raw_logs(code_lines(spark, sf_dir))
 
@@ -173,17 +177,19 @@ def nondeterminism(spark, sf_dir):
 @register("unguarded_unwraps", f"""{CODE} SELECT path AS file, line FROM (SELECT *, lag(text, 1, '') OVER (PARTITION BY path ORDER BY line) AS before FROM lines WHERE ext = 'rs')
     WHERE (contains(text, '.unwrap()') OR contains(text, '.expect(')) AND NOT contains(before, 'SAFETY') AND NOT contains(text, '.context(')""")
 def unguarded_unwraps(spark, sf_dir):
-    return scans.unguarded_unwraps(code_lines(spark, sf_dir))
+    return scans.unguarded_unwraps(code_lines(spark, sf_dir, "before"))
 
 
 # --- metrics ------------------------------------------------------------------------------------
 
 
-@register("comment_ratio", f"""{CODE}, kinds AS (SELECT path, CASE WHEN trimmed = '' THEN 'blank' WHEN regexp_matches(trimmed, '^(//|#|/\\*|\\*)') AND NOT regexp_matches(trimmed, '^(///|//!|/\\*\\*)') THEN 'comment' ELSE 'code' END AS kind FROM lines),
+@register("comment_ratio", rf"""{CODE}, kinds AS (SELECT path, CASE WHEN trimmed = '' THEN 'blank'
+        WHEN ext IN ('rs', 'js', 'go', 'java') AND regexp_matches(trimmed, '^(//|/\*|\*)') AND NOT (ext = 'rs' AND regexp_matches(trimmed, '^(///|//!|/\*\*)')) AND NOT (ext IN ('js', 'java') AND regexp_matches(trimmed, '^(/\*\*|\* |\*/)')) THEN 'comment'
+        WHEN ext = 'py' AND starts_with(trimmed, '#') THEN 'comment' WHEN ext = 'md' AND regexp_matches(trimmed, '^(//|#)') THEN 'comment' ELSE 'code' END AS kind FROM lines),
     n AS (SELECT path AS file, count(*) FILTER (kind = 'code') AS code, count(*) FILTER (kind = 'comment') AS comment, count(*) FILTER (kind = 'blank') AS blank FROM kinds GROUP BY path)
-    SELECT *, round(CASE WHEN code + comment > 0 THEN comment / (code + comment) ELSE 0.0 END, 6)::DOUBLE AS ratio FROM n""")
+    SELECT *, round(CASE WHEN code + comment > 0 THEN comment / (code + comment) ELSE 1.0 END, 6)::DOUBLE AS ratio, round(comment / (code + comment), 6) < 0.2 AND code + comment > 10 AS below FROM n""")
 def comment_ratio(spark, sf_dir):
-    return metrics.comment_ratio(code_lines(spark, sf_dir))
+    return metrics.comment_ratio(code_lines(spark, sf_dir), 0.2)
 
 
 @register("long_files", f"{DOCS} SELECT path AS file, count(*) AS n_lines FROM lines GROUP BY path HAVING count(*) > 20")
@@ -326,17 +332,17 @@ def check_difference(spark, sf_dir):
     return scoring.difference(merged("sbom", F.col("run")), merged("fuzz", later), ["name", "run"])
 
 
-@register("sast_rollup", rollup(f"{cases(rule_tables.SAST)} FROM live WHERE NOT regexp_matches(trimmed, '^(//|#|--|<!--|;|%)')", CODE + OPEN))
+@register("sast_rollup", rollup(SAST, CODE + LIVE))
 def sast_rollup(spark, sf_dir):
-    return scoring.file_rollup(scans.sast(code_lines(spark, sf_dir)))
+    return scoring.file_rollup(scans.sast(code_lines(spark, sf_dir, "block")))
 
 
-@register("open_findings", f"""{CODE}, found AS ({ACCESS}), e AS (SELECT 'ACL-CRED-001' AS rule_id, path AS file FROM files WHERE length(path) % 2 = 0)
+@register("open_findings", f"""{CODE}{LIVE}, found AS ({ACCESS}), e AS (SELECT 'ACL-CRED-001' AS rule_id, path AS file FROM files WHERE length(path) % 2 = 0)
     SELECT * FROM found WHERE rule_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.rule_id = found.rule_id AND e.file = found.file)""")
 def open_findings(spark, sf_dir):
     files = corpus.code(spark, sf_dir)
     excepted = files.select(F.lit("ACL-CRED-001").alias("rule_id"), F.col("path").alias("file"), (F.length("path") % 2 == 0).alias("approved"))
-    found = scoring.without_exceptions(scans.access_control(corpus.lines(files)), excepted)
+    found = scoring.without_exceptions(scans.access_control(corpus.lines(files, "block")), excepted)
     return found.select("file", "line", "rule_id", "category", "severity")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, halstead, lifecycle, parse, scans, scoring
+from ..operators import graphs, halstead, lifecycle, parse
 from ..sources import corpus, sinks
 from ..streaming import watch
 from .catalog import CHECKS, CODE, check_table, code_lines, read, register
@@ -22,8 +22,8 @@ def quoted(values) -> str:
 TOKEN = halstead.TOKEN.replace("'", "''")
 
 
-@register("halstead", rf"""{CODE}, t AS (SELECT path AS file, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '//.*$', ''), '#.*$', ''), '{TOKEN}', 1)) AS t FROM lines),
-    k AS (SELECT file, CASE WHEN regexp_matches(t, '^["'']') THEN 'operand' WHEN regexp_matches(t, '^[A-Za-z0-9_]') AND t NOT IN {quoted(halstead.KEYWORDS)} THEN 'operand' ELSE 'operator' END AS kind,
+@register("halstead", rf"""{CODE}, t AS (SELECT path AS file, unnest(regexp_extract_all(CASE WHEN contains(text, '//') THEN regexp_extract(text, '^(.*?)//', 1) ELSE regexp_extract(text, '^([^#]*)', 1) END, '{TOKEN}', 1)) AS t FROM lines),
+    k AS (SELECT file, CASE WHEN regexp_matches(t, '^["'']') THEN 'operand' WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}_]') AND t NOT IN {quoted(halstead.KEYWORDS)} THEN 'operand' ELSE 'operator' END AS kind,
           CASE WHEN regexp_matches(t, '^["'']') THEN '__literal__' ELSE t END AS name FROM t),
     n AS (SELECT file, kind, name, count(*) AS n FROM k GROUP BY 1, 2, 3),
     s AS (SELECT file, count(*) FILTER (kind = 'operator') AS n1, count(*) FILTER (kind = 'operand') AS n2, coalesce(sum(n) FILTER (kind = 'operator'), 0)::BIGINT AS total1, coalesce(sum(n) FILTER (kind = 'operand'), 0)::BIGINT AS total2 FROM n GROUP BY file),
@@ -33,25 +33,26 @@ def halstead_by_file(spark, sf_dir):
     return halstead.halstead(code_lines(spark, sf_dir))
 
 
-@register("transitive_callers", """WITH RECURSIVE calls AS (SELECT DISTINCT 'n' || l_suppkey AS caller, 'n' || (l_suppkey + 1 + l_linenumber % 2) AS callee FROM lineitem WHERE l_suppkey < 60),
-    up AS (SELECT 'n50' AS name UNION SELECT calls.caller FROM calls JOIN up ON calls.callee = up.name) SELECT name FROM up""")
+@register("transitive_callers", """WITH RECURSIVE calls AS (SELECT DISTINCT 'n' || l_suppkey AS caller, 'n' || (l_suppkey // (2 + l_linenumber % 2)) AS callee FROM lineitem),
+    up AS (SELECT 'n1' AS name UNION SELECT calls.caller FROM calls JOIN up ON calls.callee = up.name) SELECT name FROM up""")
 def transitive_callers(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").filter("l_suppkey < 60")  # noqa: E741
-    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    calls = l.select(name(F.col("l_suppkey")).alias("caller"), name(F.col("l_suppkey") + 1 + F.col("l_linenumber") % 2).alias("callee")).distinct()
-    return graphs.transitive_callers(calls, spark.sql("select 'n50' as name")).select("name")
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    name = lambda c: F.concat(F.lit("n"), c.cast("long").cast("string"))
+    calls = l.select(name(F.col("l_suppkey")).alias("caller"), name(F.floor(F.col("l_suppkey") / (2 + F.col("l_linenumber") % 2))).alias("callee")).distinct()
+    return graphs.transitive_callers(calls, spark.sql("select 'n1' as name")).select("name")
 
 
-@register("cohesion")
-def cohesion(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem")  # noqa: E741
-    return graphs.lcom4(l.select(F.lit("a").alias("path"), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("type"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("method"), F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string")).alias("field")))
+TOKENS = ("IF", "ELSE", "WHILE", "FOR", "LOOP", "MATCH", "ARM", "LET", "RET", "CALL", "LAMBDA", "BLOCK", "TRY")
 
 
-@register("duplicate_groups")
+@register("duplicate_groups", f"""WITH RECURSIVE k AS (SELECT p_partkey AS ord, list_sort(list_distinct([({list(TOKENS)!r})[1 + (p_partkey * j) % (p_size % 13 + 1)] FOR j IN range(1, 9)])) AS s FROM part),
+    d AS (SELECT s, min(ord) AS first FROM k GROUP BY s), o AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM d),
+    g AS (SELECT 0::BIGINT AS n, []::STRUCT(seed BIGINT, s VARCHAR[])[] AS seeds, NULL::VARCHAR[] AS s, NULL::BIGINT AS grp
+      UNION ALL SELECT o.n, CASE WHEN len(list_filter(g.seeds, lambda x: len(list_intersect(x.s, o.s)) / len(list_distinct(x.s || o.s)) >= 0.7)) > 0 THEN g.seeds ELSE list_append(g.seeds, {{'seed': o.first, 's': o.s}}) END, o.s,
+        coalesce(list_filter(g.seeds, lambda x: len(list_intersect(x.s, o.s)) / len(list_distinct(x.s || o.s)) >= 0.7)[1].seed, o.first) FROM g JOIN o ON o.n = g.n + 1)
+    SELECT k.ord, g.grp AS "group" FROM k JOIN g ON g.s = k.s""")
 def duplicate_groups(spark, sf_dir):
-    tokens = ("IF", "ELSE", "WHILE", "FOR", "LOOP", "MATCH", "ARM", "LET", "RET", "CALL", "LAMBDA", "BLOCK", "TRY")
-    table = F.array(*[F.lit(t) for t in tokens])
+    table = F.array(*[F.lit(t) for t in TOKENS])
     p = read(spark, sf_dir, "part")
     picked = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.element_at(table, (F.pmod(F.col("p_partkey") * j, F.col("p_size") % 13 + 1) + 1).cast("int")))
     return graphs.duplicate_groups(p.select(F.col("p_partkey").alias("ord"), picked.alias("tokens")))
@@ -86,13 +87,13 @@ def margin_risks(spark, sf_dir):
     return lifecycle.margin_risks(scored, ["run"])
 
 
-@register("vulnerability_gate", """WITH v AS (SELECT p_brand, ['critical', 'high', 'medium', 'low'][1 + p_size % 4] AS severity FROM part WHERE p_size > 30),
+@register("vulnerability_gate", """WITH v AS (SELECT p_brand, ['critical', 'high', 'medium', 'low'][1 + p_size % 4] AS severity FROM part),
     c AS (SELECT p_brand, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM v GROUP BY 1)
-    SELECT *, critical <= 15 AND high <= 15 AS passed FROM c""")
+    SELECT *, critical <= 40 AND high <= 40 AS passed FROM c""")
 def vulnerability_gate(spark, sf_dir):
     levels = F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low")])
-    v = read(spark, sf_dir, "part").filter("p_size > 30").select("p_brand", F.element_at(levels, F.col("p_size") % 4 + 1).alias("severity"))
-    return lifecycle.vulnerability_gate(v, ["p_brand"], 15, 15)
+    v = read(spark, sf_dir, "part").select("p_brand", F.element_at(levels, F.col("p_size") % 4 + 1).alias("severity"))
+    return lifecycle.vulnerability_gate(v, ["p_brand"], 40, 40)
 
 
 @register("outdated_packages", "SELECT p_partkey, (p_size % 4) || '.1.0' AS version, (p_size % 3) || '.0' AS latest FROM part WHERE p_size % 3 > p_size % 4")
@@ -107,16 +108,6 @@ def dot_edges(spark, sf_dir):
     return sinks.dot_edges(read(spark, sf_dir, "lineitem").select(m("l_suppkey", 17).alias("src"), m("l_partkey", 13).alias("dst")))
 
 
-@register("sarif_results")
-def sarif_results(spark, sf_dir):
-    return sinks.sarif_results(scans.crypto(code_lines(spark, sf_dir)))
-
-
-@register("markdown_report")
-def markdown_report(spark, sf_dir):
-    return sinks.markdown_rows(scoring.file_rollup(scans.sast(code_lines(spark, sf_dir))))
-
-
 @register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     w = watch.windowed_counts(read(spark, sf_dir, "events"))

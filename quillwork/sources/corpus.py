@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_state import lines, trim  # noqa: F401  (part of this module's surface)
+
 # File extensions and their languages.
 LANGUAGES = {
     "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go",
@@ -13,6 +17,8 @@ LANGUAGES = {
 }
 #: Directories whose descendants are never scanned; so are those whose name begins with a dot.
 SKIPPED_DIRS = ("target", ".git", "node_modules", "fixtures")
+# Where coverage files are looked for, in order.
+LCOV_PLACES = ("target/lcov.info", "lcov.info", "coverage.lcov", "target/coverage/lcov.info", "coverage/lcov.info")
 
 #: Lines of the synthetic source corpus: file p takes line j's template number (p * (2 j + 1) + j) mod 23.
 TEMPLATES = (
@@ -27,16 +33,50 @@ TEMPLATE_LINES = 24
 EXTENSIONS = ("rs", "py", "js", "go", "java", "md")
 
 
-def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """Whole text files below root as (path, content, ext, lang), skipped folders pruned."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    files = with_language(prune(raw))
-    return files.filter(F.col("ext").isin(*extensions)) if extensions else files
+def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Whole text files below root, or root itself, as (path, content, ext, lang) sorted by path: skipped folders
+    are pruned below root only, and extensions are matched before a file is read."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+    raw = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return with_language(without(prune(raw, root), excluded)).orderBy("path")
 
 
-def prune(files: DataFrame) -> DataFrame:
+def prune(files: DataFrame, root: str = "") -> DataFrame:
+    """Without the descendants of skipped folders; folders above root don't matter."""
     names = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
-    return files.filter(~F.col("path").rlike(rf"/(?:{names}|\.[^/]+)/"))
+    path = F.col("path")
+    below = F.regexp_replace(path, f"^(?:[a-z]+:/+)?{re.escape('/' + root.split(':', 1)[-1].strip('/'))}(?=/)", "") if root else path
+    return files.filter(~below.rlike(rf"(?:^|/)(?:{names}|\.[^/]+)/"))
+
+
+def without(files: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """Without the files whose path contains one of parts: what a user excludes, or a scanner's own sources."""
+    for p in parts:
+        files = files.filter(~F.col("path").contains(p))
+    return files
+
+
+def workspace_root(spark: SparkSession, root: str) -> str:
+    """root/crates if root's manifest declares a workspace and that folder is there, else root."""
+    fs, at = _file_system(spark, root)
+    manifest, members = f"{root.rstrip('/')}/Cargo.toml", f"{root.rstrip('/')}/crates"
+    if not fs.exists(at(manifest)) or not fs.exists(at(members)):
+        return root
+    declared = spark.read.text(manifest).filter(trim(F.col("value")).startswith("[workspace]")).limit(1).count()
+    return members if declared else root
+
+
+def lcov_file(spark: SparkSession, root: str) -> str | None:
+    """The first of the usual places of a coverage file that is there."""
+    fs, at = _file_system(spark, root)
+    return next((p for p in (f"{root.rstrip('/')}/{c}" for c in LCOV_PLACES) if fs.exists(at(p))), None)
+
+
+def _file_system(spark: SparkSession, root: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(root).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def extension(path: Column) -> Column:
@@ -65,25 +105,31 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.concat(kind, p.cast("string"), F.lit("."), ext).alias("path"), F.concat_ws("\n", lines).alias("content"))
 
 
-def trim(text: Column) -> Column:
-    """White space of ASCII off both ends, not just blanks."""
-    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+def demangled(symbol: Column) -> Column:
+    """The last identifier of a mangled symbol (``_R``, identifiers each behind its length), else the symbol. What
+    an identifier takes up isn't looked at again: a step for each run of digits reads on from where it ends."""
+    state = F.struct(symbol.alias("rest"), F.lit(None).cast("string").alias("last"))
 
+    def step(at: Column, _: Column) -> Column:
+        after = F.regexp_extract(at["rest"], r"^[^0-9]*[0-9]+(.*)$", 1)
+        n = F.regexp_extract(at["rest"], r"^[^0-9]*([0-9]+)", 1).try_cast("int")
+        fits, name = F.coalesce(F.length(after) >= n, F.lit(False)), F.left(after, n)
+        last = F.when(fits & name.rlike(r"^\w*$"), name).otherwise(at["last"])
+        return F.struct(F.when(fits, F.substr(after, n + 1)).otherwise(after).alias("rest"), last.alias("last"))
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, line from 1, text, trimmed); no last empty line, and none of an empty or null file."""
-    pieces = F.split(F.coalesce("content", F.lit("")), "\r?\n")
-    whole = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    split = files.select("path", F.posexplode(whole).alias("at", "text"))
-    return split.select("path", (F.col("at") + 1).alias("line"), "text", trim(F.col("text")).alias("trimmed"))
+    last = F.aggregate(F.regexp_extract_all(symbol, F.lit("[0-9]+"), 0), state, step, lambda at: at["last"])
+    return F.when(symbol.startswith("_R"), F.coalesce(last, symbol)).otherwise(symbol)
 
 
 def lcov(records: DataFrame) -> DataFrame:
-    """(function, line, hits) of LCOV lines (value): hits summed by name, the least FN line."""
-    v = F.col("value")
-    fn = records.filter(v.startswith("FN:")).select(F.regexp_extract(v, r"^FN:(\d+),(.*)$", 2).alias("function"), F.regexp_extract(v, r"^FN:(\d+),", 1).cast("int").alias("line"))
-    hit = records.filter(v.startswith("FNDA:")).select(F.regexp_extract(v, r"^FNDA:(\d+),(.*)$", 2).alias("function"), F.regexp_extract(v, r"^FNDA:(\d+),", 1).cast("long").alias("hits"))
-    return hit.groupBy("function").agg(F.sum("hits").alias("hits")).join(fn.groupBy("function").agg(F.min("line").alias("line")), "function", "left").select("function", "line", "hits")
+    """(function, line, hits) of LCOV lines (value): hits summed by name, the least FN line. A mangled symbol is
+    also counted under its plain name."""
+    v = trim(F.col("value"))
+    kind, number, raw = (F.regexp_extract(v, r"^(FN|FNDA):(\d+),(.*)$", k) for k in (1, 2, 3))
+    each = records.select(kind.alias("kind"), number.alias("number"), raw.alias("raw")).filter("kind <> ''")
+    names = each.select("kind", F.col("number").cast("long").alias("number"), F.explode(F.array_distinct(F.array("raw", demangled(F.col("raw"))))).alias("function"))
+    hits = F.coalesce(F.sum(F.when(F.col("kind") == "FNDA", F.col("number"))), F.lit(0)).alias("hits")
+    return names.groupBy("function").agg(F.min(F.when(F.col("kind") == "FN", F.col("number"))).cast("int").alias("line"), hits).select("function", "line", "hits")
 
 
 def locked_packages(rows: DataFrame) -> DataFrame:

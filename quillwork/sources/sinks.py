@@ -55,10 +55,19 @@ def append_history(runs: DataFrame, path: str) -> None:
     runs.withColumn("month", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")).write.mode("append").partitionBy("month").json(path)
 
 
-def signed(rows: DataFrame, key: bytes) -> DataFrame:
-    """Audit rows with the HMAC-SHA256 of their values joined by bars."""
+SIGNED = ("timestamp", "actor", "command", "scope", "findings_count")
+
+
+def signed(rows: DataFrame, key: bytes, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Audit rows with the HMAC-SHA256 of some of their values joined by bars: those of SIGNED, if they are there."""
     @F.pandas_udf("string")
     def sign(text: pd.Series) -> pd.Series:
         return text.map(lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
 
-    return rows.withColumn("signature", sign(F.concat_ws("|", *rows.columns)))
+    named = columns or (SIGNED if set(SIGNED) <= set(rows.columns) else tuple(rows.columns))
+    return rows.withColumn("signature", sign(F.concat_ws("|", *[F.col(c).cast("string") for c in named])))
+
+
+def append_trail(rows: DataFrame, key: bytes, path: str) -> None:
+    """Signed audit rows appended as JSON lines."""
+    signed(rows, key).write.mode("append").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,50 @@ def watch_files(spark: SparkSession, folder: str, each: Callable[[DataFrame, int
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=debounce).start()
 
 
+def debounced(run: Callable[[DataFrame, int], None], wait: float, clock: Callable[[], float] = time.monotonic) -> Callable[[DataFrame, int], None]:
+    """run, but for cycles that come within so many seconds after the last one that ran: they are dropped."""
+    last: list[float] = []
+
+    def maybe(batch: DataFrame, cycle: int) -> None:
+        now = clock()
+        if not last or now - last[0] >= wait:
+            last[:] = [now]
+            run(batch, cycle)
+
+    return maybe
+
+
+def full_cycles(read: Callable[[SparkSession], DataFrame], checks: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that, whenever something has changed, runs the checks over the whole tree again:
+    read gives all files, checks their results, and changed files only decide that there is a cycle."""
+
+    def run(batch: DataFrame, cycle: int) -> None:
+        if not batch.isEmpty():
+            emit(checks(read(batch.sparkSession)), cycle)
+
+    return run
+
+
+def check_events(findings: DataFrame, results: DataFrame) -> DataFrame:
+    """(kind, check, payload JSON) of a run as events: a finding each, a rule that is complete, and the end."""
+    each = findings.select(F.lit("finding").alias("kind"), "check", F.to_json(F.struct("file", "line", "rule_id", "severity")).alias("payload"))
+    counts = findings.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    done = results.join(counts, "check", "left").select(F.lit("rule_complete").alias("kind"), "check", F.to_json(F.struct(F.coalesce("n", F.lit(0)).alias("findings"), "available")).alias("payload"))
+    end = results.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("checks"))).alias("payload")).select(F.lit("end").alias("kind"), F.lit(None).cast("string").alias("check"), "payload")
+    return each.unionByName(done).unionByName(end)
+
+
+def write_events(events: DataFrame, path: str, checkpoint: str):
+    """Append a stream of events as JSON lines."""
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def filtered(events: DataFrame, severities: tuple[str, ...] = (), rules: tuple[str, ...] = ()) -> DataFrame:
+    """Events (severity, rule_id, ...) that a client asked for; works on streams and on tables."""
+    kept = events.filter(F.col("severity").isin(*severities)) if severities else events
+    return kept.filter(F.col("rule_id").isin(*rules)) if rules else kept
+
+
 def cycle_difference(state_path: str, key: list[str], emit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: checks (key, passed) of a cycle against the state table of the last; a
     repeated cycle reads the same state, since each cycle writes its own folder."""
@@ -39,6 +84,21 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """(start, n) of windows that overlap, over events (ts timestamp)."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def followed(first: DataFrame, then: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, at, after) of events (user_id, ts) that another of the same user follows in that time; of streams,
+    rows are kept as long as the watermarks allow a match."""
+    a = first.select(F.col("user_id").alias("u1"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
+    b = then.select(F.col("user_id").alias("u2"), F.col("ts").cast("timestamp").alias("after")).withWatermark("after", late)
+    near = F.expr(f"u1 = u2 AND after > at AND after <= at + INTERVAL {within}")
+    return a.join(b, near).select(F.col("u1").alias("user_id"), "at", "after")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
