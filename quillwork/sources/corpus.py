@@ -47,7 +47,7 @@ def prune(files: DataFrame, root: str = "") -> DataFrame:
     """Without the descendants of skipped folders; folders above root don't matter."""
     names = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
     path = F.col("path")
-    below = F.regexp_replace(path, f"^(?:[a-z]+:/+)?{re.escape('/' + root.split(':', 1)[-1].strip('/'))}(?=/)", "") if root else path
+    below = F.regexp_replace(path, f"^(?:[a-z0-9]+:/*)?{re.escape('/' + root.split(':', 1)[-1].strip('/'))}(?=/)", "") if root else path
     return files.filter(~below.rlike(rf"(?:^|/)(?:{names}|\.[^/]+)/"))
 
 
