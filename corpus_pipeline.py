@@ -1,6 +1,13 @@
 """Corpus cleaning: toxicity, line dedup, SimHash near-dedup, secret scans, packing.
 
-Each stage gets all that the one before kept; all but the last return the columns of documents.
+Each stage gets all that the one before kept, by a table in the shared folder; all but the last return the
+columns of documents, in their order, whatever further columns there are.
+
+Rows with null or repeated ids are rows like any other. A null text is clean, has no lines and no secrets, stays
+null up to packing, and is packed as the empty text; of all null and empty texts near dedup keeps one, as of any
+equal texts. Very long texts go whole through every stage. Wholly alike rows are copies: one stays. A null source
+is packed as the source named by the empty string. Without documents there is no piece; without labels the
+toxicity grammar scores by its plain words.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import packing, secrets, simhash, template_lines, toxicity
-from quillwork.llm.common import table, written
+from quillwork.llm.common import discard, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over all documents. A stage's table goes when the next one's is there."""
+    docs, tables = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            discard(*tables)
+            tables = [docs]
     return docs
