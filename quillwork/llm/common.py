@@ -12,6 +12,8 @@ Conventions that every operator here follows:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,35 +26,79 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds at once; texts of a slice are bounded by what Arrow batches hold.
 SLICE_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to and from Python of BATCH_BYTES at most, about, unless the session asks for smaller ones: whole
+    texts come in them, and buffers of the default size for each of an executor's tasks would add up."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None) or "0"
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table of fewer partitions than cores over the cores; larger ones stay as they are."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share, which spark.checkpoint.dir names. Only a local session, where there is
+    but one machine, gets a temporary one if that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quillwork-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends at files that outlive
-    any executor, columns can be pruned, and a lost task reads them again."""
+    any executor, columns can be pruned, and a lost task reads them again. The files stay until they are
+    discarded or the driver ends. A narrow table, of ids and hashes only, makes four files a core, or one for
+    eight shuffle partitions, if it has more than that."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/quillwork-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_remove_all, spark)
+    _tables.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+_tables: set[str] = set()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _tables.discard(path)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        for path in list(_tables):
+            _remove(spark, path)
 
 
 def text_of(name: str) -> Column:
@@ -155,14 +201,17 @@ def rank_table(path: str) -> dict[bytes, int]:
 
 
 class ByteBound:
-    """A cache of strings and their ids, emptied when it holds more bytes than LIMIT."""
+    """A cache of strings and their ids, of LIMIT bytes about: when half of that is held, what is held becomes
+    old, and of what was old before only what was asked for since is left."""
 
-    LIMIT = 24 << 20
+    LIMIT = 48 << 20
     #: What an entry takes beside its characters: two objects and a place in the table, about.
     ENTRY = 200
 
-    def __init__(self):
+    def __init__(self, limit: int = LIMIT):
+        self.limit = limit
         self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = 0
 
     def put(self, key: str, value: bytes) -> None:
@@ -170,9 +219,18 @@ class ByteBound:
         self.size += self.ENTRY + len(key) + len(value)
 
     def fit(self) -> None:
-        if self.size > self.LIMIT:
-            self.held.clear()
-            self.size = 0
+        if self.size > self.limit // 2:
+            self.held, self.old, self.size = {}, self.held, 0
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those that neither generation has; old ones are held again."""
+        lost = []
+        for k in keys.difference(self.held):
+            if (value := self.old.get(k)) is None:
+                lost.append(k)
+            else:
+                self.put(k, value)
+        return lost
 
 
 def bounded(part: str) -> bool:

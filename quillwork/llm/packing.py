@@ -23,6 +23,7 @@ keep a row each, further columns don't matter; an empty table gives no piece.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -32,51 +33,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ByteBound, arrow_schema, bounded, crc, map_rows, tokenizer_path, written
+from .common import arrow_schema, crc, map_rows, pretoken_pattern, rank_table, tokenizer_path, written
 
 SEQUENCE, WINDOW, END_ID = 2048, 1 << 17, 1
 #: Documents in a block of a queue, about, and blocks that one running sum covers.
 BLOCK_ROWS, SUM_BLOCKS = 5_000, 4_096
 #: Bytes of ids in one batch of pieces, about; the name of the queue that small sources share.
 OUT_BYTES, SHARED = 1 << 23, "+"
+#: Characters up to which a text is encoded from ranks.
+RANKED_CHARS = 200_000
 
 
-class WordCoder:
+class TextCoder:
     """Ids of whole texts, as the tokenizers library gives them with add_special_tokens=False: the string of
-    an added token inside a text is that token. What stands between single blanks is remembered.
+    an added token inside a text is that token.
 
-    A blank between two characters that aren't white space always begins a pre-token, so that what
-    lies between such blanks is encoded on its own; other texts are encoded in one piece.
+    Texts without one are encoded from the ranks of the same vocabulary, which gives the same ids several
+    times faster (tests compare them, by every code point too); very long ones aren't, whose runs of white
+    space would take that library's stack.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks_path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache = ByteBound()
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(ranks_path), special_tokens={})
+        self.code, self.dtype = ("H", "<u2") if self.coder.get_vocab_size() <= 1 << 16 else ("I", "<u4")
 
     def encode(self, text: str) -> bytes:
         """Ids in the type dtype."""
-        self.cache.fit()
-        first, *rest = text.split(" ")
-        words = set(rest)
-        if not rest or not bounded(first) or not all(map(bounded, words)):
-            return self.many([text])[0]
-        fresh = [w for w in words if w not in self.cache.held]
-        for w, ids in zip(fresh, self.many([" " + w for w in fresh]) if fresh else (), strict=True):
-            self.cache.put(w, ids)
-        return self.many([first])[0] + b"".join(map(self.cache.held.__getitem__, rest))
+        if len(text) > RANKED_CHARS or any(t in text for t in self.added):
+            return array(self.code, self.coder.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.ranked.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(1)
-def word_coder(path: str) -> WordCoder:
-    """One a worker process, kept over its tasks."""
-    return WordCoder(path)
+def text_coder(path: str, ranks_path: str, pattern: str) -> TextCoder:
+    """One a worker process, kept over its tasks; it remembers no texts."""
+    return TextCoder(path, ranks_path, pattern)
+
+
+def public_coder() -> tuple[str, str, str]:
+    return tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern()
 
 
 class Phase:
@@ -164,12 +165,12 @@ def pieces_of(phases: list[Phase], q: str, start: int, end: int) -> Iterator[tup
             k += 1
 
 
-def tokenized(df: DataFrame, text_col: str, id_col: str, source_col: str, path: str) -> DataFrame:
+def tokenized(df: DataFrame, text_col: str, id_col: str, source_col: str, coder_files: tuple[str, str, str]) -> DataFrame:
     """(doc_id, queue, n, ids binary): ids with the end id, in the coder's type."""
     given = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"), F.col(text_col).alias("text"))
 
     def start():
-        coder = word_coder(path)
+        coder = text_coder(*coder_files)
         end = np.array([END_ID], coder.dtype).tobytes()
 
         def make(texts):
@@ -195,23 +196,23 @@ def queues(coded: DataFrame, targets: dict[str, float] | None, window: int) -> D
 
 def block_bases(rows: DataFrame) -> DataFrame:
     """(queue, block, sum, base) of rows (queue, block, n): base is the sum of the queue's blocks before."""
-    sums = written(rows.groupBy("queue", "block").agg(F.sum("n").alias("sum")).withColumn("part", F.expr(f"block div {SUM_BLOCKS}")))
+    sums = written(rows.groupBy("queue", "block").agg(F.sum("n").alias("sum")).withColumn("part", F.expr(f"block div {SUM_BLOCKS}")), narrow=True)
     parts = sums.groupBy("queue", "part").agg(F.sum("sum").alias("all"))
     parts = parts.withColumn("before", F.sum("all").over(Window.partitionBy("queue").orderBy("part")) - F.col("all"))
     inside = sums.withColumn("base", F.sum("sum").over(Window.partitionBy("queue", "part").orderBy("block")) - F.col("sum"))
     joined = inside.alias("i").join(parts.alias("p"), F.col("i.queue").eqNullSafe(F.col("p.queue")) & (F.col("i.part") == F.col("p.part")))
-    return written(joined.select("i.queue", "block", "sum", (F.col("base") + F.col("before")).alias("base")))
+    return written(joined.select("i.queue", "block", "sum", (F.col("base") + F.col("before")).alias("base")), narrow=True)
 
 
-def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", path: str | None = None, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", coder_files: tuple[str, str, str] | None = None, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: long; ids binary), a row a piece;
-    ids are little-endian unsigned 32-bit. path: a tokenizer file that every executor can open. targets:
-    weights of sources; sources without one come when those with one are empty. window: tokens of a window,
+    ids are little-endian unsigned 32-bit. coder_files: a tokenizer file and a rank file of its vocabulary,
+    which every executor can open, and the pattern of pre-tokens (public_coder() if None). targets: weights of sources; sources without one come when those with one are empty. window: tokens of a window,
     a multiple of a sequence."""
-    path = path or tokenizer_path("byte_bpe_50k.json")
-    dtype = word_coder(path).dtype
+    coder_files = coder_files or public_coder()
+    dtype = text_coder(*coder_files).dtype
     # a number for each row, fixed once it is written: blocks are even whatever ids are null or repeated
-    coded = written(tokenized(df, text_col, id_col, source_col, path).withColumn("row", F.monotonically_increasing_id()))
+    coded = written(tokenized(df, text_col, id_col, source_col, coder_files).withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, -(-coded.count() // BLOCK_ROWS))
     rows = queues(coded, targets, window).withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)))
     bases = block_bases(rows)

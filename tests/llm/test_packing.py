@@ -20,7 +20,7 @@ def library():
 
 
 def coded(text):
-    coder = packing.word_coder(common.tokenizer_path("byte_bpe_50k.json"))
+    coder = packing.text_coder(*packing.public_coder())
     return np.frombuffer(coder.encode(text), coder.dtype).tolist()
 
 
@@ -37,12 +37,25 @@ def test_ids_of_random_texts(library):
         assert coded(text) == library(text), repr(text)
 
 
+def test_ids_of_every_code_point(library):
+    for at in range(0, 0x110000, 4096):
+        part = "".join(f"a{c}a 1{c}1 {c}\n{c}  {c}." for c in map(chr, range(at, at + 4096)) if not "\ud800" <= c <= "\udfff")
+        assert coded(part) == library(part), hex(at)
+
+
+def test_ids_of_very_long_texts(library):
+    for text in (" " * 1_500_000, "x" * 300_000, "a b" * 150_000, "\n" * 199_999):
+        assert coded(text) == library(text)
+
+
 def test_cache_is_bounded_by_bytes():
     cache = common.ByteBound()
-    for i in range(5):
+    for i in range(9):
         cache.fit()
-        cache.put(f"{i}" * (cache.LIMIT // 4), b"")
-    assert cache.size <= cache.LIMIT * 1.3 and len(cache.held) < 5
+        cache.put(f"{i}" * (cache.LIMIT // 8), b"x")
+        assert cache.missing({"0" * (cache.LIMIT // 8), "new"}) == ["new"]  # what is asked for stays
+    assert cache.size <= cache.LIMIT and len(cache.held) + len(cache.old) < 12
+    assert cache.missing({"2" * (cache.LIMIT // 8)})
 
 
 def corpus():
