@@ -18,12 +18,14 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, map_rows, pretoken_pattern, rank_table, tokenizer_path
+from .common import ByteBound, bounded, map_rows, pretoken_pattern, rank_table, tokenizer_path
 
-#: Pre-tokens that a worker remembers; the cache is emptied when it is full.
-CACHE = 400_000
+#: Bytes that a worker's two caches, of pre-tokens and of what stands between blanks, hold each, about.
+CACHE_BYTES = 64 << 20
 #: Cells of one matrix at most, and bytes above which a pre-token is merged from a heap instead.
 CELLS, LONG = 1 << 20, 2048
+#: Characters of texts that are encoded together, about.
+SLICE_CHARS = 1 << 20
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,8 +84,7 @@ class Encoder:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(ranks)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cache, self.parts = ByteBound(CACHE_BYTES), ByteBound(CACHE_BYTES)
 
     def _matrix(self, words: list[bytes], length: int) -> list[np.ndarray]:
         """Ids of words of at most this many bytes, all of them merged in step."""
@@ -162,20 +163,20 @@ class Encoder:
             data = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.cache[word] = whole.to_bytes(4, "little")
+                self.cache.put(word, whole.to_bytes(4, "little"))
             else:
                 buckets.setdefault(len(data) if len(data) <= 16 else 1 << (len(data) - 1).bit_length(), []).append((word, data))
         for members in buckets.values():
             length = max(len(d) for _, d in members)
             if length > LONG:
                 for word, data in members:
-                    self.cache[word] = self._long(data).astype("<u4").tobytes()
+                    self.cache.put(word, self._long(data).astype("<u4").tobytes())
                 continue
             step = max(1, CELLS // length)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 for (word, _), ids in zip(part, self._matrix([d for _, d in part], length), strict=True):
-                    self.cache[word] = ids.astype("<u4").tobytes()
+                    self.cache.put(word, ids.astype("<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -183,20 +184,29 @@ class Encoder:
         A blank between two characters that aren't white space always begins a pre-token: what lies
         between such blanks is cut into pre-tokens once and remembered; other texts are cut whole.
         """
-        if len(self.cache) > CACHE or len(self.parts) > CACHE:
-            self.cache.clear()
-            self.parts.clear()
+        out, part, size = [], [], 0
+        for t in texts:  # caches are looked after every SLICE_CHARS, and once more after a longer text
+            part.append(t)
+            size += len(t)
+            if size > SLICE_CHARS:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + (self._encode(part) if part else [])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.cache.fit()
+        self.parts.fit()
         cut = [t.split(" ") for t in texts]
-        fresh = set().union(*(c[1:] for c in cut)).difference(self.parts)
+        fresh = set(self.parts.missing(set().union(*(c[1:] for c in cut))))
         good = {w for w in fresh if bounded(w)}
         bad = fresh - good
         whole = [not bounded(c[0]) or (bool(bad) and not bad.isdisjoint(c[1:])) for c in cut]
         found = [self.find(t) if w else self.find(c[0]) for t, c, w in zip(texts, cut, whole, strict=True)]
         inside = {w: self.find(" " + w) for w in good}
-        self.learn(set().union(*found, *inside.values()).difference(self.cache))
-        get, part = self.cache.__getitem__, self.parts.__getitem__
+        self.learn(self.cache.missing(set().union(*found, *inside.values())))
+        get, part = self.cache.held.__getitem__, self.parts.held.__getitem__
         for w, f in inside.items():
-            self.parts[w] = b"".join(map(get, f))
+            self.parts.put(w, b"".join(map(get, f)))
         return [b"".join(map(get, f)) if w else b"".join((*map(get, f), *map(part, c[1:]))) for f, c, w in zip(found, cut, whole, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
