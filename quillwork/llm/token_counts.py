@@ -6,8 +6,9 @@ over the node's string, and with it the fewest pieces among equals) is computed
 ancestors, for all pre-tokens that share the prefix. Terminal nodes store their piece count, and a
 text's count is the sum over its pre-tokens.
 
-Pieces come from a public vocabulary; its order gives the log-probabilities by Zipf's law. A
-character that no piece covers costs its UTF-8 bytes, one token each.
+Pieces come from a public vocabulary; its order gives the log-probabilities by Zipf's law, since the file
+holds no unigram scores and tokenizers aren't trained here (fitting them by expectation and maximisation
+would be training one). A character that no piece covers costs its UTF-8 bytes, one token each.
 
 A null text is the empty text: no tokens. Ids may be null or repeated. Texts are counted whole.
 """
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, tokenizer_path
 
-#: Trie nodes that a worker keeps; the trie is emptied when it is full.
-NODES = 1_500_000
+#: Trie nodes that a worker keeps, about 250 bytes each; the trie is emptied when it is full. Characters of
+#: texts that are inserted before it is looked after: one longer text is inserted by itself.
+NODES, SLICE_CHARS = 700_000, 1 << 20
 #: Log-probability of one byte of a character outside the vocabulary.
 BYTE_SCORE = -25.0
 MARK = "▁"
@@ -84,6 +86,17 @@ class TrieCounter:
 
     def counts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Pre-tokens and tokens of each text."""
+        out, part, size = ([], []), [], 0
+        for i, t in enumerate(texts):
+            part.append(t)
+            size += len(t)
+            if size > SLICE_CHARS or i == len(texts) - 1:
+                for o, made in zip(out, self._counts(part), strict=True):
+                    o += made
+                part, size = [], 0
+        return out
+
+    def _counts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         if len(self.children) > NODES:
             self.clear()
         words = [t.split() for t in texts]
