@@ -7,7 +7,9 @@ temperature fitted on sampled rows left out of training calibrates the scores.
 
 Only the text and non-null language of rows that aren't held out are learned from. Null texts and
 texts without a letter are ``und`` with score 1. Without any learnable row every text is ``und`` with
-score 0. Ids may be null or repeated; ties between languages go to the first in alphabetical order.
+score 0. Ids may be null or repeated (each row is predicted and may be sampled by itself), texts of any
+length are read whole, further columns don't matter; ties between languages go to the first in
+alphabetical order.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, sampled
 
 DIMENSIONS = 1 << 14
 #: Rows that the regression is trained and calibrated on, at most; one in five calibrates.
@@ -111,10 +113,11 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from the rows that aren't held out. To the driver come DIMENSIONS document frequencies and
     at most SAMPLE_ROWS rows of hashed counts, never texts."""
-    can = df.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("order"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    frequency = _document_frequency(can)
-    docs, idf = frequency
-    sample = can.orderBy("order").limit(SAMPLE_ROWS)
+    can = df.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    idf = _document_frequency(can)
+    # a row's place is part of the hash, so that copies of one row aren't all below the bound
+    order = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    sample = sampled(can, order, ["id", "lang", "text"], SAMPLE_ROWS).select(F.xxhash64("id", "text").alias("order"), "lang", "text")
 
     def start():
         def make(texts):
@@ -127,7 +130,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
         return make
 
-    got = sorted(map_rows(sample, ["order", "lang"], "text", "at binary, counts binary", start).collect(), key=lambda r: r["order"])
+    got = sorted(map_rows(sample, ["order", "lang"], "text", "at binary, counts binary", start).collect(), key=lambda r: (r["order"], r["lang"], r["at"], r["counts"]))
     languages = sorted({r["lang"] for r in got})
     rows = []
     for r in got:
@@ -143,8 +146,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Model(languages, weights, idf, calibrate(logits, np.array([y for *_, y in left])))
 
 
-def _document_frequency(can: DataFrame) -> tuple[int, np.ndarray]:
-    """Over all learnable rows: each task sends one row a dimension at most."""
+def _document_frequency(can: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all learnable rows: each task sends one row a dimension at most."""
     import pyarrow as pa
 
     from .common import slices, spread, text_of
@@ -164,7 +167,7 @@ def _document_frequency(can: DataFrame) -> tuple[int, np.ndarray]:
     df = np.zeros(DIMENSIONS + 1)
     for r in got:
         df[r["at"]] = r["df"]
-    return int(df[-1]), np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
