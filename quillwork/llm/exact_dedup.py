@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_rows, written
@@ -126,15 +126,25 @@ def merge_groups(history: DataFrame, fresh: DataFrame, shards: int) -> DataFrame
     return both.groupBy("shard").applyInArrow(run, out)
 
 
-def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", old: Column | None = None, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size long, kept boolean, text_sha256 string), one row for each row.
 
-    The history is the half of the rows whose id has an even hash; the other half is looked up in it.
+    History is what the perfect hash is made of: the rows for which old (a condition on doc_id) holds, and
+    known, a table (digest binary, keep_id, n) of digests that aren't in df; without either all rows group by
+    themselves. Rows of known count for group sizes and may be what stays, and give no rows of their own.
     """
     rows = written(digests(df, text_col, id_col))
-    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    history, fresh = _summed(rows.filter(even), True), _summed(rows.filter(~even), False)
-    shards = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARD_KEYS))
-    groups = written(merge_groups(history, fresh, shards))
+    old = F.lit(False) if old is None else F.coalesce(old, F.lit(False))
+    history, fresh = _summed(rows.filter(old), True), _summed(rows.filter(~old), False)
+    if known is not None:
+        both = history.select("digest", "keep_id", "n").unionByName(known.select("digest", "keep_id", F.col("n").cast("long").alias("n")))
+        history = both.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n")).withColumn("old", F.lit(True))
+    shards = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(rows.count() + (known.count() if known is not None else 0)) // SHARD_KEYS))
+    groups = written(merge_groups(history, fresh, shards), narrow=True)
     joined = rows.join(groups, "digest")
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def even_half(id_col: str = "doc_id") -> Column:
+    """Half of the ids, by a hash: the history that the query takes."""
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0

@@ -22,7 +22,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), old=exact_dedup.even_half())
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
