@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 from itertools import count
 
 import pandas as pd
@@ -10,8 +14,31 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint where the session names a folder for them; AQE plans grow otherwise."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names, which all executors share; a local
+    session without one gets a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not where:
+            where = tempfile.mkdtemp(prefix="quillwork-")
+            atexit.register(shutil.rmtree, where, True)
+        context.setCheckpointDir(where)
+    return df.checkpoint()
+
+
+def call_edges(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file, caller, callee) of lines (path, line, text, trimmed) and functions (file, name, line, end_line): a line
+    of a function that calls, qualifies or borrows another function of its file by name. A file's functions are
+    one array, which its lines are joined with; comments and bindings don't count."""
+    named = functions.groupBy(F.col("file").alias("path")).agg(F.collect_set(F.struct("name", "line", "end_line")).alias("fns"))
+    live = lines.filter(~F.col("trimmed").startswith("//") & ~F.col("trimmed").startswith("let ")).select("path", "line", "text").join(named, "path")
+    calls = lambda f: F.col("text").contains(F.concat(f["name"], F.lit("("))) | F.col("text").contains(F.concat(f["name"], F.lit("::"))) | F.col("text").contains(F.concat(F.lit("&mut "), f["name"]))
+    each = live.select("path", F.explode(F.filter("fns", lambda f: (F.col("line") >= f["line"]) & (F.col("line") <= f["end_line"]))).alias("caller"), F.filter("fns", calls).alias("called"))
+    edges = each.select(F.col("path").alias("file"), F.col("caller.name").alias("caller"), F.explode("called").alias("f")).select("file", "caller", F.col("f.name").alias("callee"))
+    return edges.filter("caller <> callee").distinct()
 
 
 def transitive_callers(calls: DataFrame, changed: DataFrame) -> DataFrame:

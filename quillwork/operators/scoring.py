@@ -28,6 +28,18 @@ def file_rollup(findings: DataFrame) -> DataFrame:
     return findings.groupBy("file").agg(F.count(F.lit(1)).alias("n_findings"), F.sum(severity_weight(F.col("severity"))).alias("score"), *map(n, ("critical", "high", "medium", "low")))
 
 
+def file_summary(findings: DataFrame) -> DataFrame:
+    """(file, n_findings, score, severities map): findings of a file counted by severity, whatever severities there are."""
+    counts = findings.groupBy("file", "severity").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n"))))
+    return counts.groupBy("file").agg(F.sum("n").alias("n_findings"), F.sum(F.col("n") * severity_weight(F.col("severity"))).alias("score"), entries.alias("severities"))
+
+
+def worst_files(summary: DataFrame, count: int = 20) -> DataFrame:
+    """The files (file, n_findings, score) of the highest score, then of most findings."""
+    return summary.orderBy(F.desc("score"), F.desc("n_findings"), "file").limit(count)
+
+
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high", "error"), "error").when(severity.isin("low", "note"), "note").otherwise("warning")
 

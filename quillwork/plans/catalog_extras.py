@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, fixes, graphs, metrics, parse, scans
-from ..sources import corpus, history
+from ..operators import checks, fixes, graphs, metrics, parse, rule_tables, scans, scoring
+from ..sources import corpus, history, reports
 from ..streaming import watch
-from .catalog import CODE, CODE_FILES, LINES, code_lines, crap, function_table, read, register, risk, text
+from .catalog import CODE, CODE_FILES, DOCSTRING, LINES, LIVE, among, cases, code_lines, crap, function_table, read, register, risk, text
 from .catalog_flows import tree
+from .catalog_sources import CRYPTO_SQL, report_checks, report_findings
 
 NAMES = ("plain name", "日本語の長い名前", "caf" + chr(233) + " au lait", "ok " + chr(0x1F642) + " done", "")
 SHORT = 6
@@ -168,6 +169,54 @@ def project_fingerprints(spark, sf_dir):
     return history.fingerprints(read(spark, sf_dir, "part").select(F.col("p_size").alias("project"), F.col("p_name").alias("path"), F.col("p_type").alias("content")), "v1")
 
 
+SEVERITIES = ("high", "low", "medium", "odd")
+
+
+def severities(spark, sf_dir):
+    s = F.col("p_size")
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 300).cast("string")).alias("file"), one_of(SEVERITIES, s).alias("severity"))
+
+
+SUMMARY = f"""s AS (SELECT 'f' || p_partkey % 300 AS file, ({sql_list(SEVERITIES)})[1 + p_size % 4] AS severity FROM part), n AS (SELECT file, severity, count(*) AS n FROM s GROUP BY 1, 2),
+    f AS (SELECT file, sum(n)::BIGINT AS n_findings, sum(n * CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)::BIGINT AS score, '{{' || string_agg('"' || severity || '":' || n, ',' ORDER BY severity) || '}}' AS severities FROM n GROUP BY 1)"""
+
+
+@register("file_summaries", f"WITH {SUMMARY} SELECT * FROM f")
+def file_summaries(spark, sf_dir):
+    return scoring.file_summary(severities(spark, sf_dir)).withColumn("severities", F.to_json("severities"))
+
+
+@register("worst_files", f"WITH {SUMMARY} SELECT file, n_findings, score FROM f ORDER BY score DESC, n_findings DESC, file LIMIT 20")
+def worst_files(spark, sf_dir):
+    return scoring.worst_files(scoring.file_summary(severities(spark, sf_dir)).drop("severities"))
+
+
+@register("confident_findings", f"{CODE}{LIVE}, found AS ({cases([r for r in rule_tables.SAST if r.confidence == 'high'])} FROM live WHERE ext IN {among(scans.SAST_EXTENSIONS)} AND NOT regexp_matches(trimmed, '^(//|#|--|<!--|;|%)') AND NOT {DOCSTRING}) SELECT * FROM found WHERE rule_id IS NOT NULL")
+def confident_findings(spark, sf_dir):
+    return scans.sast(code_lines(spark, sf_dir, "block"), "high")
+
+
+CALLS = ("fn a() {", "    b(1);", "    // c()", "}", "fn b(x: u32) {", "    let y = a();", "    x.push(&mut c);", "}", "fn c() {", "    abc(2); a::go();", "}")
+
+
+@register("call_edges", """SELECT 'k' || p_partkey || '.rs' AS file, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['a', 'b', 'c', 'c', 'abc'] ELSE ['a', 'b', 'c', 'c', 'c', 'abc'] END) AS caller, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['b', 'c', 'a', 'abc', 'c'] ELSE ['b', 'c', 'a', 'abc', 'b', 'c'] END) AS callee FROM part""")
+def call_edges(spark, sf_dir):
+    p = F.col("p_partkey")
+    body = F.concat(F.lit("\n".join(CALLS)), F.lit("\nfn abc() {\n}\n"))
+    files = read(spark, sf_dir, "part").select(F.concat(F.lit("k"), p.cast("string"), F.lit(".rs")).alias("path"), F.when(p % 2 == 0, body).otherwise(F.replace(body, F.lit("abc(2);"), F.lit("abc(2); b();"))).alias("content"))
+    starts = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("line"), F.lit(z).alias("end_line")) for n, a, z in (("a", 1, 4), ("b", 5, 8), ("c", 9, 11), ("abc", 12, 13))])).alias("f")
+    return graphs.call_edges(corpus.lines(files), files.select(F.col("path").alias("file"), starts).select("file", "f.*"))
+
+
+@register("json_report", f"""WITH {CRYPTO_SQL}, m AS (SELECT min(ord) AS first FROM f)
+    SELECT 0 AS part, 0::BIGINT AS ord, '{{"passed":false,"summary":{{"total_checks":3,"failed_checks":2}},"checks":[' AS value
+    UNION ALL SELECT 1, 1, '{{"name":"crypto","passed":false,"message":"bad","severity":"high","rule_id":"C","help":"h"}}' UNION ALL SELECT 1, 2, ',{{"name":"debt","passed":true,"message":"fine"}}'
+    UNION ALL SELECT 1, 3, ',{{"name":"sast","passed":false,"message":"none found"}}' UNION ALL SELECT 2, 0, '],"findings":[' UNION ALL SELECT 4, 0, ']}}'
+    UNION ALL SELECT 3, ord, CASE WHEN ord > first THEN ',' ELSE '' END || '{{"check":"crypto","file":"' || file || '","line":' || line || ',"severity":"' || severity || '","message":"' || message || '","rule_id":"' || rule_id || '","fix_hint":"' || fix_hint || '"}}' FROM f, m""")
+def json_report(spark, sf_dir):
+    return reports.json_report(report_findings(spark, sf_dir), report_checks(spark))
+
+
 # --- events -------------------------------------------------------------------------------------
 
 

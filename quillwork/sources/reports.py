@@ -109,6 +109,18 @@ def failed_ndjson(checks: DataFrame, items: DataFrame) -> DataFrame:
     return each.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def json_report(findings: DataFrame, checks: DataFrame) -> DataFrame:
+    """A JSON document of all checks and findings, with a summary."""
+    totals = checks.agg(F.count(F.lit(1)).alias("total_checks"), F.count(F.when(~F.col("passed"), 1)).alias("failed_checks"))
+    passed = F.col("failed_checks") == 0
+    head = F.concat(F.lit('{"passed":'), passed.cast("string"), F.lit(',"summary":'), F.to_json(F.struct("total_checks", "failed_checks")), F.lit(',"checks":['))
+    order = F.dense_rank().over(Window.orderBy("check"))  # as many rows as there are checks
+    listed = checks.withColumn("n", order)
+    check = F.to_json(F.struct(F.col("check").alias("name"), "passed", "message", "severity", "rule_id", "help"))
+    finding = F.to_json(F.struct("check", "file", "line", "column", "severity", "message", "rule_id", "fix_hint"))
+    return _all([totals.select(*_line(0, F.lit(0), head)), _listed(listed, 1, F.col("n"), check), _fixed(checks, 2, F.lit('],"findings":[')), _listed(findings, 3, F.col("ord"), finding), _fixed(checks, 4, F.lit("]}"))])
+
+
 def _numbered(packages: DataFrame) -> DataFrame:
     """Packages with n from 1 in the order of their purl: counted by ranges of purls, then within a range."""
     prefix = F.left("purl", F.lit(24)).alias("prefix")
