@@ -1,6 +1,6 @@
 """Checks that look at several lines of a file: taint, dead code, documentation, and mutants.
 
-Taint and dead code work on a file's lines as one array, without a shuffle.
+States of lines are found within a file's array of lines; only hits are shuffled.
 """
 
 from __future__ import annotations
@@ -94,24 +94,24 @@ def taint(files: DataFrame) -> DataFrame:
     A variable is sensitive by its name, by a marker on the last line before its own that isn't blank, or by
     a ``Secret::`` value. Lines that make one sensitive, marker lines and test functions (Rust) are no sinks.
     """
-    known = files.select("path", "content", extension(F.col("path")).alias("ext")).filter(F.col("ext").isin(*(e for es in TAINT_EXTENSIONS.values() for e in es)))
-    rust, ext = F.col("path").endswith(".rs"), extension(F.col("path"))
-
-    def judged(x: Column, i: Column) -> Column:
-        t = x["trimmed"]
-        skipped = x["in_test"] | line_state.begins_test(t, rust) | line_state.is_marker(t, rust)
-        name = F.when(skipped, "").otherwise(by_language(ext, lambda lang: assigned(t, lang)))
-        return F.struct((i + 1).alias("line"), x["text"].alias("text"), name.alias("name"), x["marked"].alias("marked"), t.contains("Secret::").alias("secret"), F.when(~skipped, by_language(ext, lambda lang: sink(t, lang))).alias("kind"))
-
-    def makes(s: Column) -> Column:
-        return (s["name"] != "") & (any_of(F.lower(s["name"]), SENSITIVE) | s["marked"] | s["secret"])
-
-    judged_lines = line_state.arrays(known, "in_test", "marked").select("path", F.explode(F.array(F.transform("lines", judged))).alias("ls"))
-    both = judged_lines.select("path", F.explode(F.array(F.struct(F.filter("ls", makes).alias("made"), F.filter("ls", lambda s: ~makes(s) & s["kind"].isNotNull()).alias("sinks")))).alias("b"))
-    leaks = F.transform("b.sinks", lambda u: F.transform(F.filter("b.made", lambda d: (d["line"] < u["line"]) & u["text"].contains(d["name"])), lambda d: F.struct(u["line"].alias("line"), d["name"].alias("variable"), u["kind"].alias("kind"))))
-    each = both.select(F.col("path").alias("file"), F.explode(F.array_distinct(F.flatten(leaks))).alias("l")).select("file", "l.*")
+    known = files.filter(extension(F.col("path")).isin(*(e for es in TAINT_EXTENSIONS.values() for e in es)))
+    # a file that holds none of these words makes no variable sensitive
+    known = known.filter(F.col("content").rlike("(?i)sensitive|Secret::|" + "|".join(SENSITIVE)))
+    ext, rust = F.col("ext"), F.col("ext") == "rs"
+
+    t = F.col("trimmed")
+    each = line_state.lines(known.select("path", "content"), "in_test", "marked", "ext")
+    skipped = F.col("in_test") | line_state.begins_test(t, rust) | line_state.is_marker(t, rust)
+    name = F.when(~skipped, by_language(ext, lambda lang: assigned(t, lang)))
+    made = (F.col("name") != "") & (any_of(F.lower("name"), SENSITIVE) | F.col("marked") | t.contains("Secret::"))
+    kind = F.when(~skipped, by_language(ext, lambda lang: sink(t, lang)))
+    # what makes a variable sensitive and what may leak one is all that is shuffled
+    judged = each.withColumn("name", F.coalesce(name, F.lit(""))).withColumn("made", made).withColumn("kind", kind).filter("made or kind is not null")
+    sources = judged.filter("made").groupBy("path", F.col("name").alias("variable")).agg(F.min("line").alias("since"))
+    uses = judged.filter("not made").select("path", "line", "text", "kind")
+    leaks = uses.join(sources, "path").filter((F.col("line") > F.col("since")) & F.col("text").contains(F.col("variable")))
     severity = F.create_map(*[F.lit(x) for kv in TAINT_SEVERITY.items() for x in kv])
-    return each.withColumn("severity", severity[F.col("kind")])
+    return leaks.select(F.col("path").alias("file"), "line", "variable", "kind", severity[F.col("kind")].alias("severity"))
 
 
 def python_import(trimmed: Column) -> Column:
@@ -131,7 +131,7 @@ def script_imports(trimmed: Column) -> Column:
 def dead_code(files: DataFrame) -> DataFrame:
     """(file, line, kind, severity): allowed dead code, imports of a name that occurs once in its file, branches
     on a constant, discarded values, and empty blocks."""
-    ext, script = extension(F.col("path")), ("js", "ts", "mjs", "tsx")
+    ext, script = F.col("ext"), ("js", "ts", "mjs", "tsx")
 
     def kinds(x: Column) -> Column:
         t, previous = x["trimmed"], x["previous"]
@@ -148,7 +148,7 @@ def dead_code(files: DataFrame) -> DataFrame:
         names = names.when(ext.isin(*script) & t.startswith("import ") & t.contains("from "), script_imports(t)).otherwise(F.array().cast("array<string>"))
         return F.concat(found, F.transform(names, lambda n: F.struct(F.lit("unused_import").alias("kind"), F.lit("low").alias("severity"), n.alias("name"))))
 
-    each = line_state.arrays(files, "previous").select("path", F.explode(F.array(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).alias("whole"), "lines")
+    each = line_state.arrays(files, "previous").select("path", "ext", F.explode(F.array(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).alias("whole"), "lines")
     found = each.select("path", "whole", F.explode(F.flatten(F.transform("lines", lambda x, i: F.transform(kinds(x), lambda k: F.struct((i + 1).alias("line"), k.alias("k")))))).alias("f"))
     times = (F.length("whole") - F.length(F.replace("whole", F.col("f.k.name"), F.lit("")))) / F.length("f.k.name")
     return found.filter((F.col("f.k.name") == "") | (times <= 1)).select(F.col("path").alias("file"), "f.line", "f.k.kind", "f.k.severity")

@@ -43,35 +43,39 @@ def attribute(number: Column, rules: Sequence[Rule], name: str) -> Column:
 def findings(lines: DataFrame, rules: Sequence[Rule], text: Column | None = None) -> DataFrame:
     """(file, line, rule_id, category, severity)."""
     hits = lines.withColumn("rule", first_match(F.col("text") if text is None else text, rules)).filter(F.col("rule").isNotNull())
+    return described(hits, rules)
+
+
+def described(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(file, line, rule_id, category, severity) of hits (path, line, rule: a rule's number)."""
     n = F.col("rule")
     return hits.select(F.col("path").alias("file"), "line", attribute(n, rules, "id").alias("rule_id"), attribute(n, rules, "category").alias("category"), attribute(n, rules, "severity").alias("severity"))
 
 
-def _windowed(lines: DataFrame, state: str) -> Column:
-    """The same states of lines that don't have them: by a window over each file."""
-    before, t = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1), F.col("trimmed")
-    by_line = Window.partitionBy("path").orderBy("line")
-    switched = lambda on, off=None: F.coalesce(F.last(F.when(on, True) if off is None else F.when(on, True).when(off, False), ignorenulls=True).over(before), F.lit(False))
-    return {
-        "block": lambda: switched(t.startswith("/*") & ~t.contains("*/"), t.contains("*/")),
-        "tests": lambda: switched(t.startswith("#[cfg(test)]")),
-        "mentions": lambda: switched(t.contains("#[cfg(test)]") | t.contains("mod tests")),
-        "after": lambda: F.lead("trimmed", 1, "").over(by_line),
-        "before": lambda: F.lag("text", 1, "").over(by_line),
-    }[state]()
+def live_hits(lines: DataFrame, rule: Column) -> DataFrame:
+    """(path, line, rule) of the lines with a rule that neither open nor stand in a block comment. Rules are matched
+    first, so that the window by file sees hits and the lines that open or close a comment, and no text."""
+    t = F.col("trimmed")
+    event = F.when(t.startswith("/*") & ~t.contains("*/"), True).when(t.contains("*/"), False)
+    rows = lines.select("path", "line", event.alias("event"), F.when(~t.startswith("/*"), rule).alias("rule")).filter("event is not null or rule is not null")
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.last("event", ignorenulls=True).over(before), F.lit(False))
+    return rows.withColumn("inside", inside).filter("not inside and rule is not null").select("path", "line", "rule")
 
 
-def knowing(lines: DataFrame, *states: str) -> DataFrame:
-    """lines with states of their files: those that ``corpus.lines`` was asked for, or else by a window."""
-    for s in states:
-        if s not in lines.columns:
-            lines = lines.withColumn(s, _windowed(lines, s))
-    return lines
+def before_tests(lines: DataFrame, begins: Column, keep: list[str]) -> DataFrame:
+    """Rows of lines that have a hit (a column, not null) and come before the line where tests begin in their file:
+    again only hits and such lines go through the window."""
+    rows = lines.select("path", "line", *keep, "hit", begins.alias("begins")).filter("begins or hit is not null")
+    seen = F.bool_or("begins").over(Window.partitionBy("path").orderBy("line"))
+    return rows.withColumn("seen", seen).filter("not seen and hit is not null").select("path", "line", *keep, "hit")
 
 
-def outside_block_comments(lines: DataFrame) -> DataFrame:
-    """Lines that neither open nor stand in a block comment."""
-    return knowing(lines, "block").filter(~F.col("block") & ~F.col("trimmed").startswith("/*")).drop("block")
+def knowing(lines: DataFrame, *states: str) -> DataFrame:
+    """lines with the line before or after, of those that ``corpus.lines`` was asked for, or else by a window."""
+    by_line = Window.partitionBy("path").orderBy("line")
+    windowed = {"after": F.lead("trimmed", 1, "").over(by_line), "before": F.lag("text", 1, "").over(by_line)}
+    return lines.withColumns({s: windowed[s] for s in states if s not in lines.columns})
 
 
 def opens_docstring() -> Column:
@@ -85,8 +89,8 @@ def in_extensions(lines: DataFrame, extensions: Sequence[str]) -> DataFrame:
 
 def sast(lines: DataFrame, min_confidence: str = "low") -> DataFrame:
     rules = [r for r in tables.SAST if CONFIDENCE.get(r.confidence, 1) >= CONFIDENCE.get(min_confidence, 1)]
-    live = outside_block_comments(in_extensions(lines, SAST_EXTENSIONS)).filter(~F.col("trimmed").rlike("^(//|#|--|<!--|;|%)") & ~opens_docstring())
-    return findings(live, rules)
+    rule = F.when(~F.col("trimmed").rlike("^(//|#|--|<!--|;|%)") & ~opens_docstring(), first_match(F.col("text"), rules))
+    return described(live_hits(in_extensions(lines, SAST_EXTENSIONS), rule), rules)
 
 
 SEVERITY_ORDER = ("critical", "high", "medium")
@@ -151,18 +155,16 @@ def access_control(lines: DataFrame, context: DataFrame | None = None) -> DataFr
     routes are left out."""
     t, text = F.col("trimmed"), F.col("text")
     comment = t.rlike("^(//|--|<!--|;|%)") | (t.startswith("#") & ~t.rlike(r"^#[\[!#]")) | opens_docstring()
-    live = outside_block_comments(lines).filter(~comment & ~t.rlike(RULE_TEXT))
+    live = ~comment & ~t.rlike(RULE_TEXT)
     if context is None:
-        return findings(live, LITERAL_ACCESS)
+        return described(live_hits(lines, F.when(live, first_match(text, LITERAL_ACCESS))), LITERAL_ACCESS)
     auth_rules = [r for r in tables.ACCESS_CONTROL if r.category == "missing_auth"]
     # middleware clears every route but the public ones, and those are exempt: with it no route is left
-    live = live.crossJoin(F.broadcast(context))  # context: one row
+    known = lines.crossJoin(F.broadcast(context))  # context: one row
     route = first_match(text, auth_rules)
     open_route = F.when(route.isNotNull() & ~F.col("auth") & ~is_public_route(text) & ~has_inline_auth(text), route)
     literal = first_match(text, LITERAL_ACCESS) + len(auth_rules)
-    hits = live.withColumn("rule", F.coalesce(open_route, literal)).filter("rule is not null")
-    rules = [*auth_rules, *LITERAL_ACCESS]
-    return hits.select(F.col("path").alias("file"), "line", *[attribute(F.col("rule"), rules, a).alias(b) for a, b in (("id", "rule_id"), ("category", "category"), ("severity", "severity"))])
+    return described(live_hits(known, F.when(live, F.coalesce(open_route, literal))), [*auth_rules, *LITERAL_ACCESS])
 
 
 def secret_assignments(lines: DataFrame) -> DataFrame:
@@ -173,18 +175,17 @@ def secret_assignments(lines: DataFrame) -> DataFrame:
 def error_handling(lines: DataFrame) -> DataFrame:
     """Patterns by language; what follows a test module in a file is skipped. Empty handlers show on the
     line after, which the last line of a file has as empty."""
-    rust, t = knowing(in_extensions(lines, ("rs",)), "tests"), F.col("trimmed")
-    live = rust.filter(~F.col("tests") & ~t.startswith("#[cfg(test)]") & ~t.startswith("//"))
-    rules = (*tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", ""))
-    return findings(live, rules).unionByName(_other_errors(lines))
+    rules, t = (*tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", "")), F.col("trimmed")
+    rust = in_extensions(lines, ("rs",)).withColumn("hit", F.when(~t.startswith("//"), first_match(F.col("text"), rules)))
+    found = before_tests(rust, t.startswith("#[cfg(test)]"), []).withColumnRenamed("hit", "rule")
+    return described(found, rules).unionByName(_other_errors(lines))
 
 
 def _other_errors(lines: DataFrame) -> DataFrame:
     """Python, JavaScript, TypeScript and Go."""
     t, after, ext = F.col("trimmed"), F.col("after"), F.col("ext")
-    seen = knowing(in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path"))), "mentions", "after")
-    live = seen.filter(~F.col("mentions") & ~t.contains("#[cfg(test)]") & ~t.contains("mod tests") & ~t.rlike("^(//|#)"))
-    script = ext.isin("js", "ts", "tsx")
+    seen = knowing(in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path"))), "after")
+    script, live = ext.isin("js", "ts", "tsx"), ~t.rlike("^(//|#)")
     kinds = (
         ("bare_except", "high", (ext == "py") & t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", "")),
         ("empty_catch", "medium", script & t.contains(".catch(") & (t.contains("{}") | t.endswith(".catch()"))),
@@ -192,8 +193,9 @@ def _other_errors(lines: DataFrame) -> DataFrame:
         ("discard", "medium", (ext == "go") & (t.startswith("_ =") | t.startswith("_, _ ="))),
         ("empty_error_handler", "high", (ext == "go") & t.startswith("if err != nil {") & (after == "}")),
     )
-    hit = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))) for name, severity, when in kinds]))
-    return live.select(F.col("path").alias("file"), "line", F.explode(hit).alias("h")).select("file", "line", "h.*")
+    each = F.array_compact(F.array(*[F.when(live & when, F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))) for name, severity, when in kinds]))
+    hits = before_tests(seen.withColumn("hit", F.when(F.size(each) > 0, each)), t.contains("#[cfg(test)]") | t.contains("mod tests"), [])
+    return hits.select(F.col("path").alias("file"), "line", F.explode("hit").alias("h")).select("file", "line", "h.*")
 
 
 def debt_markers(lines: DataFrame) -> DataFrame:

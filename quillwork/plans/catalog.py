@@ -97,7 +97,7 @@ SAST = f"{cases(rule_tables.SAST)} FROM live WHERE ext IN {among(scans.SAST_EXTE
 
 @register("access_control_rollup", rollup(ACCESS, DOCS + LIVE))
 def access_control_rollup(spark, sf_dir):
-    return scoring.file_rollup(scans.access_control(corpus.lines(corpus.documents(spark, sf_dir), "block")))
+    return scoring.file_rollup(scans.access_control(corpus.lines(corpus.documents(spark, sf_dir))))
 
 
 @register("document_lines", f"{DOCS} SELECT path, count(*) AS n_lines, count(*) FILTER (trimmed = '') AS n_blank, sum(length(trimmed))::BIGINT AS n_chars FROM lines GROUP BY path")
@@ -118,7 +118,7 @@ def languages(spark, sf_dir):
 
 @register("sast_findings", of(SAST, CODE + LIVE))
 def sast_findings(spark, sf_dir):
-    return scans.sast(code_lines(spark, sf_dir, "block"))
+    return scans.sast(code_lines(spark, sf_dir))
 
 
 @register("crypto_findings", of(f"{cases(rule_tables.CRYPTO)} FROM lines WHERE ext IN {among(scans.CRYPTO_EXTENSIONS)} AND NOT regexp_matches(trimmed, '^(//|#|\\*)')"))
@@ -128,7 +128,7 @@ def crypto_findings(spark, sf_dir):
 
 @register("access_control_findings", of(ACCESS, CODE + LIVE))
 def access_control_findings(spark, sf_dir):
-    return scans.access_control(code_lines(spark, sf_dir, "block"))
+    return scans.access_control(code_lines(spark, sf_dir))
 
 
 @register("secret_assignments", of(f"{cases(rule_tables.SECRETS, 'lower(text)')} FROM lines WHERE contains(text, '=') OR contains(text, ':')"))
@@ -141,7 +141,7 @@ ERRORS = (*rule_tables.ERRORS, Rule("discard", "error_handling", "high", "low",
 
 @register("error_handling", of(f"{cases(ERRORS)} FROM lines WHERE ext = 'rs' AND NOT starts_with(trimmed, '//')"))
 def error_handling(spark, sf_dir):
-    return scans.error_handling(code_lines(spark, sf_dir, "tests", "mentions", "after"))
+    return scans.error_handling(code_lines(spark, sf_dir, "after"))
 
 
 @register("debt_markers", f"{CODE} SELECT path AS file, line, marker FROM lines, (SELECT unnest({list(rule_tables.DEBT_CHECK)!r}) AS marker) WHERE regexp_matches(trimmed, '^(//|/\\*|\\*)') AND contains(text, marker)")
@@ -334,7 +334,7 @@ def check_difference(spark, sf_dir):
 
 @register("sast_rollup", rollup(SAST, CODE + LIVE))
 def sast_rollup(spark, sf_dir):
-    return scoring.file_rollup(scans.sast(code_lines(spark, sf_dir, "block")))
+    return scoring.file_rollup(scans.sast(code_lines(spark, sf_dir)))
 
 
 @register("open_findings", f"""{CODE}{LIVE}, found AS ({ACCESS}), e AS (SELECT 'ACL-CRED-001' AS rule_id, path AS file FROM files WHERE length(path) % 2 = 0)
@@ -342,7 +342,7 @@ def sast_rollup(spark, sf_dir):
 def open_findings(spark, sf_dir):
     files = corpus.code(spark, sf_dir)
     excepted = files.select(F.lit("ACL-CRED-001").alias("rule_id"), F.col("path").alias("file"), (F.length("path") % 2 == 0).alias("approved"))
-    found = scoring.without_exceptions(scans.access_control(corpus.lines(files, "block")), excepted)
+    found = scoring.without_exceptions(scans.access_control(corpus.lines(files)), excepted)
     return found.select("file", "line", "rule_id", "category", "severity")
 
 

@@ -193,7 +193,7 @@ def worst_files(spark, sf_dir):
 
 @register("confident_findings", f"{CODE}{LIVE}, found AS ({cases([r for r in rule_tables.SAST if r.confidence == 'high'])} FROM live WHERE ext IN {among(scans.SAST_EXTENSIONS)} AND NOT regexp_matches(trimmed, '^(//|#|--|<!--|;|%)') AND NOT {DOCSTRING}) SELECT * FROM found WHERE rule_id IS NOT NULL")
 def confident_findings(spark, sf_dir):
-    return scans.sast(code_lines(spark, sf_dir, "block"), "high")
+    return scans.sast(code_lines(spark, sf_dir), "high")
 
 
 CALLS = ("fn a() {", "    b(1);", "    // c()", "}", "fn b(x: u32) {", "    let y = a();", "    x.push(&mut c);", "}", "fn c() {", "    abc(2); a::go();", "}")

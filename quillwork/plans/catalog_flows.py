@@ -149,7 +149,7 @@ ROUTES = """, events AS (SELECT *, CASE WHEN starts_with(trimmed, '/*') AND NOT
 
 
 def routes(spark, sf_dir, extra=()):
-    lines = corpus.lines(secret_files(spark, sf_dir, extra), "block")
+    lines = corpus.lines(secret_files(spark, sf_dir, extra))
     return scans.access_control(lines, scans.app_wide_auth(lines)).select("file", "line", "rule_id")
 
 

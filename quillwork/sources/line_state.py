@@ -8,8 +8,7 @@ States (columns of ``lines``), by name:
 
 * ``before``, ``after``: the text of the line before, the trimmed line after ("" at the ends);
 * ``previous``: the last trimmed line before that isn't blank ("" if none);
-* ``block``: an earlier line has opened a block comment, and none has closed it;
-* ``tests``: an earlier line began a test module (Rust); ``mentions``: or any earlier line mentions one;
+* ``ext``: the file's extension;
 * ``in_test``: an earlier line began a test function (Rust), and none ended it;
 * ``marked``: the last line before that is neither blank nor in a test function marks what follows as sensitive;
 * ``section``, ``package``: the last head before in a manifest, and the line of the last package head;
@@ -28,16 +27,17 @@ NEAR = 5
 
 def trim(text: Column) -> Column:
     """White space of ASCII off both ends, not just blanks."""
-    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    return F.btrim(text, F.lit(" \t\r\n\f"))
 
 
 def split_lines(files: DataFrame) -> DataFrame:
-    """(path, ls array<string>) of files with lines: no last empty line, and none of an empty or null file. The
+    """(path, ext, holds_test, holds_marker, ls array<string>) of files with lines: no last empty line, and none of an empty or null file. The
     array is made by a generator, which keeps later expressions from splitting the content again."""
     pieces = F.split(F.coalesce("content", F.lit("")), "\r?\n")
-    split = files.select("path", F.explode(F.array(pieces)).alias("ls"))
+    holds = [F.col("content").contains("#[test]").alias("holds_test"), (F.col("content").contains("@sensitive") | F.col("content").contains("#[sensitive")).alias("holds_marker")]
+    split = files.select("path", F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("ext"), *holds, F.explode(F.array(pieces)).alias("ls"))
     whole = F.when(F.element_at("ls", -1) == "", F.slice("ls", 1, F.size("ls") - 1)).otherwise(F.col("ls"))
-    return split.select("path", F.explode(F.array(whole)).alias("ls")).filter(F.size("ls") > 0)
+    return split.select("path", "ext", "holds_test", "holds_marker", F.explode(F.array(whole)).alias("ls")).filter(F.size("ls") > 0)
 
 
 def last_before(items: Column, event: Callable[[Column], Column], none: Column) -> Column:
@@ -50,9 +50,13 @@ def last_before(items: Column, event: Callable[[Column], Column], none: Column)
     return F.concat(first, F.when(F.size(seen) > 0, F.flatten(stretches)).otherwise(F.slice(first, 1, 0)))
 
 
-def _switched(items: Column, on: Callable[[Column], Column], off: Callable[[Column], Column] | None = None) -> Column:
-    event = lambda x: F.when(on(x), True) if off is None else F.when(on(x), True).when(off(x), False)
-    return last_before(items, event, F.lit(False))
+def _switched(items: Column, on: Callable[[Column], Column], off: Callable[[Column], Column]) -> Column:
+    return last_before(items, lambda x: F.when(on(x), True).when(off(x), False), F.lit(False))
+
+
+def _where(holds: Column, states: Column, items: Column) -> Column:
+    """States, worked out only for files that hold what switches them on at all."""
+    return F.when(holds, states).otherwise(F.array_repeat(F.lit(False), F.size(items)))
 
 
 def is_marker(t: Column, rust: Column) -> Column:
@@ -65,17 +69,15 @@ def begins_test(t: Column, rust: Column) -> Column:
 
 def _states(ls: Column, tr: Column, rust: Column) -> dict[str, Column]:
     edge, n = F.array(F.lit("")), F.size(ls)
-    in_test = _switched(tr, lambda t: begins_test(t, rust), lambda t: t.startswith("}"))
+    in_test = _where(rust & F.col("holds_test"), _switched(tr, lambda t: begins_test(t, rust), lambda t: t.startswith("}")), tr)
     live = lambda x: ~x["test"] & ~begins_test(x["t"], rust)
+    marked = last_before(F.arrays_zip(tr.alias("t"), in_test.alias("test")), lambda x: F.when(live(x) & (x["t"] != ""), is_marker(x["t"], rust)), F.lit(False))
     return {
         "before": F.concat(edge, F.slice(ls, 1, n - 1)),
         "after": F.concat(F.slice(tr, 2, n), edge),
         "previous": last_before(tr, lambda t: F.when(t != "", t), F.lit("")),
-        "block": _switched(tr, lambda t: t.startswith("/*") & ~t.contains("*/"), lambda t: t.contains("*/")),
-        "tests": _switched(tr, lambda t: t.startswith("#[cfg(test)]")),
-        "mentions": _switched(tr, lambda t: t.contains("#[cfg(test)]") | t.contains("mod tests")),
         "in_test": in_test,
-        "marked": last_before(F.arrays_zip(tr.alias("t"), in_test.alias("test")), lambda x: F.when(live(x) & (x["t"] != ""), is_marker(x["t"], rust)), F.lit(False)),
+        "marked": _where(F.col("holds_marker"), marked, tr),
         "section": last_before(tr, lambda t: F.when(t.startswith("["), t), F.lit("")),
         "package": last_before(F.transform(tr, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.when(x["t"] == "[[package]]", x["i"] + 1), F.lit(0)),
         "above": F.transform(tr, lambda t, i: F.slice(tr, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR)))),
@@ -83,11 +85,11 @@ def _states(ls: Column, tr: Column, rust: Column) -> dict[str, Column]:
 
 
 def arrays(files: DataFrame, *states: str) -> DataFrame:
-    """(path, lines array<struct<text, trimmed, and the states asked for>>) of files (path, content) with lines."""
-    both = split_lines(files).select("path", "ls", F.explode(F.array(F.transform("ls", trim))).alias("tr"))
-    found = _states(F.col("ls"), F.col("tr"), F.col("path").endswith(".rs"))
+    """(path, ext, lines array<struct<text, trimmed, and the states asked for>>) of files (path, content) with lines."""
+    both = split_lines(files).select("path", "ext", "holds_test", "holds_marker", "ls", F.explode(F.array(F.transform("ls", trim))).alias("tr"))
+    found = _states(F.col("ls"), F.col("tr"), F.col("ext") == "rs")
     zipped = F.arrays_zip(F.col("ls").alias("text"), F.col("tr").alias("trimmed"), *[found[s].alias(s) for s in states])
-    return both.select("path", F.explode(F.array(zipped)).alias("lines"))
+    return both.select("path", "ext", F.explode(F.array(zipped)).alias("lines"))
 
 
 def lines(files: DataFrame, *states: str) -> DataFrame:
@@ -95,5 +97,5 @@ def lines(files: DataFrame, *states: str) -> DataFrame:
     if not states:
         each = split_lines(files).select("path", F.posexplode("ls").alias("at", "text"))
         return each.select("path", (F.col("at") + 1).alias("line"), "text", trim(F.col("text")).alias("trimmed"))
-    each = arrays(files, *states).select("path", F.posexplode("lines").alias("at", "l"))
-    return each.select("path", (F.col("at") + 1).alias("line"), *[F.col(f"l.{n}").alias(n) for n in ("text", "trimmed", *states)])
+    each = arrays(files, *(s for s in states if s != "ext")).select("path", "ext", F.posexplode("lines").alias("at", "l"))
+    return each.select("path", (F.col("at") + 1).alias("line"), *["ext" if n == "ext" else F.col(f"l.{n}").alias(n) for n in ("text", "trimmed", *states)])

@@ -24,18 +24,38 @@ def lines(spark, path, content, *states):
     return corpus.lines(one(spark, path, content), *states)
 
 
-def test_states_of_lines_against_windows(spark):
-    """States within a file are those that a window over its lines finds."""
+def test_lines_around_against_windows(spark):
+    """The lines before and after within a file are those that a window over its lines finds."""
     import random
 
     pick = random.Random(4)
-    pool = ["", "x", "/* a", "*/", "/* b */", "#[cfg(test)]", "mod tests", "}", "  y  ", "let a;"]
-    rows = [(f"f{i}.rs", "\n".join(pick.choice(pool) for _ in range(pick.randint(0, 25)))) for i in range(60)]
+    rows = [(f"f{i}.rs", "\n".join(pick.choice(["", "x", "  y  ", "let a;", "}"]) for _ in range(pick.randint(0, 25)))) for i in range(60)]
     df = spark.createDataFrame([*rows, ("n.rs", None), ("e.rs", "")], "path string, content string")
-    states = ("before", "after", "block", "tests", "mentions")
-    plain = scans.knowing(corpus.lines(df), *states)
-    keys = ["path", "line", "text", "trimmed", *states]
-    assert sorted(map(tuple, corpus.lines(df, *states).select(keys).collect())) == sorted(map(tuple, plain.select(keys).collect()))
+    keys = ["path", "line", "text", "trimmed", "before", "after"]
+    assert sorted(map(tuple, corpus.lines(df, "before", "after").select(keys).collect())) == sorted(map(tuple, scans.knowing(corpus.lines(df), "before", "after").select(keys).collect()))
+
+
+def test_block_comments_and_tests_against_a_walk(spark):
+    import random
+
+    pick = random.Random(9)
+    pool = ["eval(x)", "/* a", "*/", "/* b */ eval(y)", "z", "x.unwrap()", "#[cfg(test)]", "// eval(q)"]
+    rows = [(f"f{i}.rs", "\n".join(pick.choice(pool) for _ in range(pick.randint(0, 25)))) for i in range(80)]
+    evals, unwraps = set(), set()
+    for path, content in rows:
+        inside = tests = False
+        for n, line in enumerate(content.split("\n") if content else [], 1):
+            tests = tests or line == "#[cfg(test)]"
+            if line == "x.unwrap()" and not tests:
+                unwraps.add((path, n))
+            if inside:
+                inside = "*/" not in line
+            elif line.startswith("/*"):
+                inside = "*/" not in line
+            elif line == "eval(x)":
+                evals.add((path, n))
+    df = corpus.lines(spark.createDataFrame(rows, "path string, content string"))
+    assert {(r.file, r.line) for r in scans.sast(df).collect()} == evals and {(r.file, r.line) for r in scans.error_handling(df).collect()} == unwraps
 
 
 def test_running_states(spark):
@@ -90,15 +110,15 @@ def test_entropy_counts_bytes(spark):
 
 def test_routes_and_middleware(spark):
     text = "app.get('/a', handler)\nrouter.get('/b', auth, handler)\napp.get('/health', h)\n@app.route('/c')\nr.GET('/d', f(1, 2), 3)\nrouter.get(f(a, b), \"x, y\")\n/*\napp.get('/e')\n*/\npassword = \"x\""
-    df = lines(spark, "a.py", text, "block")
+    df = lines(spark, "a.py", text)
     found = lambda d: [(r.line, r.rule_id) for r in scans.access_control(d, scans.app_wide_auth(d)).orderBy("line").collect()]
     assert found(df) == [(1, "ACL-AUTH-005"), (4, "ACL-AUTH-002"), (6, "ACL-AUTH-004"), (10, "ACL-CRED-001")]
-    behind = lines(spark, "a.py", text + "\nrouter.Use(auth)", "block")
+    behind = lines(spark, "a.py", text + "\nrouter.Use(auth)")
     assert found(behind) == [(10, "ACL-CRED-001")]
 
 
 def test_docstrings_and_order(spark):
-    df = lines(spark, "a.py", '"""eval(a)\neval(b)\nos.system(c)', "block")
+    df = lines(spark, "a.py", '"""eval(a)\neval(b)\nos.system(c)')
     assert [r.line for r in scans.by_severity(scans.sast(df)).collect()] == [2, 3]
     severities = spark.createDataFrame([("b", 1, "low"), ("a", 9, "medium"), ("a", 2, "medium"), ("z", 1, "critical"), ("y", 1, "high")], "file string, line int, severity string")
     assert [r.severity for r in scans.by_severity(scans.at_least(severities, "medium")).collect()] == ["critical", "high", "medium", "medium"]
