@@ -19,20 +19,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import arrow_schema, map_rows, text_of, written
+from .common import arrow_schema, discard, map_rows, text_of, written
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
-#: Verification of near duplicates: words of a shingle, least similarity, bins of a sketch, leaders a round.
-VERIFIED_SHINGLE, SIMILARITY, BINS, LEADERS = 5, 0.8, 256, 16
+#: Verification of near duplicates: words of a shingle, least similarity, leaders of a component a round, rounds.
+VERIFIED_SHINGLE, SIMILARITY, LEADERS, ROUNDS = 5, 0.8, 16, 3
+#: Standard deviations within which signatures leave a pair to be verified: of all texts, and with a leader.
+SURE, LIKELY = 7.0, 3.0
+#: Words of 64 bins that a signature has.
+WORDS = 8
+#: Rounds in which similar texts are taken by rank; rows of a table that may be broadcast.
+PLAIN, FEW = 12, 2**18
 #: A shingle is common from so many texts of the sample on; so many at most are kept apart.
 COMMON, MOST_COMMON = 8, 2**17
 #: Buckets of more distinct fingerprints are split by further segments before they are searched.
@@ -175,9 +184,11 @@ def fingerprints(df: DataFrame, text_col: str, id_col: str, shingle: int, distin
 
 def _named(rows: DataFrame, distance: int) -> DataFrame:
     """(fp, least, root) for the distinct fingerprints of rows (doc_id, fp): least id, and component."""
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
     roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    return written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    out = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), narrow=True)
+    discard(nodes)
+    return out
 
 
 def classes(rows: DataFrame, distance: int) -> DataFrame:
@@ -200,16 +211,44 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found)))
 
 
-def sketch(text: str) -> bytes:
-    return sketched(shingles(text))
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of a set of shingles as 2 * WORDS numbers (long): the lowest bit of each bin's least
+    hash, then which bins aren't empty."""
+    least = np.full(64 * WORDS, np.uint64(2**64 - 1))
+    held = np.zeros(64 * WORDS, bool)
+    place = ((hashes >> np.uint64(32)) * np.uint64(64 * WORDS) >> np.uint64(32)).astype(np.intp)
+    np.minimum.at(least, place, hashes)
+    held[place] = True
+    words = np.concatenate([np.packbits((least & np.uint64(1)).astype(bool) & held), np.packbits(held)])
+    return words.view(">u8").astype(np.uint64).view(np.int64)
 
 
-def sketched(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash of a set of shingles, a byte for each of BINS bins: 0 where no shingle
-    falls in it, else a digest of the bin's least hash."""
-    least = np.full(BINS, np.uint64(2**64 - 1))
-    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.intp), hashes >> np.uint64(8))
-    return np.where(least == np.uint64(2**64 - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+def most_unlike(bins: int, deviations: float) -> float:
+    """Of bins that two sets both fill, the bits that differ at most if their similarity is SIMILARITY or more,
+    but for chances beyond so many standard deviations."""
+    share = (1 - SIMILARITY) / 2
+    return share * bins + deviations * (share * (1 - share) * bins) ** 0.5
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Of two signatures: bins that one of them fills, both fill, and of these those whose bits differ."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    count = lambda x: int(np.bitwise_count(x).sum())
+    both = a[WORDS:] & b[WORDS:]
+    return count(a[WORDS:] ^ b[WORDS:]), count(both), count((a[:WORDS] ^ b[:WORDS]) & both)
+
+
+def may_be_alike(deviations: float) -> Column:
+    """Whether signatures (mark_a, size_a) and (mark_b, size_b) leave a similarity of SIMILARITY possible. Every bin
+    in which they differ holds a shingle that only one set has, and similar sets have a ninth of their shingles'
+    number of those at most; for sets that fill all bins the bits alone tell."""
+    word = lambda side, i: F.get(F.col(f"mark_{side}"), F.lit(i))
+    both = [word("a", WORDS + i).bitwiseAND(word("b", WORDS + i)) for i in range(WORDS)]
+    total = lambda columns: reduce(add, map(F.bit_count, columns))
+    one = total(word("a", WORDS + i).bitwiseXOR(word("b", WORDS + i)) for i in range(WORDS))
+    bits = total(word("a", i).bitwiseXOR(word("b", i)).bitwiseAND(b) for i, b in enumerate(both))
+    share, n = (1 - SIMILARITY) / 2, total(both)
+    return (9 * (one + bits) <= F.col("size_a") + F.col("size_b")) & (bits <= share * n + deviations * F.sqrt(share * (1 - share) * n))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -226,21 +265,22 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     """Shingles (in order) that several of a sixteenth of the texts hold. They only order prefixes, so that
     few texts meet in one; which pairs are found doesn't depend on them."""
 
-    def count(batches):
+    def counted(batches):
         for batch in batches:
             found = [shingles(t) for t in batch.column(0).to_pylist()]
             if found:
                 names, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).mapInArrow(count, "h long, n long")
+    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).mapInArrow(counted, "h long, n long")
     often = some.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n")).limit(MOST_COMMON)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a long, b long): all pairs of sets (t long, size long, prefix binary) that can reach SIMILARITY, and
-    some that can't, by a shingle that both prefixes hold, their sizes and its places in the sets."""
+def candidates(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(a long, b long): all pairs of sets (t long, size long, prefix binary, mark array<long>) that can reach
+    SIMILARITY, and some that can't, by a shingle that both prefixes hold, their sizes, its places in the
+    sets, and their signatures. only: shingles to meet in, sorted; all if None."""
 
     def index(batches):
         for batch in batches:
@@ -251,6 +291,9 @@ def candidates(sets: DataFrame) -> DataFrame:
                 continue
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             columns = [np.concatenate(keys), np.repeat(t.to_numpy(), counts), np.repeat(size.to_numpy(), counts), at]
+            if only is not None:
+                wanted = np.isin(columns[0], only)
+                columns = [c[wanted] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "t", "size", "at"])
 
     def found(key, t, size, at):
@@ -282,97 +325,113 @@ def candidates(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     entries = sets.select("t", "size", "prefix").mapInArrow(index, "key long, t long, size long, at long")
-    return entries.repartition("key").sortWithinPartitions("key", "size").mapInArrow(join, "a long, b long").distinct()
+    pairs = entries.repartition("key").sortWithinPartitions("key", "size").mapInArrow(join, "a long, b long").distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("t").alias(c), F.col("mark").alias(f"mark_{c}"), F.col("size").alias(f"size_{c}")), c)
+    return pairs.filter(may_be_alike(SURE)).select("a", "b")
+
+
+def few(df: DataFrame, rows: int = FEW) -> bool:
+    """Whether a table of narrow rows is small enough to be broadcast: it has at most so many."""
+    return df.count() <= rows
+
+
+def narrowed(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose key is among ids (a written table): without a shuffle of df as
+    long as the ids are few, else by one."""
+    return df.join(F.broadcast(ids.select(*on)) if few(ids) else ids.select(*on), on, "left_semi")
+
+
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(t, held binary): the sets of five-word shingles of those texts (t, text) whose t is among ids (a written table)."""
+    found = map_rows(narrowed(texts, ids, ["t"]), ["t"], "text", "held binary", lambda: lambda found: [[shingles(x).tobytes() for x in found]])
+    return written(found.groupBy("t").agg(F.first("held").alias("held")))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a long, b long) whose texts (t long, text) have a Jaccard similarity of SIMILARITY
-    or more of their sets of five-word shingles."""
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a long, b long) whose sets (t, held) have a Jaccard similarity of SIMILARITY or more."""
 
     def judge(batches):
         for batch in batches:
-            one, two = (batch.column(i).to_pylist() for i in (2, 3))
+            one, two = batch.column(2), batch.column(3)
             good = []
             for x, y in zip(one, two, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(9 * both >= 4 * (len(x) + len(y)))
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    once = texts.join(named, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    sets = written(map_rows(once, ["t"], "text", "held binary", lambda: lambda found: [[shingles(x).tobytes() for x in found]]))
     of = lambda c: sets.select(F.col("t").alias(c), F.col("held").alias(f"held_{c}"))
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(judge, "a long, b long"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(judge, "a long, b long")
 
 
 def _yield(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(t) of the ends of similar pairs that go: taken by rank (t, rank), a text stays unless it resembles
-    one that stays. Each round settles all texts that no open one precedes."""
+    """(t) of the ends of similar pairs (a, b; a written table) that go: taken by rank (t, rank), a text stays
+    unless it resembles one that stays. Each round settles all texts that no open one precedes. Long chains
+    of texts, each like the next, would take a round for every other one: what PLAIN rounds leave open is
+    taken in the order of a hash, by which rounds are about as many as the logarithm of what is left."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ranked = both.join(ranks.select(F.col("t").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("t").alias("b"), F.col("rank").alias("rb")), "b")
-    left = written(ranked.select("a", "b", (F.col("rb") < F.col("ra")).alias("before")))
+    left = written(ranked.select("a", "b", (F.col("rb") < F.col("ra")).alias("before")), narrow=True)
+    hashed = (F.struct(F.xxhash64("b"), "b") < F.struct(F.xxhash64("a"), "a")).alias("before")
     gone = pairs.select(F.col("a").alias("t")).limit(0)
-    while not left.isEmpty():
-        stay = left.groupBy("a").agg(F.max("before").alias("before")).filter("not before").select("a")
-        out = written(left.join(stay, "a", "left_semi").select(F.col("b").alias("t")).distinct())
+    for done in count(1):
+        if left.isEmpty():
+            return gone
+        stay = written(left.groupBy("a").agg(F.max("before").alias("before")).filter("not before").select("a"), narrow=True)
+        out = written(left.join(stay, "a", "left_semi").select(F.col("b").alias("t")).distinct(), narrow=True)
         gone = gone.unionByName(out)
         settled = out.unionByName(stay.withColumnRenamed("a", "t"))
-        left = left.join(settled.withColumnRenamed("t", "a"), "a", "left_anti").join(settled.withColumnRenamed("t", "b"), "b", "left_anti")
-        left = written(left.select("a", "b", "before"))
-    return gone
-
+        open_pairs = left.join(settled.withColumnRenamed("t", "a"), "a", "left_anti").join(settled.withColumnRenamed("t", "b"), "b", "left_anti")
+        after = written(open_pairs.select("a", "b", hashed if done == PLAIN else "before"), narrow=True)
+        discard(left, stay)
+        left = after
 
-def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of the others' sketches have an estimated Jaccard similarity of SIMILARITY or more to one's."""
-    both = ((others == one) & (others > 0)).sum(axis=1)
-    return both >= SIMILARITY * ((others > 0) | (one > 0)).sum(axis=1)
 
+def _led(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a leader that stays, b that goes for it: t of each) of the distinct texts (root, t, none, id, order, mark,
+    size) of components; sets: (t, held).
 
-def _dropped(texts: DataFrame) -> DataFrame:
-    """(same, by) of the distinct texts (root, same, none, id, order, sketch) that resemble one that stays (by).
-
-    In each round the first text of each of LEADERS hash classes of a component leads. Leaders are taken
-    in order and stay unless they resemble one before; all others go if they resemble a leader that
-    stays, or else wait for the next round. So each text that goes resembles one that stays, and no two
-    that stay in a component resemble each other. A round ships at most LEADERS sketches to a text, and
-    joins on components can be split; rounds end when no text waits.
+    In each of ROUNDS rounds the first text of each of LEADERS hash classes of a component leads. Leaders and
+    texts whose signatures leave it possible are compared by their sets of shingles. Leaders are taken in order
+    and stay unless they resemble one that stays; all others go for the first that stays and that they
+    resemble, or else wait for the next round. A text meets LEADERS others a round at most, however large its
+    group, and joins on components can be split. Texts that wait in the end are compared like all others.
     """
-    first = F.struct("none", "id", "order", "same", "sketch")
-    left, gone = texts, texts.select("same", F.col("same").alias("by")).limit(0)
-    schema = texts.schema
-    out = texts.withColumn("by", F.col("same")).schema
-    arrow = arrow_schema(out)
-
-    def judge(batches):
-        for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            known, take, gone = {}, [], []
-            for k, (root, same, mine, names, leads) in enumerate(zip(*(column[n].to_pylist() for n in ("root", "same", "sketch", "names", "leads")), strict=True)):
-                if root not in known:
-                    marks = np.frombuffer(b"".join(leads), np.uint8).reshape(-1, BINS)
-                    stay = []
-                    for i, mark in enumerate(marks):
-                        if not stay or not alike(mark, marks[stay]).any():
-                            stay.append(i)
-                    known[root] = marks[stay], [names[i] for i in stay]
-                marks, staying = known[root]
-                if same not in staying:
-                    near = np.flatnonzero(alike(np.frombuffer(mine, np.uint8), marks))
-                    take.append(k)
-                    gone.append(staying[near[0]] if len(near) else None)
-            picked = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column(i).cast(f.type) for i, f in enumerate(arrow) if f.name != "by"] + [pa.array(gone, pa.binary())], schema=arrow)
-
-    while True:
-        leaders = left.groupBy("root", F.pmod(F.xxhash64("same"), F.lit(LEADERS)).alias("class")).agg(F.min(first).alias("f"))
-        led = leaders.groupBy("root").agg(F.array_sort(F.collect_list("f")).alias("f")).select("root", F.col("f.same").alias("names"), F.col("f.sketch").alias("leads"))
-        judged = written(left.join(led, "root").select(*schema.names, "names", "leads").mapInArrow(judge, StructType([StructField(f.name, f.dataType, True) for f in out])))
-        gone = gone.unionByName(judged.filter("by is not null").select("same", "by"))
-        left = judged.filter("by is null").select(*schema.names)
+    first = F.struct("none", "id", "order", "t", "mark", "size")
+    left, found = texts, texts.select(F.col("t").alias("a"), F.col("t").alias("b")).limit(0)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+
+    def taken(mask: Column, i: Column) -> Column:
+        """The leaders that stay, given those before and that leader i resembles (near[i]) some of them."""
+        return F.when(F.get("near", i).bitwiseAND(mask) == 0, mask.bitwiseOR(bit(i))).otherwise(mask)
+
+    for _ in range(ROUNDS):
+        classes = left.groupBy("root", F.pmod(F.xxhash64("t"), F.lit(LEADERS)).alias("class")).agg(F.min(first).alias("f"))
+        led = classes.groupBy("root").agg(F.array_sort(F.collect_list("f")).alias("f"))
+        led = written(led.select("root", F.transform("f", lambda x: F.struct(x["t"].alias("t"), x["mark"].alias("mark_a"), x["size"].alias("size_a"))).alias("leads")), narrow=True)
+        met = left.join(led, "root").select("root", "t", F.col("mark").alias("mark_b"), F.col("size").alias("size_b"), F.array_position(F.transform("leads", lambda x: x["t"]), F.col("t")).alias("place"), F.posexplode("leads").alias("i", "l"))
+        # place: of a leader among the leaders, from 1; it meets those before it
+        met = met.filter((F.col("place") == 0) | (F.col("i") < F.col("place") - 1)).select("root", "t", "i", "mark_b", "size_b", "l.mark_a", "l.size_a", F.col("l.t").alias("a"))
+        met = written(met.filter(may_be_alike(LIKELY)).select("root", "i", "a", F.col("t").alias("b")), narrow=True)
+        alike = similar(met.select("a", "b"), sets).distinct().join(met, ["a", "b"])
+        near = written(alike.groupBy("root", "b").agg(F.bit_or(bit(F.col("i"))).alias("near")), narrow=True)
+        each = led.select("root", F.posexplode("leads").alias("i", "l")).select("root", "i", F.col("l.t").alias("b")).join(near, ["root", "b"], "left")
+        rows = each.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("i", "b", F.coalesce("near", F.lit(0)).alias("near")))).alias("r"))
+        rows = rows.select("root", F.transform("r", lambda x: x["b"]).alias("names"), F.transform("r", lambda x: x["near"]).alias("near"))
+        stay = rows.select("root", "names", F.aggregate(F.sequence(F.lit(0), F.size("near") - 1), F.lit(0), taken).alias("mask"))
+        both = near.join(stay, "root").select("b", "names", F.col("near").bitwiseAND(F.col("mask")).alias("hit")).filter("hit <> 0")
+        lowest = F.array_position(F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.col("hit").bitwiseAND(bit(i)) != 0), F.lit(True)).cast("int")
+        gone = written(both.select(F.element_at("names", lowest).alias("a"), "b"), narrow=True)
+        leaders = led.select(F.explode("leads").alias("l")).select(F.col("l.t").alias("t"))
+        found = found.unionByName(gone)
+        after = written(left.join(gone.select(F.col("b").alias("t")).unionByName(leaders).distinct(), "t", "left_anti").select(*texts.columns), narrow=True)
+        discard(led, met, near)
+        left = after
         if left.isEmpty():
-            return gone
+            break
+    return found
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 1, distance: int = 5, distinct: bool = True) -> DataFrame:
@@ -380,54 +439,77 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shin
     similarity of its five-word shingles of 0.8 or more to one that stays, and no two that stay have.
 
     Copies and most near copies meet as components of fingerprints of the set of words at a distance of
-    5 and go by sketches of their shingles, a leader for each, which needs no pairs within a group; the
-    similarity to the leader is then computed. All texts that are left, whatever their fingerprints, are
-    compared by the shingles in the prefixes of their sets, which miss no pair; of similar ones those that
-    more texts have gone for stay, then those of least id. Texts whose leader goes so are compared anew
+    5 and go for leaders, by the similarity of their shingles, which needs no pairs within a group. All texts that are left, whatever their fingerprints, are
+    compared by the shingles in the prefixes of their sets, which miss no pair, but for pairs whose signatures
+    differ by what a similarity of 0.8 brings about once in 10**8 times at most; of similar ones those that more texts have gone for stay, then those of least id. Texts whose leader goes so are compared anew
     with all that stay.
 
     Of equal texts (null is empty) the row of least id stays, null ids last, ties by a hash of the row.
+    Only what is made from texts is written, and df is read again for the texts that pairs need and for the
+    rows that stay: df should give the same rows each time, as a table does.
     """
     names = df.columns
     renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
     text, key = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
     common = common_shingles(renamed.select(text_of(text).alias("text")))
+    same, order = F.unhex(F.md5(text_of(text).cast("binary"))).alias("same"), F.xxhash64(*renamed.columns).alias("order")
 
     def start():
         def make(found):
             sets = [shingles(t) for t in found]
             prints = np.array([fingerprint(t, shingle, distinct) for t in found], np.uint64).view(np.int64)
-            return [prints, [sketched(x) for x in sets], [len(x) for x in sets], [prefix(x, common).tobytes() for x in sets]]
+            return [prints, [signature(x) for x in sets], [len(x) for x in sets], [prefix(x, common).tobytes() for x in sets]]
 
         return make
 
-    twice = renamed.withColumn("scan", F.col(text)).withColumn("same", F.unhex(F.md5(text_of(text).cast("binary")))).withColumn("order", F.xxhash64(*renamed.columns))
-    rows = written(map_rows(twice, [*renamed.columns, "same", "order"], "scan", "fp long, sketch binary, size long, prefix binary", start))
-    named = _named(rows.select(F.col(key).alias("doc_id"), "fp"), distance).select("fp", "root")
-    texts = rows.groupBy("fp", "same").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "order", "sketch")).alias("w"))
-    texts = written(texts.join(named, "fp").select("root", "same", "w.*"))
+    given = renamed.select(F.col(key).alias("id"), same, order, F.col(text).alias("text"))
+    rows = written(map_rows(given, ["id", "same", "order"], "text", "fp long, mark array<long>, size long, prefix binary", start))
+    named = _named(rows.select(F.col("id").alias("doc_id"), "fp"), distance)
+    texts = rows.groupBy("fp", "same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "order", "mark", "size")).alias("w"))
+    texts = written(texts.join(named.select("fp", "root"), "fp").select("root", "same", "w.*"), narrow=True)
+    discard(named)
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
     t = F.xxhash64("same").alias("t")
-    held = rows.select(t, text_of(text).alias("text"))
-    sets = rows.select(t, "size", "prefix")
-    led = _dropped(texts.join(several, "root", "left_semi")).select(F.xxhash64("by").alias("a"), F.xxhash64("same").alias("b"))
-    led = similar(written(led), held)  # (a leader, b that goes for it)
+    held = renamed.select(same, text_of(text).alias("text")).select(t, "text")
+    sets = rows.select(t, "size", "prefix", "mark")
+    many = written(texts.join(several, "root", "left_semi").select("root", t, "none", "id", "order", "mark", "size"), narrow=True)
+    sets_met = sets_of(held, many)
+    led = written(_led(many, sets_met), narrow=True)  # (a leader, b that goes for it)
+    discard(sets_met)
     ranks = texts.select(t, "none", "id", "order").join(led.groupBy(F.col("a").alias("t")).agg(F.count(F.lit(1)).alias("n")), "t", "left")
-    ranks = written(ranks.select("t", F.struct(-F.coalesce("n", F.lit(0)), "none", "id", "order").alias("rank")))
-
-    def settled(among: DataFrame, by: DataFrame) -> DataFrame:
-        found = sets.join(among, "t", "left_semi").groupBy("t").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        return written(_yield(similar(written(candidates(found)), held), by))
+    ranks = written(ranks.select("t", F.struct(-F.coalesce("n", F.lit(0)), "none", "id", "order").alias("rank")), narrow=True)
+
+    def once(among: DataFrame) -> DataFrame:
+        # copies are summed up before the shuffle, so that none of them meet in one task
+        found = sets.groupBy("t").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "mark")])
+        return found.join(among, "t", "left_semi")
+
+    def met(among: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+        given = written(once(among))
+        pairs = written(candidates(given, only), narrow=True)
+        discard(given)
+        named = written(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), narrow=True)
+        found = sets_of(held, named)
+        out = written(similar(pairs, found), narrow=True)
+        discard(pairs, named, found)
+        return out
 
     left = ranks.select("t").join(led.select(F.col("b").alias("t")), "t", "left_anti")
-    gone = settled(left, ranks)
-    lost = written(led.join(gone.select(F.col("t").alias("a")), "a", "left_semi").select(F.col("b").alias("t")))
+    gone = written(_yield(met(left), ranks), narrow=True)
+    lost = written(led.join(gone.select(F.col("t").alias("a")), "a", "left_semi").select(F.col("b").alias("t")), narrow=True)
     out = led.select(F.col("b").alias("t")).join(lost, "t", "left_anti").unionByName(gone)
     if not lost.isEmpty():
         stay = left.join(gone, "t", "left_anti")
         late = ranks.join(lost.withColumn("late", F.lit(1)), "t", "left").select("t", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "rank").alias("rank"))
-        out = out.unionByName(settled(stay.unionByName(lost), late))
-    winners = texts.select("same", "order", t).join(out, "t", "left_anti").select("same", "order")
-    # copies of one text differ in order unless they are wholly alike, so that none of them meet in the join
-    held = rows.select(*renamed.columns, "same", "order").join(winners, ["same", "order"])
-    return held.groupBy("same", "order").agg(F.first(F.struct(*renamed.columns)).alias("r")).select("r.*").toDF(*names)
+        mine = written(once(lost).select(F.explode(F.expr("transform(sequence(0, length(prefix) div 8 - 1), i -> substring(prefix, i * 8 + 1, 8))")).alias("key")).distinct())
+        only = np.sort(np.frombuffer(b"".join(bytes(r["key"]) for r in mine.collect()), np.int64)) if few(mine) else None
+        out = out.unionByName(_yield(met(stay.unionByName(lost), only), late))
+    gone = written(out.distinct(), narrow=True)
+    winners = written(texts.select("same", "order", t).join(gone, "t", "left_anti").select("same", "order"), narrow=True)
+    # rows that are wholly alike share their order: only of them one is picked by an aggregation
+    twins = written(rows.join(winners, ["same", "order"], "left_semi").groupBy("same", "order").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", "order"), narrow=True)
+    alone = written(winners.join(twins, ["same", "order"], "left_anti"), narrow=True)
+    marked = renamed.select("*", same, order)
+    single = narrowed(marked, alone, ["same", "order"]).select(*renamed.columns)
+    picked = narrowed(marked, twins, ["same", "order"]).groupBy("same", "order").agg(F.first(F.struct(*renamed.columns)).alias("r")).select("r.*")
+    return single.unionByName(picked).toDF(*names)
