@@ -241,8 +241,9 @@ def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Lexicon:
     since they share words that have nothing to do with it; what they are left with is learned from then.
     """
     lexicon = Lexicon()
-    texts = [(frozenset(map(sys.intern, words)), y) for words, y in counts]
-    toxic, clean = [words for words, y in texts if y == 1], [words for words, y in texts if y != 1]
+    toxic, clean = [], []
+    for words, y in counts:  # clean texts, which are many, stay strings: they are only read through
+        toxic.append(frozenset(map(sys.intern, words))) if y == 1 else clean.append(" ".join(words))
     once = list({_passage(words): words for words in toxic}.values())
     _take_arcs(lexicon, once, clean, max(LEAST_NEW, LEAST_SHARE * len(once)))
     left = [words for words in toxic if not any(lexicon.symbol(w) in GRADES for w in words)]
@@ -250,7 +251,7 @@ def learn_arcs(counts: Iterable[tuple[list[str], int]]) -> Lexicon:
     return lexicon
 
 
-def _take_arcs(lexicon: Lexicon, toxic: list[frozenset[str]], clean: list[frozenset[str]], least: float) -> None:
+def _take_arcs(lexicon: Lexicon, toxic: list[frozenset[str]], clean: list[str], least: float) -> None:
     n1, n0 = len(toxic), len(clean)
     if n1 < least or not n0:
         return
@@ -269,7 +270,8 @@ def _take_arcs(lexicon: Lexicon, toxic: list[frozenset[str]], clean: list[frozen
     twice = Counter(s for words in toxic for s, n in stems_of(words, varied).items() if n > 1)
     stems = {s: n for s, n in twice.items() if n >= LEAST_NEW}
     clean_forms, clean_once, clean_twice = Counter(), Counter(), Counter()
-    for words in clean:
+    for text in clean:
+        words = set(text.split())
         clean_forms.update(words & forms.keys())
         for s, n in stems_of(words, stems).items():
             clean_once[s] += 1
