@@ -22,6 +22,7 @@ keep a row each, further columns don't matter; an empty table gives no piece.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -61,7 +62,7 @@ class TextCoder:
         self.coder = Tokenizer.from_file(path)
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(ranks_path), special_tokens={})
-        self.code, self.dtype = ("H", "<u2") if self.coder.get_vocab_size() <= 1 << 16 else ("I", "<u4")
+        self.code, self.dtype = id_type(self.coder.get_vocab_size())
 
     def encode(self, text: str) -> bytes:
         """Ids in the type dtype."""
@@ -70,6 +71,18 @@ class TextCoder:
         return array(self.code, self.ranked.encode_ordinary(text)).tobytes()
 
 
+def id_type(vocabulary: int) -> tuple[str, str]:
+    """Codes of the narrowest type that ids are kept in."""
+    return ("H", "<u2") if vocabulary <= 1 << 16 else ("I", "<u4")
+
+
+def vocabulary_size(path: str) -> int:
+    """Of a tokenizer file, without a tokenizer in the driver."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    return len(made["model"]["vocab"].keys() | {t["content"] for t in made["added_tokens"]})
+
+
 @lru_cache(1)
 def text_coder(path: str, ranks_path: str, pattern: str) -> TextCoder:
     """One a worker process, kept over its tasks; it remembers no texts."""
@@ -210,7 +223,7 @@ def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_c
     which every executor can open, and the pattern of pre-tokens (public_coder() if None). targets: weights of sources; sources without one come when those with one are empty. window: tokens of a window,
     a multiple of a sequence."""
     coder_files = coder_files or public_coder()
-    dtype = text_coder(*coder_files).dtype
+    _, dtype = id_type(vocabulary_size(coder_files[0]))
     # a number for each row, fixed once it is written: blocks are even whatever ids are null or repeated
     coded = written(tokenized(df, text_col, id_col, source_col, coder_files).withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, -(-coded.count() // BLOCK_ROWS))

@@ -48,6 +48,11 @@ def test_ids_of_very_long_texts(library):
         assert coded(text) == library(text)
 
 
+def test_vocabulary_size():
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    assert packing.vocabulary_size(path) == Tokenizer.from_file(path).get_vocab_size() and packing.id_type(1 << 17)[1] == "<u4"
+
+
 def test_cache_is_bounded_by_bytes():
     cache = common.ByteBound()
     for i in range(9):
