@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import ByteBound, bounded, map_rows, pretoken_pattern, rank_table, tokenizer_path
 
 #: Bytes that a worker's two caches, of pre-tokens and of what stands between blanks, hold each, about.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 128 << 20
 #: Cells of one matrix at most, and bytes above which a pre-token is merged from a heap instead.
 CELLS, LONG = 1 << 20, 2048
 #: Characters of texts that are encoded together, about.
