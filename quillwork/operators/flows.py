@@ -103,10 +103,13 @@ def taint(files: DataFrame) -> DataFrame:
     each = line_state.lines(known.select("path", "content"), "in_test", "marked", "ext")
     skipped = F.col("in_test") | line_state.begins_test(t, rust) | line_state.is_marker(t, rust)
     name = F.when(~skipped, by_language(ext, lambda lang: assigned(t, lang)))
-    made = (F.col("name") != "") & (any_of(F.lower("name"), SENSITIVE) | F.col("marked") | t.contains("Secret::"))
     kind = F.when(~skipped, by_language(ext, lambda lang: sink(t, lang)))
     # what makes a variable sensitive and what may leak one is all that is shuffled
-    judged = each.withColumn("name", F.coalesce(name, F.lit(""))).withColumn("made", made).withColumn("kind", kind).filter("made or kind is not null")
+    found = F.struct(F.coalesce(name, F.lit("")).alias("name"), kind.alias("kind"))
+    # by a generator, so that filters don't work names out again for each word that they look for
+    judged = each.select("path", "line", "text", "trimmed", "marked", F.explode(F.array(found)).alias("f")).select("path", "line", "text", "trimmed", "marked", "f.*")
+    made = (F.col("name") != "") & (any_of(F.lower("name"), SENSITIVE) | F.col("marked") | t.contains("Secret::"))
+    judged = judged.withColumn("made", made).filter("made or kind is not null")
     sources = judged.filter("made").groupBy("path", F.col("name").alias("variable")).agg(F.min("line").alias("since"))
     uses = judged.filter("not made").select("path", "line", "text", "kind")
     leaks = uses.join(sources, "path").filter((F.col("line") > F.col("since")) & F.col("text").contains(F.col("variable")))

@@ -40,14 +40,26 @@ def split_lines(files: DataFrame) -> DataFrame:
     return split.select("path", "ext", "holds_test", "holds_marker", F.explode(F.array(whole)).alias("ls")).filter(F.size("ls") > 0)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once however often it is used: as the variable of a function over one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def last_before(items: Column, event: Callable[[Column], Column], none: Column) -> Column:
     """For each item the value of the last event among the items before it, none if there was none; event gives
     a value, or null where there is no event."""
-    seen = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), event(x).alias("v"))), lambda s: s["v"].isNotNull())
-    following = F.concat(F.slice(F.transform(seen, lambda s: s["i"]), 2, F.greatest(F.size(seen), F.lit(1))), F.array(F.size(items) - 1))
-    stretches = F.transform(F.arrays_zip(seen.alias("s"), following.alias("to")), lambda z: F.array_repeat(z["s"]["v"], z["to"] - z["s"]["i"]))
-    first = F.array_repeat(none, F.coalesce(F.get(seen, F.lit(0))["i"] + 1, F.size(items)))
-    return F.concat(first, F.when(F.size(seen) > 0, F.flatten(stretches)).otherwise(F.slice(first, 1, 0)))
+
+    def stretched(all_items: Column, seen: Column) -> Column:
+        following = F.concat(F.slice(F.transform(seen, lambda s: s["i"]), 2, F.greatest(F.size(seen), F.lit(1))), F.array(F.size(all_items) - 1))
+        stretches = F.transform(F.arrays_zip(seen.alias("s"), following.alias("to")), lambda z: F.array_repeat(z["s"]["v"], z["to"] - z["s"]["i"]))
+        first = F.array_repeat(none, F.coalesce(F.get(seen, F.lit(0))["i"] + 1, F.size(all_items)))
+        return F.concat(first, F.when(F.size(seen) > 0, F.flatten(stretches)).otherwise(F.slice(first, 1, 0)))
+
+    def over(all_items: Column) -> Column:
+        seen = F.filter(F.transform(all_items, lambda x, i: F.struct(i.alias("i"), event(x).alias("v"))), lambda s: s["v"].isNotNull())
+        return once(seen, lambda found: stretched(all_items, found))
+
+    return once(items, over)
 
 
 def _switched(items: Column, on: Callable[[Column], Column], off: Callable[[Column], Column]) -> Column:
