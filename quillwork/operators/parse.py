@@ -1,8 +1,7 @@
-"""Functions of source files: name, line range and cyclomatic complexity.
+"""Functions of source files: name, line range and cyclomatic complexity; shapes and types.
 
-Python is parsed by the standard library; files that don't parse give one row with parse_error. For
-brace languages the text is blanked of comments and strings, function heads are found by pattern and
-their bodies by matching braces: an approximation of a grammar.
+Python is parsed by the standard library; files that don't parse give one row with parse_error. Brace and end
+languages go through the island grammar of grammar.py.
 """
 
 from __future__ import annotations
@@ -15,55 +14,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grammar
+
 SCHEMA = "path string, name string, line int, end_line int, complexity int, lang string, parse_error boolean"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.ExceptHandler, ast.Lambda)
+# Heads of the languages whose shapes are read from blanked text.
 _HEADS = {
     "rust": re.compile(r"\bfn\s+(\w+)[^;{]*\{"),
     "go": re.compile(r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^{]*\{"),
     "javascript": re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*\{"),
     "java": re.compile(r"\b[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*(?:throws [\w, ]+)?\{"),
+    "typescript": re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)[^{;]*\{"),
 }
-_HEADS["typescript"] = re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)[^{;]*\{")
-_BRACE_BRANCHES = {
-    "rust": re.compile(r"\bif\b|\belse\b|\bwhile\b|\bloop\b|\bfor\b|=>|(?<=[(=,])\s*\|[^|]*\|"),
-    "go": re.compile(r"\bif\b|\belse\b|\bfor\b|\bswitch\b|\bcase\b|\bselect\b"),
-    "javascript": re.compile(r"\bif\b|\belse\b|\bfor\b|\bwhile\b|\bdo\b|\bcase\b|\bcatch\b|\?(?![.?])|=>"),
-    "java": re.compile(r"\bif\b|\belse\b|\bfor\b|\bwhile\b|\bdo\b|\bcase\b|\bcatch\b|\?"),
-}
-_BRACE_BRANCHES["typescript"] = _BRACE_BRANCHES["javascript"]
 _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|`[^`]*`', re.S)
 
 
 def python_functions(source: str) -> list[tuple[str, int, int, int]]:
-    """(name, line, end line, complexity); a decorated function also gives an anonymous row."""
+    """(name, line, end line, complexity); a decorated function or class also gives an anonymous row from its first
+    decorator on, and what decorators branch into counts there alone."""
     found = []
     for node in ast.walk(ast.parse(source)):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            row = (node.lineno, node.end_lineno, 1 + sum(isinstance(x, _BRANCHES) for x in ast.walk(node)))
-            found.append((node.name, *row))
-            if node.decorator_list:
-                found.append(("<anonymous>", *row))
+        decorators = getattr(node, "decorator_list", [])
+        above = sum(isinstance(x, _BRANCHES) for d in decorators for x in ast.walk(d))
+        if decorators or isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            inside = 1 + sum(isinstance(x, _BRANCHES) for x in ast.walk(node))
+            if not isinstance(node, ast.ClassDef):
+                found.append((node.name, node.lineno, node.end_lineno, inside - above))
+            if decorators:
+                found.append(("<anonymous>", decorators[0].lineno, node.end_lineno, inside))
     return sorted(found, key=lambda r: (r[1], r[0]))
 
 
-def brace_functions(source: str, lang: str) -> list[tuple[str, int, int, int]]:
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    plain = _NOISE.sub(blank, source)
-    found = []
-    for head in _HEADS[lang].finditer(plain):
-        depth, end = 1, head.end()
-        while depth and end < len(plain):
-            depth += {"{": 1, "}": -1}.get(plain[end], 0)
-            end += 1
-        body = plain[head.end() : end]
-        line = plain.count("\n", 0, head.start()) + 1
-        found.append((head[1], line, plain.count("\n", 0, end) + 1, 1 + len(_BRACE_BRANCHES[lang].findall(body))))
-    return found
-
-
 def functions(files: DataFrame) -> DataFrame:
     """One row a function of files (path, content, lang)."""
-    known = files.filter(F.col("lang").isin("python", *_HEADS)).select("path", "content", "lang")
+    known = files.filter(F.col("lang").isin("python", "tsx", *grammar.LANGUAGES)).select("path", "content", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("complexity", pa.int32()), ("lang", pa.string()), ("parse_error", pa.bool_())])
@@ -71,7 +55,7 @@ def functions(files: DataFrame) -> DataFrame:
             out = []
             for path, content, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows = python_functions(content or "") if lang == "python" else brace_functions(content or "", lang)
+                    rows = python_functions(content or "") if lang == "python" else grammar.functions(content or "", "typescript" if lang == "tsx" else lang)
                     out += [(path, *r, lang, False) for r in rows]
                 except (SyntaxError, ValueError, RecursionError):
                     out.append((path, None, None, None, None, lang, True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, fixes, graphs, metrics, parse, rule_tables, scans, scoring
+from ..operators import checks, graphs, metrics, parse, rule_tables, scans, scoring
 from ..sources import corpus, history, reports
 from ..streaming import watch
 from .catalog import CODE, CODE_FILES, DOCSTRING, LINES, LIVE, among, cases, code_lines, crap, function_table, read, register, risk, text
@@ -110,34 +110,7 @@ def danger_zone(spark, sf_dir):
     return metrics.danger_zone(risk(spark, sf_dir))
 
 
-# --- fixes, packs, registry ---------------------------------------------------------------------
-
-FIXED = {
-    "    let out = value.checked_add(1).unwrap();": ("errhandle-unwrap", "medium", "    let out = value.checked_add(1)?;"),
-    "    let _ = run();": ("errhandle-discard", "low", "    run();"),
-}
-FIX_ROWS = ", ".join(f"({text(old)}, '{rule}', '{confidence}', {text(new)})" for old, (rule, confidence, new) in FIXED.items())
-
-
-@register("proposed_fixes", f"{CODE} SELECT path AS file, line, rule_id, confidence, old_text, new_text FROM lines JOIN (VALUES {FIX_ROWS}) v(old_text, rule_id, confidence, new_text) ON text = old_text WHERE ext = 'rs'")
-def proposed_fixes(spark, sf_dir):
-    return fixes.proposals(code_lines(spark, sf_dir))
-
-
-@register("fix_diffs", f"{CODE} SELECT path AS file, line, '--- ' || path || chr(10) || '+++ ' || path || chr(10) || '@@ -' || line || ' +' || line || ' @@' || chr(10) || '-' || old_text || chr(10) || '+' || new_text || chr(10) AS diff FROM lines JOIN (VALUES {FIX_ROWS}) v(old_text, rule_id, confidence, new_text) ON text = old_text WHERE ext = 'rs'")
-def fix_diffs(spark, sf_dir):
-    return fixes.diffs(fixes.proposals(code_lines(spark, sf_dir)))
-
-
-REPLACED = "content"
-for _old, (_, _, _new) in FIXED.items():
-    REPLACED = f"replace({REPLACED}, {text(_old)}, {text(_new)})"
-
-
-@register("fixed_files", f"WITH {CODE_FILES} SELECT path, CASE WHEN ends_with(path, '.rs') THEN {REPLACED} ELSE content END AS content FROM files")
-def fixed_files(spark, sf_dir):
-    return fixes.applied(corpus.code(spark, sf_dir), fixes.proposals(code_lines(spark, sf_dir)))
-
+# --- packs, registry ----------------------------------------------------------------------------
 
 PACK = ((0, "P-1", "style", "low", "let ", "out"), (1, "P-2", "style", "high", "let ", ""), (2, "P-3", "log", "medium", "console", ""))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as T
-from quillwork.operators import checks, fixes, flows, graphs, halstead, imports, metrics, parse, scans, secret_rules, surface
+from quillwork.operators import checks, flows, graphs, halstead, imports, metrics, parse, scans, secret_rules, surface
 from quillwork.sources import corpus, history, line_state, packages, reports
 from quillwork.streaming import watch
 
@@ -235,14 +235,6 @@ def test_blame_and_hunks(spark):
     assert [tuple(r) for r in history.hunks(one(spark, "d", diff)).orderBy("start_line").collect()] == [("src/x.rs", 3, 6), ("src/x.rs", 9, 9)]
 
 
-def test_fixes(spark):
-    df = files(spark, a_dot_rs='    let a = f().unwrap();\nlet s = "x.unwrap()";\n// y.unwrap()\nlet _ = g();\n#[allow(dead_code)]', b_dot_py="x.unwrap()")
-    patches = fixes.proposals(corpus.lines(df))
-    assert [(r.line, r.rule_id, r.new_text) for r in patches.orderBy("line").collect()] == [(1, "errhandle-unwrap", "    let a = f()?;"), (4, "errhandle-discard", "g();"), (5, "deadcode-allow", "")]
-    after = {r.path: r.content for r in fixes.applied(df, patches).collect()}
-    assert after["a.rs"] == '    let a = f()?;\nlet s = "x.unwrap()";\n// y.unwrap()\ng();\n' and after["b.py"] == "x.unwrap()"
-
-
 def test_truncation(spark):
     df = spark.createDataFrame([("abcdef",), ("日本語",), ("",)], "t string")
     t = F.col("t")

@@ -2,19 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from quillwork.operators import graphs, lifecycle, parse, scoring
+from quillwork.operators import grammar, graphs, lifecycle, parse, scoring
 from quillwork.sources import corpus, sinks
 from quillwork.streaming import watch
 
 
 def test_python_functions():
     source = "def a(x):\n    if x:\n        for y in x:\n            pass\n    return 1\n\n@d\ndef b():\n    return 2\n"
-    assert parse.python_functions(source) == [("a", 1, 5, 3), ("<anonymous>", 8, 9, 1), ("b", 8, 9, 1)]
+    assert parse.python_functions(source) == [("a", 1, 5, 3), ("<anonymous>", 7, 9, 1), ("b", 8, 9, 1)]
 
 
 def test_brace_functions():
     source = 'pub fn helper() -> u32 {\n    1 // if\n}\n\npub fn process(x: u32) {\n    if x > 1 { }\n    for i in 0..x { let s = "if {"; }\n}\n'
-    assert [(n, a, c) for n, a, _, c in parse.brace_functions(source, "rust")] == [("helper", 1, 1), ("process", 5, 3)]
+    assert [(n, a, c) for n, a, _, c in grammar.functions(source, "rust")] == [("helper", 1, 1), ("process", 5, 3)]
 
 
 def test_functions_table(spark):
