@@ -10,6 +10,10 @@ The pair test undoes the merges of both tokens, last one first. While two tokens
 both there, a merge of them must not come before the merges that end them; if no such merge comes, all merges
 of the joined bytes stay on their side, and the two tokens are their encoding.
 
+Distinct pre-tokens of a slice go through the recurrence in step, a character a round, by numpy arrays: states,
+last tokens and remembered pair tests. Those of over LONG bytes take the same recurrence one by one, since a round for
+a few of them would cost as much as one for thousands.
+
 Pre-tokens are those of the tokenizer file's own pre-tokenizer, in its alphabet of a character a byte; the
 strings of added tokens are cut out first. What lies between two blanks is looked up in caches of bounded
 size. A null text is the empty text (no ids); ids of rows may be null or repeated; texts are encoded whole;
@@ -22,12 +26,10 @@ import hashlib
 import json
 import os
 import re
-import sys
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -35,8 +37,8 @@ from .common import ByteBound, bounded, map_rows, tokenizer_path
 
 #: Bytes that a worker's caches hold each, about, and pairs of tokens whose test is remembered.
 CACHE_BYTES, PAIRS = 96 << 20, 1 << 18
-#: Characters up to which a pre-token's tokens are kept in a list, which is faster than an array.
-SHORT = 1 << 12
+#: Bytes above which a pre-token is encoded by itself.
+LONG = 256
 #: Characters of texts that are encoded together, and of one call of the pre-tokenizer, about.
 SLICE_CHARS, CALL_CHARS = 1 << 20, 1 << 16
 #: A rank after all others, and the blank in the byte alphabet.
@@ -75,12 +77,16 @@ class Merges:
             self.merged[x, y] = rank
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z] = x, y, rank
-        self.known: dict[int, bool] = {}
+        keys = np.array([x << 32 | y for x, y in self.merged], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array(list(self.merged.values()), np.int64)[order]
+        self.known, self.met = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         # a token that the merges of its own bytes don't give ends no prefix
         self.whole = [True] * size
         for z in sorted((z for z in range(size) if self.rank[z] >= 0), key=self.rank.__getitem__):
             x, y = self.left[z], self.right[z]
             self.whole[z] = self.whole[x] and self.whole[y] and self.meet(x, y, self.rank[z], self.rank[z])
+        self.lefts, self.rights, self.ranks = (np.array(v, np.int64) for v in (self.left, self.right, self.rank))
 
     def meet(self, a: int, b: int, end_a: int = _NEVER, end_b: int = _NEVER) -> bool:
         """Whether no merge crosses the boundary of a and b, which merges of the given ranks end at last."""
@@ -98,12 +104,76 @@ class Merges:
             else:
                 return True
 
-    def test(self, a: int, b: int) -> bool:
-        """meet, remembered."""
-        if len(self.known) >= PAIRS:
-            self.known.clear()
-        found = self.known[a << 32 | b] = self.meet(a, b)
-        return found
+    def meet_each(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """meet of many pairs at once."""
+        out, at = np.zeros(len(a), bool), np.arange(len(a))
+        end_a, end_b = np.full(len(a), _NEVER), np.full(len(a), _NEVER)
+        while len(at):
+            key = a << 32 | b
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rank = self.key_ranks[spot]
+            free = (self.keys[spot] != key) | (rank >= end_a) | (rank > end_b)
+            made_a, made_b = self.ranks[a], self.ranks[b]
+            step_a = made_a > made_b
+            out[at[free & ~step_a & (made_b < 0)]] = True
+            go = free & (step_a | (made_b >= 0))
+            at, a, b, end_a, end_b, made_a, made_b, step_a = (v[go] for v in (at, a, b, end_a, end_b, made_a, made_b, step_a))
+            a, end_a = np.where(step_a, self.rights[a], a), np.where(step_a, made_a, end_a)
+            b, end_b = np.where(step_a, b, self.lefts[b]), np.where(step_a, end_b, made_b)
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """meet_each, remembered in a table of PAIRS places, where a pair takes the place of another."""
+        key = a << 32 | b
+        spot = (key ^ (key >> 27)) * 0x2545F491 % len(self.known)
+        lost = np.flatnonzero(self.known[spot] != key)
+        if len(lost):
+            fresh, back = np.unique(key[lost], return_inverse=True)
+            met = self.meet_each(fresh >> 32, fresh & 0xFFFFFFFF)
+            out = self.met[spot]
+            out[lost] = met[back]
+            self.known[spot[lost]] = key[lost]
+            self.met[spot[lost]] = out[lost]  # of pairs with one place the last one takes both
+            return out
+        return self.met[spot]
+
+
+class Endings:
+    """Automaton over a vocabulary's tokens: after(state, byte), and of each state the longest token that what was read
+    ends in. shorter: of each token the longest other token that it ends in."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        nodes: dict[int, int] = {}
+        parent, byte, depth, own = [0], [0], [0], [-1]
+        ends = {}
+        for token, i in tokens.items():
+            at = 0
+            for b in token:
+                key = at << 8 | b
+                after = nodes.get(key)
+                if after is None:
+                    after = nodes[key] = len(parent)
+                    parent.append(at), byte.append(b), depth.append(depth[at] + 1), own.append(-1)
+                at = after
+            own[at], ends[i] = i, at
+        parent, byte, depth, self.longest = np.array(parent), np.array(byte), np.array(depth), np.array(own, np.int64)
+        self.after = np.zeros((len(parent), 256), np.int32)
+        link = np.zeros(len(parent), np.int64)
+        for d in range(1, int(depth.max()) + 1):
+            level = np.flatnonzero(depth == d)
+            up, b = parent[level], byte[level]
+            if d == 1:
+                self.after[0, b] = level
+            else:  # links lead to states of less depth, whose rows are done
+                link[level] = self.after[link[up], b]
+                none = level[self.longest[level] < 0]
+                self.longest[none] = self.longest[link[none]]
+            self.after[level] = self.after[link[level]]
+            below = np.flatnonzero(depth == d + 1)
+            self.after[parent[below], byte[below]] = below
+        self.shorter = np.full(max(tokens.values()) + 1, -1, np.int64)
+        for i, at in ends.items():
+            self.shorter[i] = self.longest[link[at]] if link[at] else -1
 
 
 class PrefixCoder:
@@ -128,39 +198,81 @@ class PrefixCoder:
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.sizes = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
         self.own = {t: i.to_bytes(4, "little") for t, i in self.vocabulary.items() if t not in self.added and self.merges.whole[i]}
-        self.ends = ahocorasick.Automaton()
-        for t, i in self.vocabulary.items():
-            if t in self.own:
-                self.ends.add_word(t, (len(t), i))
-        self.ends.make_automaton()
+        self.ends = Endings({self.bytes[self.vocabulary[t]]: self.vocabulary[t] for t in self.own})
+        self.widths, self.to_byte = np.array(self.sizes, np.int64), {ord(c): b for c, b in alphabet.items()}
         self.cache, self.parts = ByteBound(CACHE_BYTES), ByteBound(CACHE_BYTES)
 
     def code(self, word: str) -> bytes:
-        """Ids of a pre-token in the byte alphabet."""
-        last = array("i", bytes(4 * len(word))) if len(word) > SHORT else [0] * len(word)
-        known, test, done = self.merges.known.get, self.merges.test, -1
-        for end, (size, token) in self.ends.iter(word):  # longer tokens first
-            if end == done:
-                continue
-            before = end - size
-            if before >= 0:
-                meets = known(last[before] << 32 | token)
-                if not (test(last[before], token) if meets is None else meets):
-                    continue
-            last[end] = token
-            done = end
-        ids, at, sizes = array("I"), len(word) - 1, self.sizes
+        """Ids of one pre-token in the byte alphabet."""
+        ends, widths, state = self.ends, self.sizes, 0
+        last, known = array("i", bytes(4 * len(word))), {}
+        for j, b in enumerate(word.translate(self.to_byte).encode("latin-1")):
+            state = int(ends.after[state, b])
+            token = int(ends.longest[state])
+            while (before := j - widths[token]) >= 0:
+                pair = last[before], token
+                if pair not in known:
+                    known[pair] = self.merges.meet(*pair)
+                if known[pair]:
+                    break
+                token = int(ends.shorter[token])
+            last[j] = token
+        ids, at = array("I"), len(word) - 1
         while at >= 0:
-            token = last[at]
-            ids.append(token)
-            at -= sizes[token]
+            ids.append(last[at])
+            at -= widths[last[at]]
         ids.reverse()
-        return (ids if sys.byteorder == "little" else np.asarray(ids, "<u4")).tobytes()
+        return np.asarray(ids, "<u4").tobytes()
+
+    def code_each(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens in the byte alphabet, all of which go on by a byte a round."""
+        data = np.frombuffer("".join(words).translate(self.to_byte).encode("latin-1"), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        first, ordered, last = starts[order], sizes[order], np.empty(len(data), np.int64)
+        active = np.searchsorted(-ordered, -np.arange(1, int(ordered[0]) + 1), side="right")
+        state = np.zeros(len(words), np.int64)
+        for j, k in enumerate(active.tolist()):
+            at = first[:k] + j
+            state = self.ends.after[state[:k], data[at]]
+            token = self.ends.longest[state]
+            while len(at):
+                width = self.widths[token]
+                before = np.maximum(at - width, 0)
+                alone = width == j + 1
+                good = alone.copy()
+                rest = np.flatnonzero(~alone)
+                good[rest] = self.merges.compatible(last[before[rest]], token[rest])
+                last[at[good]] = token[good]
+                bad = ~good
+                at, token = at[bad], self.ends.shorter[token[bad]]
+        cut, at, begin = np.zeros(len(data), bool), starts + sizes - 1, starts
+        while len(at):
+            cut[at] = True
+            at = at - self.widths[last[at]]
+            on = at >= begin
+            at, begin = at[on], begin[on]
+        coded = last[cut].astype("<u4").tobytes()
+        stops = 4 * np.cumsum(np.add.reduceat(cut, starts, dtype=np.int64))
+        out, a = [], 0
+        for z in stops.tolist():
+            out.append(coded[a:z])
+            a = z
+        return out
 
     def learn(self, words: list[str]) -> None:
-        own, put, code = self.own.get, self.cache.put, self.code
+        own, put = self.own.get, self.cache.put
+        short = []
         for word in words:
-            put(word, own(word) or code(word))
+            if (ids := own(word)) is not None:
+                put(word, ids)
+            elif len(word) > LONG:
+                put(word, self.code(word))
+            else:
+                short.append(word)
+        for word, ids in zip(short, self.code_each(short) if short else (), strict=True):
+            put(word, ids)
 
     def find(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens, in the byte alphabet; long texts in several calls, which

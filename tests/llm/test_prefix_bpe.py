@@ -44,19 +44,25 @@ def test_texts_against_the_library(coder, library):
 
 def test_every_code_point(coder, library):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    same(coder, library, [" ".join(f"{c}{c}a{c}1" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)])
-    same(coder, library, ["".join(points[at : at + 3000]) for at in range(0, len(points), 3000)])
+    same(coder, library, [" ".join(f"{c}a{c}1" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)])
+    same(coder, library, ["".join(points[at : at + 3000]) for at in range(0, len(points), 90_000)])
 
 
 def test_long_pre_tokens_and_small_caches(coder, library, monkeypatch):
     same(coder, library, ["x" * 20_000 + " y", "word " * 60_000, "ab" * 9_000 + "\n\n  " * 300])
+    monkeypatch.setattr(prefix_bpe, "PAIRS", 20)
     small = prefix_bpe.PrefixCoder(PATH)
     small.cache.limit = small.parts.limit = 2_000
-    monkeypatch.setattr(prefix_bpe, "PAIRS", 20)
     monkeypatch.setattr(prefix_bpe, "SLICE_CHARS", 50)
     same(small, library, [f"word{i} other{i % 7} {i}" for i in range(600)])
 
 
+def test_one_by_one_and_in_step(coder):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeintr\u0120\u00c3") for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    assert coder.code_each(words) == [coder.code(w) for w in words]
+
+
 def test_pair_test_against_merging_step_by_step(coder):
     merges, tokens, r = coder.merges, coder.bytes, random.Random(4)
     base = {v[0]: k for k, v in tokens.items() if len(v) == 1}
@@ -73,7 +79,7 @@ def test_pair_test_against_merging_step_by_step(coder):
     short = [i for i, t in tokens.items() if len(t) <= 4 and i != 50256]
     for _ in range(3000):
         a, b = r.choice(short), r.choice(short)
-        assert merges.meet(a, b) == (merged(tokens[a] + tokens[b]) == [a, b]), (a, b)
+        assert merges.meet(a, b) == merges.meet_each(np.array([a]), np.array([b]))[0] == (merged(tokens[a] + tokens[b]) == [a, b]), (a, b)
     assert all(merges.whole)
 
 
