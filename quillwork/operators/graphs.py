@@ -2,56 +2,68 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-from itertools import count
+from functools import reduce
+from itertools import combinations, count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from . import ranges
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names, which all executors share; a local
-    session without one gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not where:
-            where = tempfile.mkdtemp(prefix="quillwork-")
-            atexit.register(shutil.rmtree, where, True)
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+
+#: Characters of names.
+_WORD = r"[\p{L}\p{N}_]+"
+#: A table of callers is at most half as large as the one before, else the two are merged.
+_MERGE = 2
 
 
 def call_edges(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """(file, caller, callee) of lines (path, line, text, trimmed) and functions (file, name, line, end_line): a line
-    of a function that calls, qualifies or borrows another function of its file by name. A file's functions are
-    one array, which its lines are joined with; comments and bindings don't count."""
-    named = functions.groupBy(F.col("file").alias("path")).agg(F.collect_set(F.struct("name", "line", "end_line")).alias("fns"))
-    live = lines.filter(~F.col("trimmed").startswith("//") & ~F.col("trimmed").startswith("let ")).select("path", "line", "text").join(named, "path")
-    calls = lambda f: F.col("text").contains(F.concat(f["name"], F.lit("("))) | F.col("text").contains(F.concat(f["name"], F.lit("::"))) | F.col("text").contains(F.concat(F.lit("&mut "), f["name"]))
-    each = live.select("path", F.explode(F.filter("fns", lambda f: (F.col("line") >= f["line"]) & (F.col("line") <= f["end_line"]))).alias("caller"), F.filter("fns", calls).alias("called"))
-    edges = each.select(F.col("path").alias("file"), F.col("caller.name").alias("caller"), F.explode("called").alias("f")).select("file", "caller", F.col("f.name").alias("callee"))
-    return edges.filter("caller <> callee").distinct()
+    of a function that calls, qualifies or borrows another function of its file by name; comments and bindings don't
+    count. A name counts wherever it is found: at the end of what stands before a bracket or two colons, or at the
+    beginning of what is borrowed. So all endings (or beginnings) of such words are keys that meet names by (file, name),
+    and lines meet the functions around them by (file, bucket of lines)."""
+    live = lines.filter(~F.col("trimmed").startswith("//") & ~F.col("trimmed").startswith("let "))
+    called = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"({_WORD})(?=\(|::)"), 1))
+    borrowed = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"&mut ({_WORD})"), 1))
+    endings = F.flatten(F.transform(called, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.right(w, n))))
+    beginnings = F.flatten(F.transform(borrowed, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.left(w, n))))
+    words = live.select(F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.concat(endings, beginnings))).alias("callee"))
+    named = words.join(functions.select("file", F.col("name").alias("callee")).distinct(), ["file", "callee"])
+    spans = functions.select("file", F.col("name").alias("caller"), F.col("line").alias("first"), F.col("end_line").alias("last")).withColumn("bucket", ranges.buckets(F.col("first"), F.col("last")))
+    within = named.withColumn("bucket", F.floor(F.col("line") / ranges.LINES)).join(spans, ["file", "bucket"]).filter(F.col("line").between(F.col("first"), F.col("last")))
+    return within.filter("caller <> callee").select("file", "caller", "callee").distinct()
 
 
 def transitive_callers(calls: DataFrame, changed: DataFrame) -> DataFrame:
-    """(name, depth): changed functions (name) at 0, and all that call them directly or not. calls may
-    hold cycles: each round keeps only callers that are new, and rounds end when there are none."""
-    found = changed.select("name").distinct().withColumn("depth", F.lit(0))
-    front = found
+    """(name, depth): changed functions (name) at 0, and all that call them directly or not. calls may hold cycles:
+    each round keeps only callers that are new, and rounds end when there are none. What was found is a few tables in
+    the shared folder: a round's callers are one, and tables are merged when the next is about as large, so that a row
+    is written again a few times at most, however long the chain is."""
+    calls = scratch.held(calls.select("caller", "callee").distinct())
+    front = scratch.held(changed.select("name").distinct().withColumn("depth", F.lit(0)))
+    size, done = front.count(), []
     for depth in count(1):
         up = calls.join(front, calls["callee"] == front["name"]).select(calls["caller"].alias("name")).distinct()
-        front = _cut(up.join(found, "name", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return found
-        found = _cut(found.unionByName(front).coalesce(calls.sparkSession.sparkContext.defaultParallelism))
+        for _, t in (*done, (size, front)):
+            up = up.join(t, "name", "left_anti")
+        after = scratch.held(up.withColumn("depth", F.lit(depth)))
+        done.append((size, front))
+        size, front = after.count(), after
+        if not size:
+            scratch.release(after, calls)
+            return reduce(DataFrame.unionByName, [t for _, t in done])
+        while len(done) > 1 and done[-2][0] < _MERGE * done[-1][0]:
+            done[-2:] = [_merged(done[-2:])]
+
+
+def _merged(parts: list[tuple[int, DataFrame]]) -> tuple[int, DataFrame]:
+    both = parts[0][1].unionByName(parts[1][1])
+    one = scratch.held(both.coalesce(both.sparkSession.sparkContext.defaultParallelism))
+    scratch.release(*(t for _, t in parts))
+    return sum(n for n, _ in parts), one
 
 
 def lcom4(fields: DataFrame) -> DataFrame:
@@ -76,27 +88,40 @@ def lcom4(fields: DataFrame) -> DataFrame:
     return fields.groupBy("path", "type").applyInPandas(run, "path string, type string, methods int, components int")
 
 
-def duplicate_groups(prints: DataFrame, least: float = 0.7, min_tokens: int = 5) -> DataFrame:
-    """(ord, group): functions (ord, tokens array) whose token sets have a Jaccard similarity to a group's
-    first member; each joins the earliest group it fits. Equal sets are one row, and there are at most
-    as many sets as subsets of the thirteen control-flow tokens, so one task takes them in order."""
-    kept = prints.filter(F.size("tokens") >= min_tokens).withColumn("set", F.concat_ws(";", F.array_sort(F.array_distinct("tokens"))))
-    sets = kept.groupBy("set").agg(F.min("ord").alias("first"))
+# The control-flow tokens, a bit of a mask each.
+TOKENS = ("IF", "ELSE", "WHILE", "FOR", "LOOP", "MATCH", "ARM", "LET", "RET", "CALL", "LAMBDA", "BLOCK", "TRY")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first")
-        seeds: list[tuple[int, set]] = []
-        names = []
-        for first, text in zip(rows["first"], rows["set"], strict=True):
-            mine = set(text.split(";"))
-            for seed, theirs in seeds:
-                if len(mine & theirs) / max(1, len(mine | theirs)) >= least:
-                    names.append(seed)
-                    break
-            else:
-                seeds.append((first, mine))
-                names.append(first)
-        return pd.DataFrame({"set": rows["set"], "group": names})
-
-    named = sets.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "set string, group long")
-    return kept.join(named, "set").select("ord", "group")
+
+def duplicate_groups(prints: DataFrame, least: float = 0.7, min_tokens: int = 5, names: tuple[str, ...] = TOKENS) -> DataFrame:
+    """(ord, group): functions (ord, tokens array) whose token sets have a Jaccard similarity to a group's
+    first member; each joins the earliest group it fits. names: what tokens there are, thirteen as a rule.
+
+    A set is a mask of a bit a token, and masks are ordered by their first function. Two masks that are alike differ in a
+    few bits, so all that a mask may be like are its own with those bits turned, which meet by equality. Rounds settle
+    them: a mask before which no undecided mask is like it leads a group, and those like a leader belong to their
+    earliest one once nothing earlier is undecided. Of thirteen tokens there are 8,191 masks at most, and a round settles the first at least.
+    """
+    kept = prints.filter(F.size("tokens") >= min_tokens)
+    bit = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(t), F.lit(1 << i))])
+    mask = F.aggregate(F.array_distinct("tokens"), F.lit(0), lambda a, t: a.bitwiseOR(F.coalesce(F.try_element_at(bit, t), F.raise_error(F.concat(F.lit("not a token: "), t)).cast("int"))))
+    masked = kept.select("ord", mask.alias("mask"))
+    masks = masked.groupBy("mask").agg(F.min("ord").alias("first"))
+    most = int((1 - least) * len(names))
+    turned = [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(len(names)), k)]
+    spread = masks.select("mask", "first", F.explode(F.transform(F.array(*map(F.lit, turned)), lambda x: F.col("mask").bitwiseXOR(x))).alias("other"))
+    like = spread.join(masks.select(F.col("mask").alias("other"), F.col("first").alias("before")), "other").filter(F.col("before") < F.col("first"))
+    shared, all_bits = F.bit_count(F.col("mask").bitwiseAND(F.col("other"))), F.bit_count(F.col("mask").bitwiseOR(F.col("other")))
+    pairs = scratch.held(like.filter(shared / all_bits >= least).select("mask", "other"))
+    state = scratch.held(masks.withColumn("group", F.lit(None).cast(masks.schema["first"].dataType)))
+    while not state.filter("group is null").isEmpty():
+        other = state.select(F.col("mask").alias("other"), F.col("group").alias("theirs"), F.col("first").alias("before"))
+        seen = state.filter("group is null").join(pairs, "mask", "left").join(other, "other", "left")
+        leads = F.col("theirs") == F.col("before")
+        undecided = F.min(F.when(F.col("other").isNotNull() & F.col("theirs").isNull(), F.col("before")))
+        seen = seen.groupBy("mask", "first").agg(undecided.alias("wait"), F.min(F.when(leads, F.col("theirs"))).alias("leader"))
+        settled = F.when(F.col("leader").isNotNull() & (F.col("wait").isNull() | (F.col("leader") < F.col("wait"))), F.col("leader")).when(F.col("wait").isNull(), F.col("first"))
+        after = scratch.held(state.filter("group is not null").unionByName(seen.select("mask", "first", settled.alias("group"))))
+        scratch.release(state)
+        state = after
+    scratch.release(pairs)
+    return masked.join(state.select("mask", "group"), "mask").select("ord", "group")

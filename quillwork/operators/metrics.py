@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import extension
+from . import ranges
 
 
 # Extensions by how their comments begin, and documentation comments by extension.
@@ -180,18 +181,20 @@ def bill_of_materials(packages: DataFrame) -> DataFrame:
 
 
 def overlapping(hunks: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions that a changed range touches: an equi-join on the file with an interval test. A function's path
-    may have folders before a hunk's: the join is on the file name, then on the end of the path."""
-    base = lambda c: F.substring_index(c, "/", -1)
-    h, f = hunks.withColumn("base", base("file")).alias("h"), functions.withColumn("base", base("file")).alias("f")
-    meets = (F.col("h.base") == F.col("f.base")) & (F.col("h.start_line") <= F.col("f.end_line")) & (F.col("h.end_line") >= F.col("f.line"))
-    return h.join(f, meets & F.col("f.file").endswith(F.col("h.file"))).select("f.file", "f.name").distinct()
+    """Functions (file, name, line, end_line) that a changed range (file, start_line, end_line) touches; a function's
+    path ends in a range's, and may have more in front of it."""
+    pairs = ranges.ending(functions, hunks.select(F.col("file").alias("end")))
+    changed = hunks.withColumnRenamed("file", "end").join(pairs, "end").select("file", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    named = functions.join(pairs.select("file").distinct(), "file", "left_semi").select("file", "name", F.col("line").alias("first"), F.col("end_line").alias("last"))
+    return ranges.overlapping(named, changed.distinct()).select("file", "name").distinct()
 
 
 def lines_within(rows: DataFrame, functions: DataFrame, affected: DataFrame) -> DataFrame:
     """The rows (file, line, ...) that lie in a function (file, name, line, end_line) that is affected (file, name)."""
-    ranges = functions.join(affected.select("file", "name").distinct(), ["file", "name"], "left_semi").select("file", F.col("line").alias("first"), "end_line")
-    return rows.join(ranges, (rows["file"] == ranges["file"]) & (rows["line"] >= ranges["first"]) & (rows["line"] <= ranges["end_line"]), "left_semi")
+    spans = functions.join(affected.select("file", "name").distinct(), ["file", "name"], "left_semi").select("file", F.col("line").alias("first"), F.col("end_line").alias("last"))
+    near = spans.distinct().withColumn("bucket", ranges.buckets(F.col("first"), F.col("last")))
+    within = (F.col("r.file") == F.col("n.file")) & (F.floor(F.col("r.line") / ranges.LINES) == F.col("bucket")) & F.col("r.line").between(F.col("first"), F.col("last"))
+    return rows.alias("r").join(near.alias("n"), within, "left_semi")
 
 
 def reduction(functions: DataFrame, affected: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def transitive_callers(spark, sf_dir):
     return graphs.transitive_callers(calls, spark.sql("select 'n1' as name")).select("name")
 
 
-TOKENS = ("IF", "ELSE", "WHILE", "FOR", "LOOP", "MATCH", "ARM", "LET", "RET", "CALL", "LAMBDA", "BLOCK", "TRY")
+TOKENS = graphs.TOKENS
 
 
 @register("duplicate_groups", f"""WITH RECURSIVE k AS (SELECT p_partkey AS ord, list_sort(list_distinct([({list(TOKENS)!r})[1 + (p_partkey * j) % (p_size % 13 + 1)] FOR j IN range(1, 9)])) AS s FROM part),

@@ -36,7 +36,7 @@ def test_lcom4(spark):
 
 def test_duplicate_groups_are_greedy(spark):
     rows = [(1, list("abcde")), (2, list("abcdf")), (3, list("abcde")), (4, list("abcdef")), (5, list("ab"))]
-    got = {r.ord: r.group for r in graphs.duplicate_groups(spark.createDataFrame(rows, "ord long, tokens array<string>")).collect()}
+    got = {r.ord: r.group for r in graphs.duplicate_groups(spark.createDataFrame(rows, "ord long, tokens array<string>"), names=tuple("abcdef")).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 1}
 
 
