@@ -172,29 +172,30 @@ def secret_assignments(lines: DataFrame) -> DataFrame:
     return findings(lines.filter(F.col("text").contains("=") | F.col("text").contains(":")), tables.SECRETS, F.lower("text"))
 
 
-def error_handling(lines: DataFrame) -> DataFrame:
-    """Patterns by language; what follows a test module in a file is skipped. Empty handlers show on the
-    line after, which the last line of a file has as empty."""
-    rules, t = (*tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", "")), F.col("trimmed")
-    rust = in_extensions(lines, ("rs",)).withColumn("hit", F.when(~t.startswith("//"), first_match(F.col("text"), rules)))
-    found = before_tests(rust, t.startswith("#[cfg(test)]"), []).withColumnRenamed("hit", "rule")
-    return described(found, rules).unionByName(_other_errors(lines))
-
-
-def _other_errors(lines: DataFrame) -> DataFrame:
-    """Python, JavaScript, TypeScript and Go."""
-    t, after, ext = F.col("trimmed"), F.col("after"), F.col("ext")
-    seen = knowing(in_extensions(lines, ("py", "js", "ts", "tsx", "go")).withColumn("ext", extension(F.col("path"))), "after")
-    script, live = ext.isin("js", "ts", "tsx"), ~t.rlike("^(//|#)")
+ERROR_EXTENSIONS = ("rs", "go", "py", "js", "ts", "tsx")
+
+
+def error_handling(lines: DataFrame, include_tests: bool = False) -> DataFrame:
+    """Patterns by language, in one pass; what follows a test module in a file is skipped unless it is asked for, and so
+    are comments. A Rust line gives its first pattern, and a discarded value besides. Empty handlers show on the line
+    after, which the last line of a file has as empty."""
+    t, text, after, ext = F.col("trimmed"), F.col("text"), F.col("after"), F.col("ext")
+    seen = knowing(lines.withColumn("ext", extension(F.col("path"))).filter(ext.isin(*ERROR_EXTENSIONS)), "after")
+    script, finding = ext.isin("js", "ts", "tsx"), lambda name, severity: F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))
+    first = F
+    for r in tables.ERRORS:
+        first = first.when((ext == "rs") & text.contains(r.pattern), finding(r.id, r.severity))
     kinds = (
+        ("discard", "low", (ext == "rs") & t.startswith("let _ =")),
         ("bare_except", "high", (ext == "py") & t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", "")),
         ("empty_catch", "medium", script & t.contains(".catch(") & (t.contains("{}") | t.endswith(".catch()"))),
         ("empty_catch", "high", script & (t == "} catch (e) {") & (after == "}")),
         ("discard", "medium", (ext == "go") & (t.startswith("_ =") | t.startswith("_, _ ="))),
         ("empty_error_handler", "high", (ext == "go") & t.startswith("if err != nil {") & (after == "}")),
     )
-    each = F.array_compact(F.array(*[F.when(live & when, F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))) for name, severity, when in kinds]))
-    hits = before_tests(seen.withColumn("hit", F.when(F.size(each) > 0, each)), t.contains("#[cfg(test)]") | t.contains("mod tests"), [])
+    each = F.array_compact(F.array(first, *[F.when(when, finding(name, severity)) for name, severity, when in kinds]))
+    hit = F.when(~t.startswith("//") & ~t.startswith("#"), each)
+    hits = before_tests(seen.withColumn("hit", F.when(F.size(hit) > 0, hit)), F.lit(False) if include_tests else t.contains("#[cfg(test)]") | t.contains("mod tests"), [])
     return hits.select(F.col("path").alias("file"), "line", F.explode("hit").alias("h")).select("file", "line", "h.*")
 
 

@@ -136,10 +136,24 @@ def secret_assignments(spark, sf_dir):
     return scans.secret_assignments(code_lines(spark, sf_dir))
 
 
-ERRORS = (*rule_tables.ERRORS, Rule("discard", "error_handling", "high", "low", "let _ =", ""))
-
-
-@register("error_handling", of(f"{cases(ERRORS)} FROM lines WHERE ext = 'rs' AND NOT starts_with(trimmed, '//')"))
+def errors_of(head: str) -> str:
+    first = " ".join(f"WHEN contains(text, {text(r.pattern)}) THEN {{'r': '{r.id}', 's': '{r.severity}'}}" for r in rule_tables.ERRORS)
+    kinds = (
+        ("discard", "low", "ext = 'rs' AND starts_with(trimmed, 'let _ =')"),
+        ("bare_except", "high", "ext = 'py' AND trimmed IN ('except:', 'except Exception:', 'except Exception as e:') AND after IN ('pass', '')"),
+        ("empty_catch", "medium", "ext IN ('js', 'ts', 'tsx') AND contains(trimmed, '.catch(') AND (contains(trimmed, '{}') OR ends_with(trimmed, '.catch()'))"),
+        ("empty_catch", "high", "ext IN ('js', 'ts', 'tsx') AND trimmed = '} catch (e) {' AND after = '}'"),
+        ("discard", "medium", "ext = 'go' AND (starts_with(trimmed, '_ =') OR starts_with(trimmed, '_, _ ='))"),
+        ("empty_error_handler", "high", "ext = 'go' AND starts_with(trimmed, 'if err != nil {') AND after = '}'"),
+    )
+    rows = " ".join(f"UNION ALL SELECT file, line, '{rule}', 'error_handling', '{severity}' FROM live WHERE {when}" for rule, severity, when in kinds)
+    return f"""{head}, e AS (SELECT path AS file, *, coalesce(lead(trimmed) OVER (PARTITION BY path ORDER BY line), '') AS after,
+            bool_or(contains(trimmed, '#[cfg(test)]') OR contains(trimmed, 'mod tests')) OVER (PARTITION BY path ORDER BY line) AS seen FROM lines),
+        live AS (SELECT *, CASE WHEN ext = 'rs' THEN CASE {first} END END AS f FROM e WHERE NOT seen AND NOT starts_with(trimmed, '//') AND NOT starts_with(trimmed, '#'))
+        SELECT file, line, f.r AS rule_id, 'error_handling' AS category, f.s AS severity FROM live WHERE f IS NOT NULL {rows}"""
+
+
+@register("error_handling", errors_of(CODE))
 def error_handling(spark, sf_dir):
     return scans.error_handling(code_lines(spark, sf_dir, "after"))
 

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parse
+from ..operators import parse, scans
 from ..sources import corpus
-from .catalog import read, register, text
+from .catalog import LINES, errors_of, read, register, text
 
 #: By extension: a file, and the (name, line, end line, complexity) of its functions, counted by hand. NN is the key.
 SAMPLES = {
@@ -149,3 +149,24 @@ def source_functions(spark, sf_dir):
 def complex_functions(spark, sf_dir):
     found = parse.functions(corpus.with_language(source_tree(spark, sf_dir)))
     return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("complexity").alias("total"), F.max("complexity").alias("most"), F.count(F.when(F.col("complexity") >= 10, 1)).alias("violations"))
+
+
+# --- error handling in all its languages ----------------------------------------------------------
+
+ERROR_LINES = (
+    "x.unwrap();", "let _ = y.unwrap();", "let _ = z();", 'panic!("no");', "todo!()", "// a.unwrap()", "# b.unwrap()", "ok();", "except:", "except Exception:", "except Exception as e:", "except ValueError:", "pass", "",
+    "f().catch(() => {})", "g().catch()", "h().catch(e => log(e))", "} catch (e) {", "}", "_ = f()", "_, _ = g()", "if err != nil {", "if err != nil { // why", "return err", "unreachable!()", "value.expect(reason)", "#[cfg(test)]", "mod tests {",
+)
+ERROR_COUNT, ERROR_STEP = 16, len(ERROR_LINES)
+ERROR_FILES = f"""files AS (SELECT 'e/u' || p_partkey || '.' || ({list(scans.ERROR_EXTENSIONS)!r})[1 + p_partkey % {len(scans.ERROR_EXTENSIONS)}] AS path,
+    array_to_string([([{', '.join(map(text, ERROR_LINES))}])[1 + (p_partkey // 6 * (j + 1) + j * j) % {ERROR_STEP}] FOR j IN range({ERROR_COUNT})], chr(10)) AS content FROM part)"""
+
+
+@register("error_handling_languages", errors_of(f"WITH {ERROR_FILES}, {LINES}"))
+def error_handling_languages(spark, sf_dir):
+    p = F.col("p_partkey")
+    table, ext = F.array(*map(F.lit, ERROR_LINES)), F.array(*map(F.lit, scans.ERROR_EXTENSIONS))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(ERROR_COUNT - 1)), lambda j: F.element_at(table, (F.pmod(F.floor(p / len(scans.ERROR_EXTENSIONS)) * (j + 1) + j * j, F.lit(ERROR_STEP)) + 1).cast("int")))
+    name = F.concat(F.lit("e/u"), p.cast("string"), F.lit("."), F.element_at(ext, (F.pmod(p, F.lit(len(scans.ERROR_EXTENSIONS))) + 1).cast("int")))
+    files = read(spark, sf_dir, "part").select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
+    return scans.error_handling(corpus.lines(files, "after"))
