@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import extension
+from .metrics import workspace_import
 
 SCRIPT, C_LIKE = ("js", "mjs", "cjs", "ts", "tsx", "mts"), ("c", "h", "cpp", "cc", "cxx", "hpp")
 QUOTED = "[\"']([^\"']*)[\"']"
@@ -41,3 +42,26 @@ def module(trimmed: Column, ext: Column) -> Column:
 def imports(lines: DataFrame) -> DataFrame:
     """(file, line, module) of lines (path, line, trimmed)."""
     return lines.select(F.col("path").alias("file"), "line", module(F.col("trimmed"), extension(F.col("path"))).alias("module")).filter("module <> ''")
+
+
+def module_graph(lines: DataFrame) -> DataFrame:
+    """(src, dst) of lines (path, line, trimmed): files and the modules of the same workspace that they import, once each."""
+    found = imports(lines)
+    return found.filter(workspace_import(F.col("module"), F.col("file").endswith(".rs"))).select(F.col("file").alias("src"), F.col("module").alias("dst")).distinct()
+
+
+def coupled(modules: DataFrame, least: int = 0, sort: bool = False) -> DataFrame:
+    """Modules (module, fan_out, fan_in, instability) of at least so many edges, most coupled first if asked for."""
+    total = F.col("fan_in") + F.col("fan_out")
+    kept = modules.filter(total >= least)
+    return kept.orderBy(total.desc(), "module") if sort else kept
+
+
+def dot_graph(edges: DataFrame) -> DataFrame:
+    """(part, ord, value): lines of a graph file of edges (src, dst), modules by the last part of their names; in the
+    order of part and value they are the file."""
+    short = lambda c: F.substring_index(c, "::", -1)
+    body = edges.select(F.lit(1).alias("part"), F.concat(F.lit('  "'), short("src"), F.lit('" -> "'), short("dst"), F.lit('";')).alias("value"))
+    spark = edges.sparkSession
+    frame = [(0, 0, "digraph coupling {"), (0, 1, "  rankdir=LR;"), (0, 2, "  node [shape=box, style=filled, fillcolor=lightblue];"), (0, 3, ""), (2, 0, ""), (2, 1, "}")]
+    return spark.createDataFrame(frame, "part int, ord int, value string").unionByName(body.select("part", F.lit(0).alias("ord"), "value"))

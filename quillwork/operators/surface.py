@@ -1,6 +1,7 @@
 """What functions declare: types, documentation, property tests, and parameters worth fuzzing.
 
-Signatures are read from single lines by pattern; one that goes on over several lines is seen by its first.
+Signatures are read by pattern from the line that begins them; lines with the state ``head`` show a parameter list that
+goes on over several lines whole (whole_heads).
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from ..sources.corpus import extension
 PYTHON, TYPED_SCRIPT, SCRIPT = ("py", "pyi"), ("ts", "tsx", "mts"), ("js", "mjs", "cjs")
 
 
+def whole_heads(lines: DataFrame) -> DataFrame:
+    """lines (with the state head), each head in place of the line that begins it."""
+    return lines.withColumn("trimmed", F.col("head")).drop("head")
+
+
 def _any(text: Column, *parts: str) -> Column:
     return reduce(or_, [text.contains(p) for p in parts])
 
@@ -90,6 +96,18 @@ def documented_items(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("path").alias("file"), "line", kind.alias("kind"), documented.alias("documented")).filter("kind <> ''")
 
 
+#: Public items of Rust as the check sees them: plain pub, in impl blocks too.
+RUST_PUBLIC = r'^pub (?:(?:async|unsafe|const|extern(?: "[^"]*")?) )*(fn|struct|enum|trait) '
+
+
+def attached_items(lines: DataFrame) -> DataFrame:
+    """(file, line, kind, documented) as the documentation check counts them, of lines with the states above, after and
+    attached: a public item of Rust is documented by what is attached to it, those of other languages as documented_items
+    has it."""
+    rust = lines.filter(extension(F.col("path")) == "rs").select(F.col("path").alias("file"), "line", F.regexp_extract("trimmed", RUST_PUBLIC, 1).alias("kind"), F.col("attached").alias("documented")).filter("kind <> ''")
+    return rust.unionByName(documented_items(lines.filter(extension(F.col("path")) != "rs")))
+
+
 def documentation_check(items: DataFrame, least: float = 80.0) -> DataFrame:
     """One row (total, covered, pct, passed, rule_id, severity): without items the coverage is full."""
     row = coverage(items, [], "documented", least)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, rule_tables, scans, scoring
 from ..operators.rule_tables import Rule
 from ..sources import corpus
+from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -371,12 +372,19 @@ def latest_runs(spark, sf_dir):
     return scoring.latest(read(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "ts", "event_type", "value"), 50)
 
 
-@register("cycle_changes", """WITH s AS (SELECT user_id, event_id, value > 50 AS ok, lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-    SELECT user_id, event_id, CASE WHEN ok THEN 'fail_to_pass' ELSE 'pass_to_fail' END AS change FROM s WHERE before IS NOT NULL AND before <> ok""")
+CYCLE_CHANGES = """WITH s AS (SELECT user_id, event_id, value > 50 AS ok, lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+    SELECT user_id, event_id, CASE WHEN ok THEN 'fail_to_pass' ELSE 'pass_to_fail' END AS change FROM s WHERE before IS NOT NULL AND before <> ok"""
+
+
+def user_cycles(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") > 50).alias("passed"))
+
+
+@register("cycle_changes", CYCLE_CHANGES)
 def cycle_changes(spark, sf_dir):
-    from pyspark.sql import Window
+    return watch.changes(user_cycles(spark, sf_dir), ["user_id"], ["ts", "event_id"]).drop("ts")
+
 
-    e = read(spark, sf_dir, "events").withColumn("ok", F.col("value") > 50)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    changed = e.withColumn("before", F.lag("ok").over(w)).filter("before is not null and before <> ok")
-    return changed.select("user_id", "event_id", F.when(F.col("ok"), "fail_to_pass").otherwise("pass_to_fail").alias("change"))
+@register("cycle_state_changes", CYCLE_CHANGES)
+def cycle_state_changes(spark, sf_dir):
+    return watch.stateful_changes(user_cycles(spark, sf_dir), ["user_id"], ["ts", "event_id"]).drop("ts")

@@ -210,9 +210,9 @@ def followed_events(spark, sf_dir):
 @register("requested_events", "SELECT event_id, event_type AS rule_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS severity FROM events WHERE value > 50 AND event_type <> (SELECT min(event_type) FROM events)")
 def requested_events(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("rule_id"), F.when(F.col("value") > 50, "high").otherwise("low").alias("severity"))
-    least = e.agg(F.min("rule_id")).first()[0]
-    wanted = tuple(r["rule_id"] for r in e.select("rule_id").distinct().collect() if r["rule_id"] != least)  # a handful of event types
-    return watch.filtered(e, ("high", "critical"), wanted)
+    least = e.agg(F.min("rule_id").alias("least"))
+    wanted = e.select("rule_id").distinct().join(least, F.col("rule_id") != F.col("least")).select("rule_id")  # one row beside the distinct types
+    return watch.filtered(e, ("high", "critical")).join(wanted, "rule_id", "left_semi").select("event_id", "rule_id", "severity")
 
 
 @register("run_events", """WITH f AS (SELECT 'c' || p_size % 3 AS c, p_partkey AS k, p_size AS s FROM part)

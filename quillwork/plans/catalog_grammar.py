@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parse, scans
+from ..operators import imports, metrics, parse, scans, surface
 from ..sources import corpus
 from .catalog import LINES, errors_of, read, register, text
+from .catalog_flows import HEAD as FLOW_HEAD
+from .catalog_flows import tree
 
 #: By extension: a file, and the (name, line, end line, complexity) of its functions, counted by hand. NN is the key.
 SAMPLES = {
@@ -170,3 +172,80 @@ def error_handling_languages(spark, sf_dir):
     name = F.concat(F.lit("e/u"), p.cast("string"), F.lit("."), F.element_at(ext, (F.pmod(p, F.lit(len(scans.ERROR_EXTENSIONS))) + 1).cast("int")))
     files = read(spark, sf_dir, "part").select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
     return scans.error_handling(corpus.lines(files, "after"))
+
+
+# --- signatures over several lines ---------------------------------------------------------------
+
+#: Heads whose parameters are cut apart by each file in its own way, and what they are worth: the score of the fuzz
+#: surface, and whether they are typed (null where that isn't asked).
+HEADS = (
+    ("rs", "pub fn parse_data(", "data: &[u8],path: &str,limit: usize", ") -> Result<String> {", "parse_data", 66, None),
+    ("rs", "fn plain(", "x: i32,y: i32", ") -> i32 {", "plain", None, None),
+    ("rs", "async fn feed(", "body: Vec<u8>,f: impl Fn(u8, u8) -> u8", ") {", "feed", 31, None),
+    ("py", "def process(", "self,data: bytes,name: str = 'a)'", ") -> str:", "process", 56, True),
+    ("py", "async def untyped(", "self,items", "):", "untyped", None, False),
+    ("ts", "function load(", "url: string,depth", "): void {", "load", 24, True),
+    ("ts", "export async function bare(", "url,depth", ") {", "", None, None),
+    ("go", "func Read(", "p []byte,s string", ") error {", "Read", 54, None),
+)
+
+
+def head_tree(spark, sf_dir):
+    k = F.col("p_partkey")
+    kind = (k % len(HEADS)).cast("int")
+    pick = lambda n: F.element_at(F.array(*[F.lit(h[n]) for h in HEADS]), kind + 1)
+    # after a comma the line may break, by the key
+    parts = F.replace(pick(2), F.lit(","), F.when(k % 3 == 0, ", ").when(k % 3 == 1, ",\n    ").otherwise(",\n\n\t"))
+    body = F.concat(F.lit("// head\n"), pick(1), F.when(k % 2 == 0, F.lit("\n    ")).otherwise(""), parts, F.when(k % 5 == 0, F.lit("\n")).otherwise(""), pick(3), F.lit("\n    body(string)\n}\n"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("h/u"), k.cast("string"), F.lit("."), pick(0)).alias("path"), body.alias("content"))
+
+
+HEAD_ROWS = ", ".join(f"({n}, '{h[0]}', '{h[4]}', {h[5] or 'NULL'}, {'NULL' if h[6] is None else str(h[6]).lower()})" for n, h in enumerate(HEADS))
+HEAD_OF = f"SELECT 'h/u' || p_partkey || '.' || ext AS file, name, score, typed FROM part JOIN (VALUES {HEAD_ROWS}) v(kind, ext, name, score, typed) ON p_partkey % {len(HEADS)} = kind"
+
+
+@register("split_heads_fuzzed", f"WITH h AS ({HEAD_OF}) SELECT file, 2 AS line, name, score FROM h WHERE score IS NOT NULL")
+def split_heads_fuzzed(spark, sf_dir):
+    lines = surface.whole_heads(corpus.lines(head_tree(spark, sf_dir), "head"))
+    return surface.fuzz_surface(lines, surface.harness_names(lines), spark.createDataFrame([], "file string, name string, line int, complexity int")).select("file", "line", "name", "score")
+
+
+@register("split_heads_typed", f"WITH h AS ({HEAD_OF}) SELECT file, 2 AS line, typed FROM h WHERE typed IS NOT NULL")
+def split_heads_typed(spark, sf_dir):
+    lines = surface.whole_heads(corpus.lines(head_tree(spark, sf_dir), "above", "head"))
+    return surface.typed_functions(lines).select("file", "line", "typed")
+
+
+# --- documentation that is attached, modules from files -------------------------------------------
+
+DOC_EVENT = "CASE WHEN (starts_with(trimmed, '///') AND NOT starts_with(trimmed, '////')) OR (starts_with(trimmed, '/**') AND NOT starts_with(trimmed, '/***')) OR starts_with(trimmed, '#[doc') THEN true WHEN trimmed = '' OR regexp_matches(trimmed, '^(#\\[|//|\\*|/\\*)') THEN NULL ELSE false END"
+
+
+@register("attached_documentation", f"""{FLOW_HEAD}, d AS (SELECT path AS file, line, ext, regexp_extract(trimmed, '{surface.RUST_PUBLIC}', 1) AS kind, coalesce(last_value({DOC_EVENT} IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS documented FROM lines)
+    SELECT file, line, kind, documented FROM d WHERE ext = 'rs' AND kind <> ''""")
+def attached_documentation(spark, sf_dir):
+    found = surface.attached_items(corpus.lines(tree(spark, sf_dir), "above", "after", "attached"))
+    return found.filter(F.col("file").endswith(".rs"))
+
+
+EDGES = rf"""{FLOW_HEAD}, i AS (SELECT DISTINCT path AS src, CASE WHEN ext = 'rs' AND starts_with(trimmed, 'use ') THEN trim(regexp_replace(trimmed[5:], ';+$', '')) WHEN ext = 'py' AND starts_with(trimmed, 'from ') THEN regexp_extract(trimmed, '^from (\S+) import ', 1)
+        WHEN ext = 'py' AND starts_with(trimmed, 'import ') THEN regexp_extract(trimmed, '^import ([^\s,;]+)', 1) WHEN ext IN ('js', 'ts') AND starts_with(trimmed, 'import ') THEN regexp_extract(trimmed, '["'']([^"'']*)["'']', 1) WHEN ext = 'go' AND regexp_matches(trimmed, '^(?:import )?(?:\w+ )?"[^"]*"$') THEN regexp_extract(trimmed, '"([^"]*)"', 1) END AS dst, ext FROM lines),
+    e AS (SELECT src, dst FROM i WHERE dst <> '' AND NOT ends_with(dst, '::*') AND (ext <> 'rs' OR regexp_matches(dst, '^(crate|self|super)::') OR NOT contains(dst, '::')))"""
+
+
+@register("module_coupling", f"""{EDGES}, o AS (SELECT src AS module, count(*) AS fan_out FROM e GROUP BY 1), n AS (SELECT dst AS module, count(*) AS fan_in FROM e GROUP BY 1)
+    SELECT module, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in, round(coalesce(fan_out, 0) / (coalesce(fan_out, 0) + coalesce(fan_in, 0)), 6) AS instability FROM o FULL JOIN n USING (module)""")
+def module_coupling(spark, sf_dir):
+    return metrics.coupling(imports.module_graph(corpus.lines(tree(spark, sf_dir))))
+
+
+@register("coupled_modules", f"""{EDGES}, m AS (SELECT src AS module FROM e UNION ALL SELECT dst FROM e) SELECT module, count(*) AS edges FROM m GROUP BY 1 HAVING count(*) >= 3""")
+def coupled_modules(spark, sf_dir):
+    found = imports.coupled(metrics.coupling(imports.module_graph(corpus.lines(tree(spark, sf_dir)))), least=3)
+    return found.select("module", (F.col("fan_in") + F.col("fan_out")).alias("edges"))
+
+
+@register("import_dot_graph", f"""{EDGES} SELECT 1 AS part, 0 AS ord, '  "' || string_split(src, '::')[-1] || '" -> "' || string_split(dst, '::')[-1] || '";' AS value FROM e
+    UNION ALL VALUES (0, 0, 'digraph coupling {{'), (0, 1, '  rankdir=LR;'), (0, 2, '  node [shape=box, style=filled, fillcolor=lightblue];'), (0, 3, ''), (2, 0, ''), (2, 1, '}}')""")
+def import_dot_graph(spark, sf_dir):
+    return imports.dot_graph(imports.module_graph(corpus.lines(tree(spark, sf_dir))))

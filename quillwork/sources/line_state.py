@@ -12,7 +12,10 @@ States (columns of ``lines``), by name:
 * ``in_test``: an earlier line began a test function (Rust), and none ended it;
 * ``marked``: the last line before that is neither blank nor in a test function marks what follows as sensitive;
 * ``section``, ``package``: the last head before in a manifest, and the line of the last package head;
-* ``above``: the trimmed lines up to five before, the nearest last.
+* ``above``: the trimmed lines up to five before, the nearest last;
+* ``head``: the trimmed line, and where it begins a function whose first bracket is still open at its end, the lines
+  after it too, up to the one that closes it (or the next head);
+* ``attached``: documentation stands above, with nothing but blank lines, comments and attributes between (Rust).
 """
 
 from __future__ import annotations
@@ -79,6 +82,45 @@ def begins_test(t: Column, rust: Column) -> Column:
     return rust & t.startswith("#[test]")
 
 
+#: Lines that begin a function, of the languages whose signatures are read.
+HEAD = r"^(?:export )?(?:default )?(?:(?:pub(?:\([^)]*\))?|public|private|protected|static|async|unsafe|const|final|abstract|open|override) )*(?:fn|def|function|func|fun) ?\*? ?[^(]*\("
+
+
+def _closed(lines: Column) -> Column:
+    """How many of these lines it takes until as many brackets are closed as were opened, or all of them."""
+
+    def step(a: Column, t: Column) -> Column:
+        signs = F.regexp_replace(t, r"""\"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])'|//.*|[^()]""", "")
+        opens = F.length(F.replace(signs, F.lit(")"), F.lit("")))
+        depth = a["depth"] + 2 * opens - F.length(signs)
+        return F.when(a["done"], a).otherwise(F.struct((depth <= 0).alias("done"), depth.alias("depth"), (a["n"] + 1).alias("n")))
+
+    return F.aggregate(lines, F.struct(F.lit(False).alias("done"), F.lit(0).alias("depth"), F.lit(0).alias("n")), step, lambda a: a["n"])
+
+
+def _heads(tr: Column) -> Column:
+    """Each line, or the whole head that it begins. The lines between two heads are looked at once."""
+    starts = F.filter(F.transform(tr, lambda t, i: F.when(t.rlike(HEAD), i)), lambda i: i.isNotNull())
+
+    def from_starts(found: Column) -> Column:
+        ends = F.concat(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), F.array(F.size(tr)))
+        spans = F.transform(F.arrays_zip(found.alias("a"), ends.alias("z")), lambda x: F.slice(tr, x["a"] + 1, x["z"] - x["a"]))
+        whole = F.transform(spans, lambda span: F.concat(F.array(F.array_join(F.slice(span, 1, _closed(span)), " ")), F.slice(span, 2, F.size(span))))
+        return F.concat(F.slice(tr, 1, F.coalesce(F.get(found, F.lit(0)), F.size(tr))), F.flatten(whole))
+
+    return F.when(F.exists(tr, lambda t: t.rlike(HEAD)), once(starts, from_starts)).otherwise(tr)
+
+
+def _attached(tr: Column) -> Column:
+    """Documentation comments and attributes count until a line of code comes between."""
+
+    def event(t: Column) -> Column:
+        documents = t.startswith("///") & ~t.startswith("////") | t.startswith("/**") & ~t.startswith("/***") | t.startswith("#[doc")
+        return F.when(documents, True).when((t == "") | t.startswith("#[") | t.startswith("//") | t.startswith("*") | t.startswith("/*"), None).otherwise(False)
+
+    return last_before(tr, event, F.lit(False))
+
+
 def _states(ls: Column, tr: Column, rust: Column) -> dict[str, Column]:
     edge, n = F.array(F.lit("")), F.size(ls)
     in_test = _where(rust & F.col("holds_test"), _switched(tr, lambda t: begins_test(t, rust), lambda t: t.startswith("}")), tr)
@@ -92,6 +134,8 @@ def _states(ls: Column, tr: Column, rust: Column) -> dict[str, Column]:
         "marked": _where(F.col("holds_marker"), marked, tr),
         "section": last_before(tr, lambda t: F.when(t.startswith("["), t), F.lit("")),
         "package": last_before(F.transform(tr, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.when(x["t"] == "[[package]]", x["i"] + 1), F.lit(0)),
+        "head": _heads(tr),
+        "attached": _attached(tr),
         "above": F.transform(tr, lambda t, i: F.slice(tr, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR)))),
     }
 

@@ -58,7 +58,7 @@ def sarif_log(findings: DataFrame, checks: DataFrame) -> DataFrame:
     head = F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{VERSION}","rules":[')
     passed = checks.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("ok"))
     tail = F.concat(F.lit(']}},"invocations":[{"executionSuccessful":'), F.col("ok").cast("string"), F.lit(',"exitCode":'), F.when(F.col("ok"), "0").otherwise("1"), F.lit('}],"results":['))
-    numbered = findings.join(F.broadcast(rules.select("rule_id", "index")), "rule_id")  # rules are few
+    numbered = findings.join(rules.select("rule_id", "index"), "rule_id")
     parts = [
         _fixed(checks, 0, head), _listed(rules.withColumn("ord", F.col("index")), 1, F.col("ord"), rule), passed.select(*_line(2, F.lit(0), tail)),
         _listed(numbered, 3, F.col("ord"), result), _fixed(checks, 4, F.lit("]}]}")),
@@ -93,7 +93,7 @@ def junit_suites(findings: DataFrame, checks: DataFrame) -> DataFrame:
     message, rule, file = (xml_escaped(F.col(c)) for c in ("message", "rule_id", "file"))
     failure = F.concat(F.lit('\n      <failure message="'), message, F.lit('" type="'), rule, F.lit('">'), message, F.lit(" at "), file, F.lit(":"), F.coalesce("line", F.lit(0)).cast("string"), F.lit("</failure>"))
     case = F.concat(F.lit('    <testcase name="'), message, F.lit(f'" classname="{TOOL}.'), name, F.lit('">'), F.when(F.col("passed"), "").otherwise(failure), F.lit("\n    </testcase>"))
-    cases = findings.join(F.broadcast(place.select("check", "passed", "suite")), "check").select(suite.alias("part"), F.col("ord").cast("long").alias("ord"), case.alias("value"))  # checks are few
+    cases = findings.join(place.select("check", "passed", "suite"), "check").select(suite.alias("part"), F.col("ord").cast("long").alias("ord"), case.alias("value"))
     totals = checks.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("passed"), 1)).alias("bad"))
     first = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="{TOOL}" tests="'), F.col("all").cast("string"), F.lit('" failures="'), F.col("bad").cast("string"), F.lit('" time="0">'))
     last = _fixed(checks, 2**31 - 1, F.lit("</testsuites>"))

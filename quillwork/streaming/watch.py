@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.scoring import difference
 
@@ -77,6 +79,57 @@ def cycle_difference(state_path: str, key: list[str], emit: Callable[[DataFrame,
     return run
 
 
+FIXED, BROKEN = "fail_to_pass", "pass_to_fail"
+
+
+def changes(checks: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """(key..., order..., change) of a table of all cycles (key..., order..., passed): where a key passes and didn't before,
+    or the other way round."""
+    before = F.lag("passed").over(Window.partitionBy(*key).orderBy(*order))
+    changed = checks.withColumn("was", before).filter("was <> passed")
+    return changed.select(*key, *order, F.when(F.col("passed"), FIXED).otherwise(BROKEN).alias("change"))
+
+
+class CycleState(StatefulProcessor):
+    """What a key's last cycle came to, a boolean a key; it may expire."""
+
+    def __init__(self, key: list[str], order: list[str], ttl_ms: int | None):
+        self.key, self.order, self.ttl_ms = key, order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "passed boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = pd.concat(list(rows)).groupby(self.order, as_index=False, sort=True)["passed"].all()  # a key's cycles since the last trigger
+        was = pd.Series([self.passed.get()[0] if self.passed.exists() else None, *seen["passed"][:-1]], dtype=object)
+        self.passed.update((bool(seen["passed"].iloc[-1]),))
+        changed = seen[[w is not None and bool(w) != bool(p) for w, p in zip(was, seen["passed"], strict=True)]]
+        if len(changed):
+            out = changed[self.order].copy()
+            for at, (name, value) in enumerate(zip(self.key, key, strict=True)):
+                out.insert(at, name, value)
+            out["change"] = [FIXED if p else BROKEN for p in changed["passed"]]
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_changes(checks: DataFrame, key: list[str], order: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """changes of a stream, or of a table: the state of the last cycle is kept by key between triggers, across restarts
+    from a checkpoint, and expires after ttl_ms. Cycles of one trigger are taken in order; one that comes late is compared
+    with the last one seen. A task holds a key's cycles of one trigger; checks of one cycle are one row before that where
+    the input is a table."""
+    spark = checks.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    given = checks.select(*key, *order, "passed")
+    if not checks.isStreaming:
+        _ = spark.streams.active  # starts the coordinator of state stores, which a table needs too
+        given = given.groupBy(*key, *order).agg(F.bool_and("passed").alias("passed"))
+    out = given.select(*key, *order).schema.add("change", "string")
+    return given.groupBy(*key).transformWithStateInPandas(CycleState(key, order, ttl_ms), out, "Update", "None" if ttl_ms is None else "ProcessingTime")
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows over events (ts timestamp, event_type, value);
     works on streams and on tables."""
