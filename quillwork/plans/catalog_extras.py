@@ -199,11 +199,9 @@ def sliding_windows(spark, sf_dir):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@register("followed_events", """SELECT a.user_id, a.ts AS at, b.ts AS after FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE WHERE a.event_type = (SELECT min(event_type) FROM events) AND b.event_type = (SELECT max(event_type) FROM events)""")
+@register("followed_events", "SELECT a.user_id, a.ts AS at, b.ts AS after FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE")
 def followed_events(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")).first()
-    out = watch.followed(e.filter(F.col("event_type") == ends["lo"]), e.filter(F.col("event_type") == ends["hi"]))
+    out = watch.followed(read(spark, sf_dir, "events"), read(spark, sf_dir, "events"))
     return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), F.col("after").cast("timestamp_ntz").alias("after"))
 
 

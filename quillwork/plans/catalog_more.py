@@ -58,24 +58,26 @@ def duplicate_groups(spark, sf_dir):
     return graphs.duplicate_groups(p.select(F.col("p_partkey").alias("ord"), picked.alias("tokens")))
 
 
-BASELINE = "SELECT DISTINCT event_type || ':' || user_id || ':' || (event_id % 7) AS finding_id FROM events WHERE event_id % {} <> 0"
+#: Events of lower values are in the baseline, those of higher values are current, and those between are both.
+BASELINE = "SELECT DISTINCT event_type || ':' || user_id || ':' || (event_id % 7) AS finding_id FROM events WHERE value {}"
+WAS, IS = "< 60", ">= 40"
 
 
-@register("baseline_difference", f"""WITH b AS ({BASELINE.format(3)}), c AS ({BASELINE.format(5)})
+@register("baseline_difference", f"""WITH b AS ({BASELINE.format(WAS)}), c AS ({BASELINE.format(IS)})
     SELECT finding_id, CASE WHEN b.finding_id IS NULL THEN 'new' WHEN c.finding_id IS NULL THEN 'resolved' ELSE 'unchanged' END AS status FROM b FULL JOIN c USING (finding_id)""")
 def baseline_difference(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    rows = lambda m: e.filter(F.col("event_id") % m != 0).select(F.col("event_type").alias("rule_id"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 7).alias("line"))
-    return lifecycle.baseline_difference(rows(3), rows(5))
+    rows = lambda side: e.filter(f"value {side}").select(F.col("event_type").alias("rule_id"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 7).alias("line"))
+    return lifecycle.baseline_difference(rows(WAS), rows(IS))
 
 
-@register("remediation", f"""WITH log AS (SELECT finding_id, CASE WHEN length(finding_id) % 2 = 0 THEN 'open' ELSE 'closed' END AS status FROM ({BASELINE.format(3)})), c AS ({BASELINE.format(5)})
+@register("remediation", f"""WITH log AS (SELECT finding_id, CASE WHEN length(finding_id) % 2 = 0 THEN 'open' ELSE 'closed' END AS status FROM ({BASELINE.format(WAS)})), c AS ({BASELINE.format(IS)})
     SELECT finding_id, CASE WHEN status = 'open' AND finding_id NOT IN (SELECT finding_id FROM c) THEN 'closed' ELSE status END AS status FROM log
     UNION ALL SELECT finding_id, 'open' FROM c WHERE finding_id NOT IN (SELECT finding_id FROM log)""")
 def remediation(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    ids = lambda m: e.filter(F.col("event_id") % m != 0).select(F.concat_ws(":", "event_type", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("finding_id")).distinct()
-    return lifecycle.remediate(ids(3).withColumn("status", F.when(F.length("finding_id") % 2 == 0, "open").otherwise("closed")), ids(5))
+    ids = lambda side: e.filter(f"value {side}").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("finding_id")).distinct()
+    return lifecycle.remediate(ids(WAS).withColumn("status", F.when(F.length("finding_id") % 2 == 0, "open").otherwise("closed")), ids(IS))
 
 
 @register("margin_risks", f"""WITH {CHECKS}, s AS (SELECT run, name, passed, skipped, 80.0 + length(name) + length(run) AS score, 100.0 AS threshold FROM checks),

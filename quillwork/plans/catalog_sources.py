@@ -210,12 +210,13 @@ def mangled_coverage(spark, sf_dir):
     return corpus.lcov(o.select(F.explode(F.array(fn, hit)).alias("value")))
 
 
-@register("debt_by_author", """WITH b AS (SELECT event_id % 500 AS file, event_id AS line, 'a' || user_id % 20 AS author FROM events WHERE user_id % 3 > 0), d AS (SELECT event_id % 500 AS file, event_id AS line FROM events WHERE event_id % 2 = 0)
-    SELECT author, count(*) AS n FROM d JOIN b USING (file, line) GROUP BY 1""")
+@register("debt_by_author", """WITH b AS (SELECT event_id % 500 AS file, event_id AS line, CASE WHEN user_id % 3 > 0 THEN 'a' || user_id % 20 END AS author FROM events)
+    SELECT author, count(*) AS n FROM events d JOIN b ON b.file = d.event_id % 500 AND b.line = d.event_id WHERE author IS NOT NULL GROUP BY 1""")
 def debt_by_author(spark, sf_dir):
     e = read(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("file"), F.col("event_id").alias("line"), "user_id")
-    blamed = e.filter("user_id % 3 > 0").select("file", "line", F.concat(F.lit("a"), text(F.col("user_id") % 20)).alias("author"), F.lit("1970-01-01").alias("date"))
-    return history.by_author(history.with_blame(e.filter("line % 2 = 0").select("file", "line"), blamed))
+    author = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("a"), text(F.col("user_id") % 20)))
+    blamed = e.select("file", "line", author.alias("author"), F.lit("1970-01-01").alias("date"))
+    return history.by_author(history.with_blame(e.select("file", "line"), blamed))
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -337,12 +338,12 @@ def severe_findings(spark, sf_dir):
     return scans.by_severity(scans.at_least(found.select(F.col("path").alias("file"), "line", severity.alias("severity")), "medium"))
 
 
-@register("missing_baseline_tools", """WITH b AS (SELECT DISTINCT user_id % 50 AS run, 'tool' || event_id % 9 AS tool FROM events WHERE value > 40), c AS (SELECT DISTINCT user_id % 50 AS run, 'tool' || event_id % 9 AS tool FROM events WHERE value > 95)
-    SELECT run, tool FROM b EXCEPT SELECT run, tool FROM c""")
+@register("missing_baseline_tools", """WITH t AS (SELECT DISTINCT user_id % 700 AS run, 'tool' || event_id % 9 AS tool, value >= 50 AS now FROM events)
+    SELECT run, tool FROM t WHERE NOT now EXCEPT SELECT run, tool FROM t WHERE now""")
 def missing_baseline_tools(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    rows = lambda low: e.filter(F.col("value") > low).select((F.col("user_id") % 50).alias("run"), F.concat(F.lit("tool"), text(F.col("event_id") % 9)).alias("tool"))
-    return lifecycle.lost_tools(rows(40), rows(95), ["run"])
+    side = lambda now: e.filter((F.col("value") >= 50) == now).select((F.col("user_id") % 700).alias("run"), F.concat(F.lit("tool"), text(F.col("event_id") % 9)).alias("tool"))
+    return lifecycle.lost_tools(side(False), side(True), ["run"])
 
 
 TOOLS = tuple(n for names in scoring.CATEGORIES.values() for n in names)

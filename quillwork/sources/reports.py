@@ -155,3 +155,53 @@ def spdx(packages: DataFrame, name: str, version: str, timestamp: str) -> DataFr
 def write_document(document: DataFrame, path: str) -> None:
     """The document as text files whose names sort in its order."""
     document.orderBy("part", "ord").select("value").write.mode("overwrite").text(path)
+
+
+# --- history and HTML ------------------------------------------------------------------------------
+
+
+def health_history(runs: DataFrame, last: int) -> DataFrame:
+    """(project, n, score) of each project's last runs (project, ts, passed, failed), oldest first from 0: 100 where nothing
+    failed, or nothing ran, else 0."""
+    latest = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("ts")))
+    kept = runs.withColumn("back", latest).filter(F.col("back") <= last)
+    n = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("back"))) - 1
+    return kept.select("project", n.alias("n"), F.when(F.col("failed") > 0, 0).otherwise(100).alias("score"))
+
+
+def sparklines(history: DataFrame, width: int = 120, height: int = 40) -> DataFrame:
+    """(project, svg) of scores (project, n from 0, score): the line through them, empty for fewer than two. A project's
+    scores are as many as its history was cut to."""
+    pad, plot = 4.0, height - 8.0
+    series = history.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "score"))), lambda p: p["score"]).alias("scores"))
+    low, high = F.array_min("scores"), F.greatest(F.array_max("scores"), F.lit(1))
+    span, steps = F.greatest(high - low, F.lit(1)).cast("double"), F.greatest(F.size("scores") - 1, F.lit(1))
+    one = lambda c: F.format_string("%.1f", F.bround(c, 1))
+    place = F.transform("scores", lambda s, i: F.struct(one(i * (F.lit(float(width)) / steps)).alias("x"), one(F.lit(pad + plot) - (s - low) / span * plot).alias("y")))
+    placed = series.withColumn("p", place)
+    head = f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}" style="display:block">'
+    half = pad + plot * 0.5
+    grid = f'<line x1="0" y1="{half:g}" x2="{width}" y2="{half:g}" stroke="#e2e8f0" stroke-width="1" stroke-dasharray="3,3"/>'
+    points = F.array_join(F.transform("p", lambda p: F.concat(p["x"], F.lit(","), p["y"])), " ")
+    dots = F.array_join(F.transform("p", lambda p: F.concat(F.lit('<circle cx="'), p["x"], F.lit('" cy="'), p["y"], F.lit('" r="2.5" fill="#6366f1"/>'))), "")
+    svg = F.concat(F.lit(head + grid + '<polyline points="'), points, F.lit('" fill="none" stroke="#6366f1" stroke-width="2" stroke-linecap="round" stroke-linejoin="round"/>'), dots, F.lit("</svg>"))
+    return placed.select("project", F.when(F.size("scores") < 2, "").otherwise(svg).alias("svg"))
+
+
+def html_report(project: str, findings: DataFrame, checks: DataFrame, history: DataFrame) -> DataFrame:
+    """(part, ord, value): lines of an HTML page about a project, which are the page in the order of part, ord and value: head, scores so
+    far, a row a check (check, passed, message), a row a finding (ord, check, file, line, severity, message), and the end.
+    No section is brought together."""
+    name = project.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    totals = checks.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("passed"), 1)).alias("good"))
+    head = F.concat(F.lit(f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{name}</title></head><body>\n<h1>{name}</h1>\n<p>"), F.col("good").cast("string"), F.lit(" of "), F.col("all").cast("string"), F.lit(" checks passed</p>"))
+    cell = lambda c: F.concat(F.lit("<td>"), xml_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
+    row = lambda *cs: F.concat(F.lit("<tr>"), *cs, F.lit("</tr>"))
+    status = F.when(F.col("passed"), '<td class="pass">PASS</td>').otherwise('<td class="fail">FAIL</td>')
+    parts = [
+        totals.select(*_line(0, F.lit(0), head)), sparklines(history.withColumn("project", F.lit(project))).select(*_line(1, F.lit(0), F.col("svg"))),
+        _fixed(checks, 2, F.lit('<table class="checks">')), checks.select(*_line(3, F.lit(0), row(cell("check"), status, cell("message")))),
+        _fixed(checks, 4, F.lit('</table>\n<table class="findings">')), findings.select(*_line(5, F.col("ord"), row(*map(cell, ("severity", "check", "file", "line", "message"))))), _fixed(checks, 6, F.lit("</table>\n</body></html>")),
+    ]
+    return _all(parts)
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -52,6 +53,45 @@ def check_events(findings: DataFrame, results: DataFrame) -> DataFrame:
     return each.unionByName(done).unionByName(end)
 
 
+def ordered_events(findings: DataFrame, results: DataFrame) -> DataFrame:
+    """(ord, step, kind, check, file, line, payload) of a run as the events that a client gets, in the order of ord, step, file and
+    line: by check its findings, that it is complete, and how far the run has come; then the end. findings: check,
+    file, line, rule_id, severity; results: check, available."""
+    counts = findings.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    done = results.join(counts, "check", "left").select("check", "available", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = done.withColumn("ord", F.row_number().over(Window.orderBy("check")))  # as many rows as there are checks
+    total = results.agg(F.count(F.lit(1)).alias("total"))  # one row
+    nowhere = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")]
+    found = findings.join(ranked.select("check", "ord"), "check").select("ord", F.lit(0).alias("step"), F.lit("finding").alias("kind"), "check", "file", F.col("line").cast("int").alias("line"), F.to_json(F.struct("file", "line", "rule_id", "severity")).alias("payload"))
+    complete = ranked.select("ord", F.lit(1).alias("step"), F.lit("rule_complete").alias("kind"), "check", *nowhere, F.to_json(F.struct(F.col("n").alias("findings"), "available")).alias("payload"))
+    progress = ranked.crossJoin(total).select("ord", F.lit(2).alias("step"), F.lit("progress").alias("kind"), "check", *nowhere, F.to_json(F.struct(F.col("ord").alias("completed"), "total")).alias("payload"))
+    end = done.agg(F.count(F.lit(1)).alias("checks"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings")).select((F.col("checks") + 1).cast("int").alias("ord"), F.lit(3).alias("step"), F.lit("end").alias("kind"), F.lit(None).cast("string").alias("check"), *nowhere, F.to_json(F.struct("checks", "findings")).alias("payload"))
+    return found.unionByName(complete).unionByName(progress).unionByName(end)
+
+
+#: Events that a client may have been sent without having taken them.
+CAPACITY = 100
+
+
+def deliver(events: DataFrame, send: Callable[[list], None], capacity: int = CAPACITY) -> dict[str, int]:
+    """Send ordered_events to a client in their order, capacity at most at a time: the next ones are fetched when send has
+    come back. Partitions come to the driver one by one. Gives counts by kind."""
+    counts, held = Counter(), []
+
+    def flush() -> None:
+        if held:
+            send(list(held))
+            counts.update(r["kind"] for r in held)
+            held.clear()
+
+    for row in events.orderBy("ord", "step", "file", "line", "payload").toLocalIterator():
+        held.append(row)
+        if len(held) == capacity:
+            flush()
+    flush()
+    return dict(counts)
+
+
 def write_events(events: DataFrame, path: str, checkpoint: str):
     """Append a stream of events as JSON lines."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

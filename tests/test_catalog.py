@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillwork.plans import catalog, catalog_extras, catalog_fixes, catalog_flows, catalog_grammar, catalog_more, catalog_sources  # noqa: F401
+from quillwork.plans import catalog, catalog_extras, catalog_fixes, catalog_flows, catalog_grammar, catalog_more, catalog_reports, catalog_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

@@ -53,3 +53,16 @@ def test_state_over_triggers_and_a_restart(spark, tmp_path):
     want = sorted(map(tuple, watch.changes(merged, ["name"], ["cycle"]).collect()))
     assert sorted(found) == want and want
     assert sorted(map(tuple, watch.stateful_changes(merged, ["name"], ["cycle"]).collect())) == want
+
+
+def test_events_are_delivered_in_order_and_bounded(spark):
+    findings = spark.createDataFrame([(f"c{n % 2}", f"f{n:03d}", n, "R", "low") for n in range(250)], "check string, file string, line int, rule_id string, severity string").repartition(5)
+    results = spark.createDataFrame([("c1", True), ("c0", True), ("c2", False)], "check string, available boolean")
+    sizes, got = [], []
+    counts = watch.deliver(watch.ordered_events(findings, results), lambda part: (sizes.append(len(part)), got.extend((r.check, r.kind, r.file) for r in part)))
+    assert max(sizes) == watch.CAPACITY and sizes[:-1] == [watch.CAPACITY] * (len(sizes) - 1)
+    want = []
+    for check in ("c0", "c1", "c2"):
+        want += [(check, "finding", f"f{n:03d}") for n in range(250) if f"c{n % 2}" == check] + [(check, "rule_complete", None), (check, "progress", None)]
+    assert got == [*want, (None, "end", None)]
+    assert counts == {"finding": 250, "rule_complete": 3, "progress": 3, "end": 1}
