@@ -34,13 +34,13 @@ EXTENSIONS = ("rs", "py", "js", "go", "java", "md")
 
 
 def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Whole text files below root, or root itself, as (path, content, ext, lang) sorted by path: skipped folders
+    """Whole text files below root, or root itself, as (path, content, ext, lang), in no order: skipped folders
     are pruned below root only, and extensions are matched before a file is read."""
     reader = spark.read.option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
     raw = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return with_language(without(prune(raw, root), excluded)).orderBy("path")
+    return with_language(without(prune(raw, root), excluded))
 
 
 def prune(files: DataFrame, root: str = "") -> DataFrame:
