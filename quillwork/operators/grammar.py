@@ -12,6 +12,7 @@ the heads. Only what counts there is told apart; code that doesn't balance ends
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Words that count as a branch, by language. Case labels, arms, closures and conditional
@@ -79,6 +80,8 @@ class Function:
     line: int
     end_line: int = 0
     branches: int = 0
+    begin: int = 0  # tokens that the body stands between
+    end: int = 0
 
 
 @dataclass(slots=True)
@@ -192,7 +195,9 @@ class Walk:
         self.found.append(f)
         if body is not None:
             self.opening[body] = Scope("function", f)
+            f.begin, f.end = body + 1, self.t[body].twin
         else:
+            f.begin, f.end = first + 1, last + 1
             f.end_line = self.t[min(last, len(self.t) - 1)].end_line
             if last > first:
                 self.open.append(f)
@@ -568,6 +573,46 @@ def ruby(source: str) -> list[Function]:
     return found
 
 
+# Control-flow tokens that a function's shape is compared by, with the words that make them.
+SHAPE_WORDS = {
+    "if": "IF", "guard": "IF", "unless": "IF", "else": "ELSE", "elif": "ELSE", "elseif": "ELSE", "while": "WHILE", "for": "FOR", "foreach": "FOR", "loop": "LOOP", "repeat": "LOOP", "match": "MATCH", "switch": "MATCH",
+    "when": "MATCH", "select": "MATCH", "case": "ARM", "default": "ARM", "let": "LET", "var": "LET", "const": "LET", "val": "LET", "return": "RET", "try": "TRY", "catch": "TRY", "finally": "TRY",
+}
+_DEEPEST = 20
+
+
+def shapes(source: str, lang: str) -> list[tuple[str, int, list[str]]]:
+    """(name, line, control-flow tokens) of each function with a body, down to a bounded depth of brackets."""
+    walk = Walk(source, lang)
+    found = [f for f in walk.run() if f.end > f.begin or f.begin and walk.at(f.begin - 1) == "{"]
+    return [(f.name, f.line, list(_shape(walk, f))) for f in found]
+
+
+def _shape(walk: Walk, f: Function) -> Iterator[str]:
+    depth, lang = 0, walk.lang
+    for i in range(f.begin, f.end):
+        text = walk.at(i)
+        depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(text, 0)
+        if depth > _DEEPEST or not text:
+            continue
+        before = walk.at(i - 1)
+        if walk.is_word(i):
+            if text in SHAPE_WORDS and before not in (".", "?.", "->", "::"):
+                yield SHAPE_WORDS[text]
+            elif walk.at(i + 1) == "(" and text not in NOT_NAMES:
+                yield "CALL"
+        elif text == "{":
+            yield "BLOCK"
+        elif text == ":=":
+            yield "LET"
+        elif text == "=>":
+            yield "ARM" if lang in ("rust", "php") else "LAMBDA"
+        elif text == "->" and lang in ("kotlin", "java"):
+            yield "ARM" if lang == "kotlin" or walk.of_case(i) else "LAMBDA"
+        elif text in ("|", "||") and lang == "rust" and (before in ("(", ",", "=", "{", ";", "return", "move", "[")):
+            yield "LAMBDA"
+
+
 def functions(source: str, lang: str) -> list[tuple[str, int, int, int]]:
     """(name, line, end line, complexity) of each function, in the order of their heads."""
     found = ruby(source) if lang == "ruby" else Walk(source, lang).run()

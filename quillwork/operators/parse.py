@@ -18,14 +18,6 @@ from . import grammar
 
 SCHEMA = "path string, name string, line int, end_line int, complexity int, lang string, parse_error boolean"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.ExceptHandler, ast.Lambda)
-# Heads of the languages whose shapes are read from blanked text.
-_HEADS = {
-    "rust": re.compile(r"\bfn\s+(\w+)[^;{]*\{"),
-    "go": re.compile(r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^{]*\{"),
-    "javascript": re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*\{"),
-    "java": re.compile(r"\b[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*(?:throws [\w, ]+)?\{"),
-    "typescript": re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)[^{;]*\{"),
-}
 _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|`[^`]*`', re.S)
 
 
@@ -64,12 +56,7 @@ def functions(files: DataFrame) -> DataFrame:
     return known.mapInArrow(run, SCHEMA)
 
 
-# Control-flow tokens that a function's shape is compared by, with the words that make them.
-_WORDS = {
-    "if": "IF", "else": "ELSE", "elif": "ELSE", "while": "WHILE", "for": "FOR", "loop": "LOOP", "match": "MATCH", "switch": "MATCH", "case": "ARM", "default": "ARM",
-    "let": "LET", "var": "LET", "const": "LET", "return": "RET", "try": "TRY", "catch": "TRY", "finally": "TRY",
-}
-_SHAPE = re.compile(r"\b(" + "|".join(_WORDS) + r")\b|(=>)|(:=)|(\|[^|\n]*\|)|(\w+\s*\()|(\{)")
+# Nodes of Python and the control-flow tokens that a function's shape is compared by.
 _NODES = (
     (ast.If, "IF"), (ast.While, "WHILE"), ((ast.For, ast.AsyncFor), "FOR"), (ast.Match, "MATCH"), (ast.match_case, "ARM"), ((ast.Assign, ast.AnnAssign, ast.AugAssign), "LET"),
     (ast.Return, "RET"), (ast.Call, "CALL"), (ast.Lambda, "LAMBDA"), ((ast.Try, ast.ExceptHandler), "TRY"),
@@ -89,18 +76,6 @@ def python_shape(source: str) -> list[tuple[str, int, list[str]]]:
     return [(n.name, n.lineno, list(walk(n, 0))) for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
 
 
-def brace_shape(source: str, lang: str) -> list[tuple[str, int, list[str]]]:
-    plain = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    found = []
-    for head in _HEADS[lang].finditer(plain):
-        tokens = []
-        for m in _SHAPE.finditer(plain[head.end() : _closing(plain, head.end())]):
-            word, arm, short, closure, call, _ = m.groups()
-            tokens.append(_WORDS[word] if word else "ARM" if arm else "LET" if short else "LAMBDA" if closure else "CALL" if call else "BLOCK")
-        found.append((head[1], plain.count("\n", 0, head.start()) + 1, tokens))
-    return found
-
-
 def _closing(plain: str, at: int) -> int:
     """Where the bracket that is open at a place closes."""
     depth = 1
@@ -131,13 +106,13 @@ def _parsed(files: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(path, name, line, tokens array<string>): the control flow of each function of files (path, content, lang)."""
+    """(path, name, line, tokens array<string>): the control flow of each function of files (path, content, lang); not of Ruby."""
 
     def rows(path, content, lang):
-        found = python_shape(content or "") if lang == "python" else brace_shape(content or "", lang)
+        found = python_shape(content or "") if lang == "python" else grammar.shapes(content or "", "typescript" if lang == "tsx" else lang)
         return [(path, *f) for f in found]
 
-    known = files.filter(F.col("lang").isin("python", *_HEADS)).select("path", "content", "lang")
+    known = files.filter(F.col("lang").isin("python", "tsx", *(n for n in grammar.LANGUAGES if n != "ruby"))).select("path", "content", "lang")
     return _parsed(known, "path string, name string, line int, tokens array<string>", rows)
 
 

@@ -233,7 +233,7 @@ def duplicate_functions(spark, sf_dir):
     return graphs.duplicate_groups(numbered.select("ord", "tokens"), min_tokens=2).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("struct_cohesion")
+@register("struct_cohesion", "SELECT 3 AS methods, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS components, count(*) AS n FROM part GROUP BY 1, 2")
 def struct_cohesion(spark, sf_dir):
     p = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("pub struct S"), p, F.lit(" {\n    pub a: u32,\n    b: u32,\n}\n\nimpl S"), p, F.lit(" {\n    fn one(&self) -> u32 { self.a }\n    pub fn two(&self) -> u32 { self."), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b"), F.lit(" }\n    fn three(&self) {}\n}\n"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import imports, metrics, parse, scans, surface
+from ..operators import graphs, imports, metrics, parse, scans, surface
 from ..sources import corpus
 from .catalog import LINES, errors_of, read, register, text
 from .catalog_flows import HEAD as FLOW_HEAD
@@ -249,3 +249,40 @@ def coupled_modules(spark, sf_dir):
     UNION ALL VALUES (0, 0, 'digraph coupling {{'), (0, 1, '  rankdir=LR;'), (0, 2, '  node [shape=box, style=filled, fillcolor=lightblue];'), (0, 3, ''), (2, 0, ''), (2, 1, '}}')""")
 def import_dot_graph(spark, sf_dir):
     return imports.dot_graph(imports.module_graph(corpus.lines(tree(spark, sf_dir))))
+
+
+# --- shapes ---------------------------------------------------------------------------------------
+
+#: By extension: the head of a function, and statements with the tokens that each one gives, put down by hand.
+SHAPES = {
+    "rs": ("fn f() {", (("if a { }", "IF BLOCK"), ("while b { }", "WHILE BLOCK"), ("let c = 1;", "LET"), ("d(1);", "CALL"), ("return;", "RET"), ("loop { }", "LOOP BLOCK"), ("for e in f { }", "FOR BLOCK"), ("match g { h => 1 }", "MATCH BLOCK ARM"))),
+    "js": ("function f() {", (("if (a) { }", "IF BLOCK"), ("while (b) { }", "WHILE BLOCK"), ("let c = 1;", "LET"), ("d(1);", "CALL"), ("return;", "RET"), ("try { } catch (e) { }", "TRY BLOCK TRY BLOCK"), ("for (;;) { }", "FOR BLOCK"), ("x = 'if (y)';", ""))),
+    "go": ("func f() {", (("if a { }", "IF BLOCK"), ("for b { }", "FOR BLOCK"), ("c := 1", "LET"), ("d(1)", "CALL"), ("return", "RET"), ("switch e { case 1: }", "MATCH BLOCK ARM"), ("if g { } else { }", "IF BLOCK ELSE BLOCK"), ("// for", ""))),
+    "java": ("class T { void f() {", (("if (a) { }", "IF BLOCK"), ("while (b) { }", "WHILE BLOCK"), ("var c = 1;", "LET"), ("d(1);", "CALL"), ("return;", "RET"), ("x.map(y -> 1);", "CALL LAMBDA"), ("for (;;) { }", "FOR BLOCK"), ("if (g) { } else { }", "IF BLOCK ELSE BLOCK"))),
+}
+SHAPED = tuple(SHAPES)
+PARTS = 8
+TOKEN_LISTS = "[" + ", ".join("[" + ", ".join("[" + ", ".join(f"'{t}'" for t in tokens.split()) + "]::VARCHAR[]" for _, tokens in statements) + "]" for _, statements in SHAPES.values()) + "]"
+
+
+def shape_tree(spark, sf_dir):
+    k = F.col("p_partkey")
+    kind = (k % len(SHAPED)).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), kind + 1)
+    bits = F.floor(k / len(SHAPED)) % 255 + 1
+    lines = [F.when(bits.bitwiseAND(1 << n) > 0, pick([statements[n][0] for _, statements in SHAPES.values()])) for n in range(PARTS)]
+    body = F.concat_ws("\n", pick([head for head, _ in SHAPES.values()]), *lines, F.when(kind == SHAPED.index("java"), "} }").otherwise("}"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("d/"), k.cast("string"), F.lit("."), pick(SHAPED)).alias("path"), body.alias("content"))
+
+
+ALIKE = "list_filter(g.seeds, lambda x: len(list_intersect(x.s, o.s)) / len(list_distinct(x.s || o.s)) >= 0.7)"
+
+
+@register("duplicate_shapes", f"""WITH RECURSIVE k AS (SELECT p_partkey AS ord, flatten([CASE WHEN ((p_partkey // {len(SHAPED)}) % 255 + 1) & (1 << n) > 0 THEN ({TOKEN_LISTS})[1 + p_partkey % {len(SHAPED)}][n + 1] ELSE [] END FOR n IN range({PARTS})]) AS t FROM part),
+    f AS (SELECT ord, list_sort(list_distinct(t)) AS s FROM k WHERE len(t) >= 5), d AS (SELECT s, min(ord) AS first FROM f GROUP BY s), o AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM d),
+    g AS (SELECT 0::BIGINT AS n, []::STRUCT(seed BIGINT, s VARCHAR[])[] AS seeds, NULL::VARCHAR[] AS s, NULL::BIGINT AS grp
+      UNION ALL SELECT o.n, CASE WHEN len({ALIKE}) > 0 THEN g.seeds ELSE list_append(g.seeds, {{'seed': o.first, 's': o.s}}) END, o.s, coalesce({ALIKE}[1].seed, o.first) FROM g JOIN o ON o.n = g.n + 1)
+    SELECT f.ord, g.grp AS "group" FROM f JOIN g ON g.s = f.s""")
+def duplicate_shapes(spark, sf_dir):
+    prints = parse.fingerprints(corpus.with_language(shape_tree(spark, sf_dir)))
+    return graphs.duplicate_groups(prints.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("ord"), "tokens"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as T
-from quillwork.operators import checks, flows, graphs, halstead, imports, metrics, parse, scans, secret_rules, surface
+from quillwork.operators import checks, flows, grammar, graphs, halstead, imports, metrics, parse, scans, secret_rules, surface
 from quillwork.sources import corpus, history, line_state, packages, reports
 from quillwork.streaming import watch
 
@@ -244,7 +244,7 @@ def test_truncation(spark):
 
 def test_parsed_shapes(spark):
     assert parse.python_shape("def f(x):\n    if x:\n        return g(x)\n    y = lambda: 1\n") == [("f", 1, ["IF", "RET", "CALL", "LET", "LAMBDA"])]
-    assert parse.brace_shape("fn f() { if a { return g(1); } else { let b = 2; } }", "rust") == [("f", 1, ["IF", "BLOCK", "RET", "CALL", "ELSE", "BLOCK", "LET"])]
+    assert grammar.shapes("fn f() { if a { return g(1); } else { let b = 2; } }", "rust") == [("f", 1, ["IF", "BLOCK", "RET", "CALL", "ELSE", "BLOCK", "LET"])]
     source = "pub struct S<T> {\n    pub a: u32,\n    b: T, // c: d\n}\nimpl<T> S<T> {\n    fn one(&self) { self.a }\n    pub fn two(&self) { self.b; self.a }\n    fn three() {}\n}\nstruct Alone { x: u8 }\n"
     assert parse.rust_structs(source) == [("S", "one", "a"), ("S", "two", "a"), ("S", "two", "b"), ("S", "three", None)]
     got = graphs.lcom4(parse.struct_methods(one(spark, "s.rs", source))).collect()
