@@ -47,15 +47,6 @@ def outdated(packages: DataFrame) -> DataFrame:
     return packages.filter(major("latest") > major("version"))
 
 
-def supply_chain(packages: DataFrame) -> DataFrame:
-    """(path, name, issue) of locked packages: a source without a checksum, or a version that isn't pinned."""
-    issues = F.array_compact(F.array(
-        F.when(F.col("source").isNotNull() & F.col("checksum").isNull(), "missing_checksum"),
-        F.when(F.col("version").isNull() | F.col("version").rlike(r"[*^~<>]"), "unpinned"),
-    ))
-    return packages.select("path", "name", F.explode(issues).alias("issue"))
-
-
 def lost_tools(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
     """(..., tool) of tools that succeeded in the baseline and don't now."""
     return baseline.select(*by, "tool").distinct().join(current.select(*by, "tool").distinct(), [*by, "tool"], "left_anti")

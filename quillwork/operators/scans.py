@@ -175,28 +175,33 @@ def secret_assignments(lines: DataFrame) -> DataFrame:
 ERROR_EXTENSIONS = ("rs", "go", "py", "js", "ts", "tsx")
 
 
+#: Findings that aren't patterns of Rust, in the order of their numbers.
+OTHER_ERRORS = (
+    ("discard", "low"), ("bare_except", "high"), ("empty_catch", "medium"), ("empty_catch", "high"), ("discard", "medium"), ("empty_error_handler", "high"),
+)
+
+
 def error_handling(lines: DataFrame, include_tests: bool = False) -> DataFrame:
     """Patterns by language, in one pass; what follows a test module in a file is skipped unless it is asked for, and so
-    are comments. A Rust line gives its first pattern, and a discarded value besides. Empty handlers show on the line
-    after, which the last line of a file has as empty."""
+    are comments. A Rust line gives its first pattern, and a discarded value besides; a line of another language gives one
+    finding at most. Empty handlers show on the line after, which the last line of a file has as empty."""
     t, text, after, ext = F.col("trimmed"), F.col("text"), F.col("after"), F.col("ext")
-    seen = knowing(lines.withColumn("ext", extension(F.col("path"))).filter(ext.isin(*ERROR_EXTENSIONS)), "after")
-    script, finding = ext.isin("js", "ts", "tsx"), lambda name, severity: F.struct(F.lit(name).alias("rule_id"), F.lit("error_handling").alias("category"), F.lit(severity).alias("severity"))
-    first = F
-    for r in tables.ERRORS:
-        first = first.when((ext == "rs") & text.contains(r.pattern), finding(r.id, r.severity))
-    kinds = (
-        ("discard", "low", (ext == "rs") & t.startswith("let _ =")),
-        ("bare_except", "high", (ext == "py") & t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", "")),
-        ("empty_catch", "medium", script & t.contains(".catch(") & (t.contains("{}") | t.endswith(".catch()"))),
-        ("empty_catch", "high", script & (t == "} catch (e) {") & (after == "}")),
-        ("discard", "medium", (ext == "go") & (t.startswith("_ =") | t.startswith("_, _ ="))),
-        ("empty_error_handler", "high", (ext == "go") & t.startswith("if err != nil {") & (after == "}")),
-    )
-    each = F.array_compact(F.array(first, *[F.when(when, finding(name, severity)) for name, severity, when in kinds]))
-    hit = F.when(~t.startswith("//") & ~t.startswith("#"), each)
-    hits = before_tests(seen.withColumn("hit", F.when(F.size(hit) > 0, hit)), F.lit(False) if include_tests else t.contains("#[cfg(test)]") | t.contains("mod tests"), [])
-    return hits.select(F.col("path").alias("file"), "line", F.explode("hit").alias("h")).select("file", "line", "h.*")
+    rules = [*tables.ERRORS, *(Rule(name, "error_handling", "high", severity, "", "") for name, severity in OTHER_ERRORS)]
+    discard, bare, swallowed, empty, dropped, unhandled = range(len(tables.ERRORS), len(rules))
+    if "ext" not in lines.columns:  # by a generator, so that later expressions don't match the path again
+        lines = lines.select("*", F.explode(F.array(extension(F.col("path")))).alias("ext"))
+    seen = knowing(lines.filter(ext.isin(*ERROR_EXTENSIONS)), "after")
+    script = F.when(t.contains(".catch(") & (t.contains("{}") | t.endswith(".catch()")), swallowed).when((t == "} catch (e) {") & (after == "}"), empty)
+    go = F.when(t.startswith("_ =") | t.startswith("_, _ ="), dropped).when(t.startswith("if err != nil {") & (after == "}"), unhandled)
+    python = F.when(t.isin("except:", "except Exception:", "except Exception as e:") & after.isin("pass", ""), bare)
+    live = ~t.startswith("//") & ~t.startswith("#")
+    rule = F.when(ext == "rs", first_match(text, tables.ERRORS)).when(ext == "py", python).when(ext == "go", go).otherwise(script)
+    # what a line gives is one number: its rule, and above all rules a discarded value besides
+    both, n = (ext == "rs") & t.startswith("let _ ="), len(rules)
+    hit = F.when(live, F.when(both, F.coalesce(rule + 1, F.lit(0)) + n).otherwise(rule))
+    hits = before_tests(seen.withColumn("hit", hit), F.lit(False) if include_tests else t.contains("#[cfg(test)]") | t.contains("mod tests"), [])
+    each = F.when(F.col("hit") < n, F.array("hit")).when(F.col("hit") == n, F.array(F.lit(discard))).otherwise(F.array(F.col("hit") - n - 1, F.lit(discard)))
+    return described(hits.select("path", "line", F.explode(each).alias("rule")), rules)
 
 
 def debt_markers(lines: DataFrame) -> DataFrame:

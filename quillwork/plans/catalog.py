@@ -156,7 +156,7 @@ def errors_of(head: str) -> str:
 
 @register("error_handling", errors_of(CODE))
 def error_handling(spark, sf_dir):
-    return scans.error_handling(code_lines(spark, sf_dir, "after"))
+    return scans.error_handling(code_lines(spark, sf_dir, "after", "ext"))
 
 
 @register("debt_markers", f"{CODE} SELECT path AS file, line, marker FROM lines, (SELECT unnest({list(rule_tables.DEBT_CHECK)!r}) AS marker) WHERE regexp_matches(trimmed, '^(//|/\\*|\\*)') AND contains(text, marker)")

@@ -37,15 +37,6 @@ def dot_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('  "%s" -> "%s";', "src", "dst").alias("value")).distinct()
 
 
-def spdx_packages(packages: DataFrame) -> DataFrame:
-    return packages.select(F.concat(F.lit("PackageName: "), "name", F.lit("\nPackageVersion: "), "version", F.lit("\nExternalRef: PACKAGE-MANAGER purl "), "purl", F.lit("\n")).alias("value"))
-
-
-def cyclonedx_components(packages: DataFrame) -> DataFrame:
-    tag = lambda name: F.concat(F.lit(f"<{name}>"), xml_escaped(F.col(name)), F.lit(f"</{name}>"))
-    return packages.select(F.concat(F.lit('<component type="library">'), tag("name"), tag("version"), tag("purl"), F.lit("</component>")).alias("value"))
-
-
 def markdown_rows(rollup: DataFrame) -> DataFrame:
     return rollup.select(F.format_string("| %s | %d | %d |", "file", "n_findings", "score").alias("value"))
 
@@ -59,7 +50,9 @@ SIGNED = ("timestamp", "actor", "command", "scope", "findings_count")
 
 
 def signed(rows: DataFrame, key: bytes, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Audit rows with the HMAC-SHA256 of some of their values joined by bars: those of SIGNED, if they are there."""
+    """Audit rows with the HMAC-SHA256 of some of their values joined by bars: those of SIGNED, if they are there.
+    The key goes to workers within the function, so that no plan and no event log shows it."""
+
     @F.pandas_udf("string")
     def sign(text: pd.Series) -> pd.Series:
         return text.map(lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
