@@ -184,17 +184,17 @@ def overlapping(hunks: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions (file, name, line, end_line) that a changed range (file, start_line, end_line) touches; a function's
     path ends in a range's, and may have more in front of it."""
     pairs = ranges.ending(functions, hunks.select(F.col("file").alias("end")))
-    changed = hunks.withColumnRenamed("file", "end").join(pairs, "end").select("file", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
-    named = functions.join(pairs.select("file").distinct(), "file", "left_semi").select("file", "name", F.col("line").alias("first"), F.col("end_line").alias("last"))
+    changed = ranges.dealt(hunks.withColumnRenamed("file", "end")).join(pairs, "end").select("file", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    named = ranges.dealt(functions).join(pairs.select("file").distinct(), "file", "left_semi").select("file", "name", F.col("line").alias("first"), F.col("end_line").alias("last"))
     return ranges.overlapping(named, changed.distinct()).select("file", "name").distinct()
 
 
 def lines_within(rows: DataFrame, functions: DataFrame, affected: DataFrame) -> DataFrame:
     """The rows (file, line, ...) that lie in a function (file, name, line, end_line) that is affected (file, name)."""
-    spans = functions.join(affected.select("file", "name").distinct(), ["file", "name"], "left_semi").select("file", F.col("line").alias("first"), F.col("end_line").alias("last"))
+    spans = ranges.dealt(functions).join(affected.select("file", "name").distinct(), ["file", "name"], "left_semi").select("file", F.col("line").alias("first"), F.col("end_line").alias("last"))
     near = spans.distinct().withColumn("bucket", ranges.buckets(F.col("first"), F.col("last")))
     within = (F.col("r.file") == F.col("n.file")) & (F.floor(F.col("r.line") / ranges.LINES) == F.col("bucket")) & F.col("r.line").between(F.col("first"), F.col("last"))
-    return rows.alias("r").join(near.alias("n"), within, "left_semi")
+    return ranges.dealt(rows.alias("r")).join(near.alias("n"), within, "left_semi")
 
 
 def reduction(functions: DataFrame, affected: DataFrame) -> DataFrame:
