@@ -31,9 +31,9 @@ def call_edges(lines: DataFrame, functions: DataFrame) -> DataFrame:
     endings = F.flatten(F.transform(called, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.right(w, n))))
     beginnings = F.flatten(F.transform(borrowed, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.left(w, n))))
     words = live.select(F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.concat(endings, beginnings))).alias("callee"))
-    named = words.join(functions.select("file", F.col("name").alias("callee")).distinct(), ["file", "callee"])
+    named = ranges.dealt(words).join(functions.select("file", F.col("name").alias("callee")).distinct(), ["file", "callee"])
     spans = functions.select("file", F.col("name").alias("caller"), F.col("line").alias("first"), F.col("end_line").alias("last")).withColumn("bucket", ranges.buckets(F.col("first"), F.col("last")))
-    within = named.withColumn("bucket", F.floor(F.col("line") / ranges.LINES)).join(spans, ["file", "bucket"]).filter(F.col("line").between(F.col("first"), F.col("last")))
+    within = ranges.dealt(named.withColumn("bucket", F.floor(F.col("line") / ranges.LINES))).join(spans, ["file", "bucket"]).filter(F.col("line").between(F.col("first"), F.col("last")))
     return within.filter("caller <> callee").select("file", "caller", "callee").distinct()
 
 

@@ -1,6 +1,6 @@
 """What a join or a task holds doesn't grow beyond its share: exploded rows are many times what Spark estimates."""
 
-from quillwork.operators import metrics
+from quillwork.operators import graphs, metrics
 
 
 def plan_of(df):
@@ -24,3 +24,12 @@ def test_changed_functions_are_not_broadcast(spark, tmp_path):
     within = metrics.lines_within(k.selectExpr("concat('src/s', id, '.rs') as file", "id as line"), functions, touched)
     assert "BroadcastHashJoin" not in plan_of(touched) and "BroadcastHashJoin" not in plan_of(within)
     assert touched.count() == sum(a <= n * 25 + 20 and a + 10 >= n * 25 for a in range(100) for n in range(10))
+
+
+def test_call_edges_are_not_broadcast(spark, tmp_path):
+    k = keys(spark, tmp_path)
+    functions = k.selectExpr("concat('k', id, '.rs') as file", "explode(array(struct('aa' as name, 1 as line, 2 as end_line), struct('b' as name, 3 as line, 4 as end_line))) as f").select("file", "f.*")
+    lines = k.selectExpr("concat('k', id, '.rs') as path", "explode(array(struct(2 as line, 'b(1)' as text), struct(4 as line, 'x' as text))) as l").selectExpr("path", "l.line", "l.text", "l.text as trimmed")
+    found = graphs.call_edges(lines, functions)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert {(r.caller, r.callee) for r in found.collect()} == {("aa", "b")} and found.count() == 100
