@@ -5,8 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, count
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -68,24 +67,19 @@ def _merged(parts: list[tuple[int, DataFrame]]) -> tuple[int, DataFrame]:
 
 def lcom4(fields: DataFrame) -> DataFrame:
     """(path, type, methods, components) of (path, type, method, field): methods that share a field, or
-    have none, by union-find within one type, which is small; types of one method are left out."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        root = {m: m for m in rows["method"]}
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for _, group in rows.dropna(subset=["field"]).groupby("field"):
-            first = find(group["method"].iloc[0])
-            for m in group["method"]:
-                root[find(m)] = first
-        out = pd.DataFrame({"path": [rows["path"].iloc[0]], "type": [rows["type"].iloc[0]], "methods": [len(root)], "components": [len({find(m) for m in root})]})
-        return out if len(root) > 1 else out.iloc[:0]
-
-    return fields.groupBy("path", "type").applyInPandas(run, "path string, type string, methods int, components int")
+    have none; types of one method are left out. A use of a field by a method is a set of the two, and within a type,
+    which is small, each set takes in those before it that it meets."""
+    method = F.coalesce(F.concat(F.lit("m"), "method"), F.lit(""))  # a set holds no null
+    pair = F.array_compact(F.array(method, F.concat(F.lit("f"), "field")))
+    uses = fields.groupBy("path", "type").agg(F.collect_set(pair).alias("uses"))
+
+    def take(done: Column, new: Column) -> Column:
+        meets = lambda s: F.arrays_overlap(s, new)
+        return F.concat(F.filter(done, lambda s: ~meets(s)), F.array(F.array_distinct(F.flatten(F.concat(F.filter(done, meets), F.array(new))))))
+
+    apart = F.aggregate("uses", F.array().cast("array<array<string>>"), take)
+    each = uses.withColumn("methods", F.size(F.array_distinct(F.transform("uses", lambda u: u[0])))).filter("methods > 1")
+    return each.select("path", "type", "methods", F.size(apart).alias("components"))
 
 
 # The control-flow tokens, a bit of a mask each.

@@ -33,3 +33,10 @@ def test_call_edges_are_not_broadcast(spark, tmp_path):
     found = graphs.call_edges(lines, functions)
     assert "BroadcastHashJoin" not in plan_of(found)
     assert {(r.caller, r.callee) for r in found.collect()} == {("aa", "b")} and found.count() == 100
+
+
+def test_cohesion_runs_no_python_per_type(spark):
+    rows = [("p", "T", "a", "x"), ("p", "T", "b", "x"), ("p", "T", "c", "y"), ("p", "T", "b", "y"), ("p", "T", "d", None), ("p", "T", "d", None), ("p", "T", None, "z"), ("p", "One", "a", "x"), (None, "T", "a", None), (None, "T", "b", None)]
+    found = graphs.lcom4(spark.createDataFrame(rows, "path string, type string, method string, field string"))
+    assert "Pandas" not in plan_of(found)
+    assert {tuple(r) for r in found.collect()} == {("p", "T", 5, 3), (None, "T", 2, 2)}
