@@ -90,6 +90,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that trees are made of, a file each."""
+    return corpus.spread(read(spark, sf_dir, "part"))
+
+
 # --- sources and scanners -----------------------------------------------------------------------
 
 ACCESS = f"{cases(scans.LITERAL_ACCESS)} FROM live WHERE {ACCESS_LIVE}"

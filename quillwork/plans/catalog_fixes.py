@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fixes
 from ..sources import corpus
-from .catalog import LINES, read, register, text
+from .catalog import LINES, parts, register, text
 
 #: Lines, and the patches (ord, rule, confidence, new text, whether the line above decides) that each one gives.
 EXPECTED = {
@@ -66,7 +66,7 @@ def fix_tree(spark, sf_dir):
     lines = F.transform(F.sequence(F.lit(0), F.lit(COUNT - 1)), lambda j: F.element_at(table, (F.pmod(p * (j * 3 + 1) + j * j, F.lit(STEP)) + 1).cast("int")))
     lines = F.concat(lines, F.when(p % 5 == 0, F.array(F.lit(UNSOUND))).otherwise(F.array().cast("array<string>")))
     name = F.concat(F.lit("fix/u"), p.cast("string"), F.lit("."), F.element_at(ext, (F.pmod(p, F.lit(len(EXTENSIONS))) + 1).cast("int")))
-    return read(spark, sf_dir, "part").select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
+    return parts(spark, sf_dir).select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
 
 
 def found(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flows, imports, metrics, rule_tables, scans, secret_rules, surface
 from ..sources import corpus
-from .catalog import CODE_FILES, LINES, among, case, coupling, read, register, text
+from .catalog import CODE_FILES, LINES, among, case, coupling, parts, read, register, text
 
 #: A second synthetic tree, in five languages: what several lines of a file say together.
 FLOW_LINES = (
@@ -27,7 +27,7 @@ def tree(spark, sf_dir):
     table, ext = F.array(*[F.lit(t) for t in FLOW_LINES]), F.array(*[F.lit(e) for e in FLOW_EXTENSIONS])
     content = F.transform(F.sequence(F.lit(0), F.lit(COUNT - 1)), lambda j: F.element_at(table, (F.pmod(p * (j * 2 + 1) + j * j, F.lit(STEP)) + 1).cast("int")))
     name = F.concat(F.when(p % 9 == 0, "fuzz/t_").otherwise("src/flow_"), p.cast("string"), F.lit("."), F.element_at(ext, (F.pmod(p, F.lit(len(FLOW_EXTENSIONS))) + 1).cast("int")))
-    return read(spark, sf_dir, "part").select(name.alias("path"), F.concat_ws("\n", content).alias("content"))
+    return parts(spark, sf_dir).select(name.alias("path"), F.concat_ws("\n", content).alias("content"))
 
 
 FILES = f"""files AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN 'fuzz/t_' ELSE 'src/flow_' END || p_partkey || '.' || ({list(FLOW_EXTENSIONS)!r})[1 + p_partkey % {len(FLOW_EXTENSIONS)}] AS path,
@@ -98,7 +98,7 @@ def secret_files(spark, sf_dir, extra=()):
     n = len(SECRET_LINES) + len(extra)
     content = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.element_at(table, (F.pmod(p * (j * 2 + 1) + j, F.lit(n)) + 1).cast("int")))
     ext = F.element_at(F.array(*[F.lit(e) for e in SECRET_EXTENSIONS]), (F.pmod(p, F.lit(3)) + 1).cast("int"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("app/k_"), p.cast("string"), F.lit("."), ext).alias("path"), F.concat_ws("\n", content).alias("content"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("app/k_"), p.cast("string"), F.lit("."), ext).alias("path"), F.concat_ws("\n", content).alias("content"))
 
 
 def secret_head(extra=()) -> str:

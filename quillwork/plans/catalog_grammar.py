@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, imports, metrics, parse, scans, surface
 from ..sources import corpus
-from .catalog import LINES, errors_of, read, register, text
+from .catalog import LINES, errors_of, parts, register, text
 from .catalog_flows import HEAD as FLOW_HEAD
 from .catalog_flows import tree
 
@@ -133,7 +133,7 @@ def source_tree(spark, sf_dir):
     kind = (k % len(KINDS)).cast("int")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), kind + 1)
     down = F.repeat(F.lit("\n"), (k % 4).cast("int"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), k.cast("string"), F.lit("."), pick(KINDS)).alias("path"), F.concat(down, F.replace(pick([s for s, _ in SAMPLES.values()]), F.lit("NN"), k.cast("string"))).alias("content"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("src/f"), k.cast("string"), F.lit("."), pick(KINDS)).alias("path"), F.concat(down, F.replace(pick([s for s, _ in SAMPLES.values()]), F.lit("NN"), k.cast("string"))).alias("content"))
 
 
 ROWS = ", ".join(f"({n}, '{ext}', {text(name)}, {line}, {end}, {c})" for n, (ext, (_, rows)) in enumerate(SAMPLES.items()) for name, line, end, c in rows)
@@ -170,7 +170,7 @@ def error_handling_languages(spark, sf_dir):
     table, ext = F.array(*map(F.lit, ERROR_LINES)), F.array(*map(F.lit, scans.ERROR_EXTENSIONS))
     lines = F.transform(F.sequence(F.lit(0), F.lit(ERROR_COUNT - 1)), lambda j: F.element_at(table, (F.pmod(F.floor(p / len(scans.ERROR_EXTENSIONS)) * (j + 1) + j * j, F.lit(ERROR_STEP)) + 1).cast("int")))
     name = F.concat(F.lit("e/u"), p.cast("string"), F.lit("."), F.element_at(ext, (F.pmod(p, F.lit(len(scans.ERROR_EXTENSIONS))) + 1).cast("int")))
-    files = read(spark, sf_dir, "part").select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
+    files = parts(spark, sf_dir).select(name.alias("path"), F.concat_ws("\n", lines).alias("content"))
     return scans.error_handling(corpus.lines(files, "after"))
 
 
@@ -197,7 +197,7 @@ def head_tree(spark, sf_dir):
     # after a comma the line may break, by the key
     parts = F.replace(pick(2), F.lit(","), F.when(k % 3 == 0, ", ").when(k % 3 == 1, ",\n    ").otherwise(",\n\n\t"))
     body = F.concat(F.lit("// head\n"), pick(1), F.when(k % 2 == 0, F.lit("\n    ")).otherwise(""), parts, F.when(k % 5 == 0, F.lit("\n")).otherwise(""), pick(3), F.lit("\n    body(string)\n}\n"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("h/u"), k.cast("string"), F.lit("."), pick(0)).alias("path"), body.alias("content"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("h/u"), k.cast("string"), F.lit("."), pick(0)).alias("path"), body.alias("content"))
 
 
 HEAD_ROWS = ", ".join(f"({n}, '{h[0]}', '{h[4]}', {h[5] or 'NULL'}, {'NULL' if h[6] is None else str(h[6]).lower()})" for n, h in enumerate(HEADS))
@@ -272,7 +272,7 @@ def shape_tree(spark, sf_dir):
     bits = F.floor(k / len(SHAPED)) % 255 + 1
     lines = [F.when(bits.bitwiseAND(1 << n) > 0, pick([statements[n][0] for _, statements in SHAPES.values()])) for n in range(PARTS)]
     body = F.concat_ws("\n", pick([head for head, _ in SHAPES.values()]), *lines, F.when(kind == SHAPED.index("java"), "} }").otherwise("}"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("d/"), k.cast("string"), F.lit("."), pick(SHAPED)).alias("path"), body.alias("content"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("d/"), k.cast("string"), F.lit("."), pick(SHAPED)).alias("path"), body.alias("content"))
 
 
 ALIKE = "list_filter(g.seeds, lambda x: len(list_intersect(x.s, o.s)) / len(list_distinct(x.s || o.s)) >= 0.7)"

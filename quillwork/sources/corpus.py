@@ -88,6 +88,18 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("ext", extension(F.col("path"))).withColumn("lang", F.coalesce(F.try_element_at(pairs, F.lower("ext")), F.lit("unknown")))
 
 
+#: Keys that one task makes files of, and the least that are worth a task of their own. A key takes a few bytes on disk
+#: and its file a thousand times as many, so that tasks dealt by bytes would be few, and each would hold most of the work.
+FILES, FEW_FILES = 10_000, 1_000
+
+
+def spread(keys: DataFrame) -> DataFrame:
+    """All keys, dealt evenly to as many tasks as the files made of them need. What counts them reads no column."""
+    n = keys.select().count()
+    wanted = max(-(-n // FILES), min(keys.sparkSession.sparkContext.defaultParallelism, -(-n // FEW_FILES)))
+    return keys.repartition(max(wanted, 1))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
@@ -101,7 +113,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(numbers, lambda j: F.element_at(table, (F.pmod(p * (j * 2 + 1) + j, F.lit(len(TEMPLATES))) + 1).cast("int")))
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.pmod(p, F.lit(len(EXTENSIONS))) + 1).cast("int"))
     kind = F.when(F.pmod(p, F.lit(7)) == 0, "tests/test_").otherwise("src/unit_")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
     return parts.select(F.concat(kind, p.cast("string"), F.lit("."), ext).alias("path"), F.concat_ws("\n", lines).alias("content"))
 
 

@@ -1,6 +1,7 @@
 """What a join or a task holds doesn't grow beyond its share: exploded rows are many times what Spark estimates."""
 
 from quillwork.operators import graphs, metrics
+from quillwork.sources import corpus
 
 
 def plan_of(df):
@@ -40,3 +41,9 @@ def test_cohesion_runs_no_python_per_type(spark):
     found = graphs.lcom4(spark.createDataFrame(rows, "path string, type string, method string, field string"))
     assert "Pandas" not in plan_of(found)
     assert {tuple(r) for r in found.collect()} == {("p", "T", 5, 3), (None, "T", 2, 2)}
+
+
+def test_keys_of_files_are_spread(spark):
+    dealt = corpus.spread(spark.range(0, 25_000, 1, 1)).rdd.glom().map(len).collect()
+    assert len(dealt) >= 3 and max(dealt) <= corpus.FILES and sum(dealt) == 25_000
+    assert corpus.spread(spark.range(0)).count() == 0
