@@ -98,7 +98,7 @@ def duplicate_groups(prints: DataFrame, least: float = 0.7, min_tokens: int = 5,
     kept = prints.filter(F.size("tokens") >= min_tokens)
     bit = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(t), F.lit(1 << i))])
     mask = F.aggregate(F.array_distinct("tokens"), F.lit(0), lambda a, t: a.bitwiseOR(F.coalesce(F.try_element_at(bit, t), F.raise_error(F.concat(F.lit("not a token: "), t)).cast("int"))))
-    masked = kept.select("ord", mask.alias("mask"))
+    masked = scratch.held(kept.select("ord", mask.alias("mask")))  # what makes the tokens runs once, not for each use
     masks = masked.groupBy("mask").agg(F.min("ord").alias("first"))
     most = int((1 - least) * len(names))
     turned = [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(len(names)), k)]

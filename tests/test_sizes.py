@@ -43,6 +43,13 @@ def test_cohesion_runs_no_python_per_type(spark):
     assert {tuple(r) for r in found.collect()} == {("p", "T", 5, 3), (None, "T", 2, 2)}
 
 
+def test_tokens_are_made_once_for_duplicates(spark):
+    prints = spark.createDataFrame([(1, ["IF"] * 5), (2, ["IF", "CALL", "IF", "IF", "IF"]), (3, ["FOR"] * 5), (4, ["IF"] * 4)], "ord long, tokens array<string>")
+    found = graphs.duplicate_groups(prints)
+    assert "ExistingRDD" not in plan_of(found) and "LocalTableScan" not in plan_of(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_keys_of_files_are_spread(spark):
     dealt = corpus.spread(spark.range(0, 25_000, 1, 1)).rdd.glom().map(len).collect()
     assert len(dealt) >= 3 and max(dealt) <= corpus.FILES and sum(dealt) == 25_000
