@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.line_state import once, trim
+from . import ranges
 
 RULES = ("errhandle", "deadcode", "debt", "secrets", "crypto", "doccov")
 # Debt markers, names and prefixes of secrets, words beside which a random number is sensitive, and heads
@@ -180,7 +181,7 @@ def scheduled(files: DataFrame, patches: DataFrame) -> DataFrame:
     ord, old_text, new_text): kept are those that are applied, from the first line on, result the text they give."""
     each = patches.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct((-F.col("line")).alias("up"), "ord", "line", _span(F.col("old_text")).alias("span"), "old_text", "new_text")).alias("patches"))
     pieces = F.split(F.coalesce("content", F.lit("")), "\r?\n")
-    joined = files.select("path", "content").join(each, "path", "left").select("path", "content", "patches", F.explode(F.array(F.when(F.col("patches").isNotNull(), pieces))).alias("ls"))
+    joined = ranges.dealt(files.select("path", "content")).join(each, "path", "left").select("path", "content", "patches", F.explode(F.array(F.when(F.col("patches").isNotNull(), pieces))).alias("ls"))
     joined = joined.withColumn("ls", F.when(F.element_at("ls", -1) == "", F.slice("ls", 1, F.size("ls") - 1)).otherwise(F.col("ls")))
     fits = F.filter(F.array_sort("patches"), lambda p: (p["line"] >= 1) & (F.array_join(F.slice("ls", F.greatest(p["line"], F.lit(1)), p["span"]), "\n") == p["old_text"]))
 

@@ -1,6 +1,6 @@
 """What a join or a task holds doesn't grow beyond its share: exploded rows are many times what Spark estimates."""
 
-from quillwork.operators import graphs, metrics
+from quillwork.operators import fixes, graphs, metrics
 from quillwork.sources import corpus
 
 
@@ -50,6 +50,15 @@ def test_tokens_are_made_once_for_duplicates(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_patches_are_not_broadcast(spark, tmp_path):
+    k = keys(spark, tmp_path)
+    files = k.selectExpr("concat('f', id, '.rs') as path", "'a\nb' as content")
+    patches = k.selectExpr("concat('f', id, '.rs') as file", "2 as line", "0 as ord", "'b' as old_text", "'c' as new_text")
+    done = fixes.applied(files, patches)
+    assert "BroadcastHashJoin" not in plan_of(done)
+    assert {(r.content, r.n_applied) for r in done.collect()} == {("a\nc", 1)} and done.count() == 100
+
+
 def test_keys_of_files_are_spread(spark):
     dealt = corpus.spread(spark.range(0, 25_000, 1, 1)).rdd.glom().map(len).collect()
     assert len(dealt) >= 3 and max(dealt) <= corpus.FILES and sum(dealt) == 25_000
