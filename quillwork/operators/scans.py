@@ -144,7 +144,8 @@ def has_inline_auth(text: Column) -> Column:
             plain = F.regexp_replace(plain, r"\([^()]*\)", "")
         # a bracket that nothing closes hides what follows it
         own = F.regexp_replace(F.regexp_extract(plain, r"^([^)]*)", 1), r"\(.*$", "")
-        hit = hit | (F.length(own) - F.length(F.replace(own, F.lit(","), F.lit(""))) >= 2)
+        # most lines hold no method, and what follows one is worked out once
+        hit = hit | (low.contains(method) & (F.regexp_count(own, F.lit(",")) >= 2))
     return hit
 
 

@@ -63,3 +63,14 @@ def test_keys_of_files_are_spread(spark):
     dealt = corpus.spread(spark.range(0, 25_000, 1, 1)).rdd.glom().map(len).collect()
     assert len(dealt) >= 3 and max(dealt) <= corpus.FILES and sum(dealt) == 25_000
     assert corpus.spread(spark.range(0)).count() == 0
+
+
+def test_inline_auth_asks_for_the_method_first(spark):
+    from pyspark.sql import functions as F
+
+    from quillwork.operators import scans
+
+    rows = [("router.get('/b', auth, handler)", True), ("app.get('/a', handler)", False), ("f(a, b, c)", False), ("router.get(f(a, b), g('x, y', 2), h)", True), ("r.GET('/d', f(1, 2, 3))", False), ("@UseGuards(x)", True)]
+    found = spark.createDataFrame(rows, "text string, want boolean").select("want", scans.has_inline_auth(F.col("text")).alias("got"))
+    assert plan_of(found).lower().count("contains(lower(text") >= len(scans.tables.ROUTE_METHODS)
+    assert [r.got for r in found.collect()] == [r.want for r in found.collect()]
