@@ -195,8 +195,8 @@ def head_tree(spark, sf_dir):
     kind = (k % len(HEADS)).cast("int")
     pick = lambda n: F.element_at(F.array(*[F.lit(h[n]) for h in HEADS]), kind + 1)
     # after a comma the line may break, by the key
-    parts = F.replace(pick(2), F.lit(","), F.when(k % 3 == 0, ", ").when(k % 3 == 1, ",\n    ").otherwise(",\n\n\t"))
-    body = F.concat(F.lit("// head\n"), pick(1), F.when(k % 2 == 0, F.lit("\n    ")).otherwise(""), parts, F.when(k % 5 == 0, F.lit("\n")).otherwise(""), pick(3), F.lit("\n    body(string)\n}\n"))
+    listed = F.replace(pick(2), F.lit(","), F.when(k % 3 == 0, ", ").when(k % 3 == 1, ",\n    ").otherwise(",\n\n\t"))
+    body = F.concat(F.lit("// head\n"), pick(1), F.when(k % 2 == 0, F.lit("\n    ")).otherwise(""), listed, F.when(k % 5 == 0, F.lit("\n")).otherwise(""), pick(3), F.lit("\n    body(string)\n}\n"))
     return parts(spark, sf_dir).select(F.concat(F.lit("h/u"), k.cast("string"), F.lit("."), pick(0)).alias("path"), body.alias("content"))
 
 

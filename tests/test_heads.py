@@ -1,6 +1,7 @@
 """Heads over several lines, and documentation that is attached to an item."""
 
 from quillwork.operators import grammar, parse, surface
+from quillwork.plans import catalog_grammar
 from quillwork.sources import corpus
 
 
@@ -52,3 +53,16 @@ def test_functions_of_brace_and_end_languages():
         assert grammar.functions("", lang) == [] and grammar.functions("{{{ ((( '\"` /* ", lang) == []
     assert len(names("fn f() {" * 2000 + "}" * 1999, "rust")) == 2000
     assert parse.python_functions("@a(lambda: 1)\nclass T:\n    def f(self): pass\n") == [("<anonymous>", 1, 3, 2), ("f", 3, 3, 1)]
+
+
+def split_heads(spark, folder):
+    """(key, head) of a table of parts with every way in which a head is cut, far from the first keys."""
+    spark.range(2**40, 2**40 + 120).withColumnRenamed("id", "p_partkey").write.parquet(f"{folder}/part.parquet")
+    return [(k, catalog_grammar.HEADS[k % len(catalog_grammar.HEADS)]) for k in range(2**40, 2**40 + 120)]
+
+
+def test_split_heads_are_fuzzed_whole(spark, tmp_path):
+    heads = split_heads(spark, tmp_path)
+    assert catalog_grammar.head_tree(spark, str(tmp_path)).count() == len(heads)
+    found = sorted(tuple(r) for r in catalog_grammar.split_heads_fuzzed(spark, str(tmp_path)).collect())
+    assert found == sorted((f"h/u{k}.{h[0]}", 2, h[4], h[5]) for k, h in heads if h[5] is not None)
