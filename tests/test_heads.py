@@ -66,3 +66,9 @@ def test_split_heads_are_fuzzed_whole(spark, tmp_path):
     assert catalog_grammar.head_tree(spark, str(tmp_path)).count() == len(heads)
     found = sorted(tuple(r) for r in catalog_grammar.split_heads_fuzzed(spark, str(tmp_path)).collect())
     assert found == sorted((f"h/u{k}.{h[0]}", 2, h[4], h[5]) for k, h in heads if h[5] is not None)
+
+
+def test_split_heads_are_typed_whole(spark, tmp_path):
+    heads = split_heads(spark, tmp_path)
+    found = sorted(tuple(r) for r in catalog_grammar.split_heads_typed(spark, str(tmp_path)).collect())
+    assert found == sorted((f"h/u{k}.{h[0]}", 2, h[6]) for k, h in heads if h[6] is not None)
