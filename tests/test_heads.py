@@ -72,3 +72,11 @@ def test_split_heads_are_typed_whole(spark, tmp_path):
     heads = split_heads(spark, tmp_path)
     found = sorted(tuple(r) for r in catalog_grammar.split_heads_typed(spark, str(tmp_path)).collect())
     assert found == sorted((f"h/u{k}.{h[0]}", 2, h[6]) for k, h in heads if h[6] is not None)
+
+
+def test_keys_below_zero_make_no_other_heads(spark, tmp_path):
+    keys = [(k,) for k in (-9, -8, -2, -1, 3, None)]
+    spark.createDataFrame(keys, "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    fuzzed, typed = (q(spark, str(tmp_path)).collect() for q in (catalog_grammar.split_heads_fuzzed, catalog_grammar.split_heads_typed))
+    assert sorted(map(tuple, fuzzed)) == [("h/u-8.rs", 2, "parse_data", 66), ("h/u3.py", 2, "process", 56)]
+    assert [tuple(r) for r in typed] == [("h/u3.py", 2, True)]
